@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import fertility, lengths
+from loomspan.llm import fertility, lengths, lines, minmax, packing
 from loomspan.session import table
 
 
@@ -14,5 +14,44 @@ def op2_lengths(spark, folder):
     return lengths.length_histogram(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_lengths)}
-ORACLES: dict[str, str] = {}
+def op4_packing(spark, folder):
+    return packing.best_fit_packing(table(spark, folder, "documents"))
+
+
+def op6_lines(spark, folder):
+    return lines.line_bitmaps(table(spark, folder, "documents"))
+
+
+def op8_minmax(spark, folder):
+    return minmax.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_lengths, op4_packing, op6_lines, op8_minmax)}
+
+ORACLES: dict[str, str] = {
+    "op6_lines": r"""
+        WITH cut AS (
+            SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+        ), placed AS (
+            SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM cut
+        ), bare AS (
+            SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM placed
+        ), marked AS (
+            SELECT doc_id, pos,
+                   line = '' OR row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1 AS stays
+            FROM bare
+        ), edges AS (
+            SELECT doc_id, pos, stays,
+                   CASE WHEN stays IS DISTINCT FROM lag(stays) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS edge
+            FROM marked
+        ), islands AS (
+            SELECT doc_id, pos, stays, sum(edge) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM edges
+        ), runs AS (
+            SELECT doc_id, island, stays, count(*) AS n FROM islands GROUP BY doc_id, island, stays
+        )
+        SELECT doc_id, CAST(sum(n) AS INTEGER) AS n_lines,
+               CAST(coalesce(sum(n) FILTER (WHERE stays), 0) AS INTEGER) AS n_kept,
+               CASE WHEN first(stays ORDER BY island) THEN '' ELSE '0,' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY island) AS keep
+        FROM runs GROUP BY doc_id
+    """,
+}
