@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import fertility, lengths, lines, minmax, packing
+from loomspan.llm import bwt, fertility, lengths, lines, minmax, packing
 from loomspan.session import table
 
 
@@ -26,7 +26,11 @@ def op8_minmax(spark, folder):
     return minmax.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_lengths, op4_packing, op6_lines, op8_minmax)}
+def op9_bwt(spark, folder):
+    return bwt.repeated_passages(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_lengths, op4_packing, op6_lines, op8_minmax, op9_bwt)}
 
 ORACLES: dict[str, str] = {
     "op6_lines": r"""
@@ -54,4 +58,27 @@ ORACLES: dict[str, str] = {
                CASE WHEN first(stays ORDER BY island) THEN '' ELSE '0,' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY island) AS keep
         FROM runs GROUP BY doc_id
     """,
+    "op9_bwt": r"""
+        WITH worded AS (
+            SELECT doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+            FROM documents WHERE text IS NOT NULL
+        ), long AS (
+            SELECT doc_id, words FROM worded WHERE len(words) >= 50
+        ), placed AS (
+            SELECT doc_id, words, unnest(range(len(words) - 49)) AS pos FROM long
+        ), runs AS (
+            SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos + 1, pos + 50), ' ')) AS run FROM placed
+        ), ranked AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth,
+                   count(*) OVER (PARTITION BY run) AS n FROM runs
+        ), kinds AS (
+            SELECT doc_id, pos, CASE WHEN nth = 1 THEN 'first' ELSE 'repeat' END AS kind FROM ranked WHERE n > 1
+        ), islands AS (
+            SELECT doc_id, kind, pos, pos - row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS island FROM kinds
+        )
+        SELECT doc_id, kind, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word
+        FROM islands GROUP BY doc_id, kind, island
+    """,
 }
