@@ -44,7 +44,7 @@ LEAST = {"byte_chars": 0.02, "byte_fallback": 0.01, "byte_entropy": 0.05, "piece
 SHORT = 160
 ENOUGH = 48
 LONGEST = 1024
-_MOST_WORDS = 150_000
+_MOST_WORDS = 400_000
 _SCHEMA = "band_key string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
@@ -61,6 +61,11 @@ class _Words:
             except UnicodeDecodeError:
                 self.bare[rank] = True
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        # a word's first token, and no other of it, begins with the space before it
+        self.opens = np.zeros(self.bpe.n_vocab, dtype=bool)
+        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
+            self.opens[rank] = token.startswith(b" ")
+        self.begins = np.array([self.pieces.id_to_piece(i).startswith("\u2581") for i in range(self.pieces.get_piece_size())])
         self.reset()
 
     def reset(self) -> None:
@@ -69,24 +74,37 @@ class _Words:
         self.offsets = (array("q", [0]), array("q", [0]))
 
     def add(self, words: list[str]) -> None:
-        encoded = (
-            self.bpe.encode_ordinary_batch([" " + w for w in words], num_threads=1),
-            self.pieces.encode(words, num_threads=1),
-        )
-        for which in (0, 1):
-            flat, ends = self.tokens[which], self.offsets[which]
-            for ids in encoded[which]:
-                flat.extend(ids)
-                ends.append(len(flat))
+        joined = " ".join(words)
+        ids = np.asarray(self.bpe.encode_ordinary(" " + joined), dtype=np.int32)
+        if int(self.opens[ids].sum()) != len(words):
+            ids = [self.bpe.encode_ordinary(" " + w) for w in words]
+        self._append(0, ids, self.opens, len(words))
+        ids = np.asarray(self.pieces.encode(joined, num_threads=1), dtype=np.int32)
+        if int(self.begins[ids].sum()) != len(words):
+            ids = self.pieces.encode(words, num_threads=1)
+        self._append(1, ids, self.begins, len(words))
         for word in words:
             self.index[word] = len(self.index)
 
+    def _append(self, which: int, ids, marks: np.ndarray, count: int) -> None:
+        """Tokens of further words: one after another, or as a list for each."""
+        flat, ends = self.tokens[which], self.offsets[which]
+        if isinstance(ids, list):
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            ids = np.array([t for x in ids for t in x], dtype=np.int32)
+        else:
+            sizes = np.diff(np.append(np.flatnonzero(marks[ids]), len(ids)))
+        ends.frombytes((np.cumsum(sizes, dtype=np.int64) + len(flat)).tobytes())
+        flat.frombytes(ids.astype(np.int32).tobytes())
+
     def look_up(self, words: list[str]) -> np.ndarray:
         get = self.index.get
         found = np.fromiter(map(get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
-        if (found < 0).any():
-            self.add(list(dict.fromkeys(words[i] for i in np.flatnonzero(found < 0))))
-            found = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing]
+            self.add(list(dict.fromkeys(new)))
+            found[missing] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
         return found
 
 
@@ -142,32 +160,36 @@ def measure_texts(texts: list[str | None], folder: str = vocabularies.FOLDER) ->
     table = _TABLES[folder]
     if len(table.index) > _MOST_WORDS:
         table.reset()
-    lists: list[np.ndarray] = []
-    owner: list[int] = []
+    flat: list[str] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    found: list[np.ndarray] = []
     characters = np.zeros(len(texts))
     for i, text in enumerate(texts):
         for words in _words(text or ""):
-            if words:
-                lists.append(table.look_up(words))
-                owner.append(i)
-                characters[i] += sum(map(len, words))
+            flat += words
+            sizes[i] += len(words)
+            characters[i] += sum(map(len, words))
+            if len(flat) > 400_000:
+                found.append(table.look_up(flat))
+                flat = []
+    found.append(table.look_up(flat))
+    words = np.concatenate(found)
     out = np.full((len(texts), len(MEASURES)), np.nan)
     tokens = np.zeros(len(texts), dtype=np.int64)
-    if not lists:
+    if not len(words):
         return tokens, out
-    words = np.concatenate(lists)
-    documents = np.repeat(np.array(owner), [len(x) for x in lists])
+    documents = np.repeat(np.arange(len(texts)), sizes)
     for which, bare in ((0, table.bare), (1, table.fallback)):
         ids, count = _gather(table, which, words)
         of = np.repeat(documents, count)
-        sizes = np.bincount(of, minlength=len(texts))
-        some = sizes > 0
-        divisor = np.maximum(sizes, 1)
-        values = (characters / divisor, np.bincount(of, bare[ids], minlength=len(texts)) / divisor, _entropy(of, ids, sizes))
+        number = np.bincount(of, minlength=len(texts))
+        some = number > 0
+        divisor = np.maximum(number, 1)
+        values = (characters / divisor, np.bincount(of, bare[ids], minlength=len(texts)) / divisor, _entropy(of, ids, number))
         for k, value in enumerate(values):
             out[some, 3 * which + k] = value[some]
         if which == 0:
-            tokens = sizes.astype(np.int64)
+            tokens = number.astype(np.int64)
     return tokens, out
 
 
