@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import bwt, fertility, lengths, lines, minmax, packing
+from loomspan.llm import bpe, bwt, bytecnn, fertility, lengths, lines, minmax, packing, rotated, warc
 from loomspan.session import table
 
 
@@ -14,14 +14,26 @@ def op2_lengths(spark, folder):
     return lengths.length_histogram(table(spark, folder, "documents"))
 
 
+def op3_rotated(spark, folder):
+    return rotated.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op4_packing(spark, folder):
     return packing.best_fit_packing(table(spark, folder, "documents"))
 
 
+def op5_bpe(spark, folder):
+    return bpe.encode(table(spark, folder, "documents"), check=True)
+
+
 def op6_lines(spark, folder):
     return lines.line_bitmaps(table(spark, folder, "documents"))
 
 
+def op7_warc(spark, folder):
+    return warc.reassembled_pages(table(spark, folder, "pages"))
+
+
 def op8_minmax(spark, folder):
     return minmax.near_duplicates(table(spark, folder, "documents"))
 
@@ -30,7 +42,12 @@ def op9_bwt(spark, folder):
     return bwt.repeated_passages(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_lengths, op4_packing, op6_lines, op8_minmax, op9_bwt)}
+def op10_bytecnn(spark, folder):
+    return bytecnn.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_ALL = (op1_fertility, op2_lengths, op3_rotated, op4_packing, op5_bpe, op6_lines, op7_warc, op8_minmax, op9_bwt, op10_bytecnn)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
     "op6_lines": r"""
@@ -81,4 +98,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, kind, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word
         FROM islands GROUP BY doc_id, kind, island
     """,
+    "op7_warc": r"""
+        WITH measured AS (
+            SELECT page_id, url, html, octet_length(encode(html)) AS n_bytes FROM pages WHERE html IS NOT NULL
+        ), framed AS (
+            SELECT *, 87 + (n_bytes // 1000) * 1007
+                   + CASE WHEN n_bytes % 1000 > 0 THEN n_bytes % 1000 + 4 + length(to_hex(n_bytes % 1000)) ELSE 0 END
+                   + 5 AS total FROM measured
+        )
+        SELECT DISTINCT page_id, url, 'ok' AS status, CAST((total + 1023) // 1024 AS INTEGER) AS n_segments,
+               CAST(total AS BIGINT) AS total_length, CAST(n_bytes AS BIGINT) AS n_bytes, html
+        FROM framed
+    """,
 }
