@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,6 +109,11 @@ def _minimizer_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         )
 
 
+def _whole(window: bytes) -> int:
+    """Hash of a whole window, signed."""
+    return xxhash.xxh3_64_intdigest(window) - (1 << 63)
+
+
 def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around a document's shared minimizers."""
     names = ["_anchor", "_id", "_key", "_start", "_whole", "_words"]
@@ -126,13 +132,13 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 end = min(len(words), int(place[i]) + LEAST)
                 if not hot[i]:
                     window = short[begin:end]
-                    out.append((anchor[i], ids[row], keys[row], begin, int(_whole(window)), window.tobytes()))
+                    out.append((anchor[i], ids[row], keys[row], begin, _whole(window.tobytes()), window.tobytes()))
                     continue
                 if runs is None:
                     runs = _gram_hashes(words, LEAST)
                 for at in range(begin, end - LEAST + 1):
                     window = short[at : at + LEAST]
-                    out.append((int(runs[at].view(np.int64)), ids[row], keys[row], at, int(_whole(window)), window.tobytes()))
+                    out.append((int(runs[at].view(np.int64)), ids[row], keys[row], at, _whole(window.tobytes()), window.tobytes()))
             if len(out) > 20_000:
                 yield _rows(out, names)
                 out = []
@@ -140,12 +146,6 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _rows(out, names)
 
 
-def _whole(window: np.ndarray) -> np.int64:
-    """Hash of a whole window."""
-    base, _ = _powers(1 << 16)
-    return mix((window.astype(np.uint64) * base[: len(window)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(window))).view(np.int64)[0]
-
-
 def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), kinds)], names=names)
