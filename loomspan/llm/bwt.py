@@ -126,19 +126,20 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             found = lists[row].values
             place, anchor, hot = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             _, once = np.unique(place, return_index=True)
-            runs = None
+            singly = []
             for i in once:
                 begin = max(0, int(place[i]) - (LEAST - GRAM))
                 end = min(len(words), int(place[i]) + LEAST)
-                if not hot[i]:
-                    window = short[begin:end]
-                    out.append((anchor[i], ids[row], keys[row], begin, _whole(window.tobytes()), window.tobytes()))
+                if hot[i]:
+                    singly.append(np.arange(begin, end - LEAST + 1))
                     continue
-                if runs is None:
-                    runs = _gram_hashes(words, LEAST)
-                for at in range(begin, end - LEAST + 1):
-                    window = short[at : at + LEAST]
-                    out.append((int(runs[at].view(np.int64)), ids[row], keys[row], at, _whole(window.tobytes()), window.tobytes()))
+                window = short[begin:end].tobytes()
+                out.append((anchor[i], ids[row], keys[row], begin, _whole(window), window))
+            if singly:  # each run once, however many minimizers it goes through
+                runs = _gram_hashes(words, LEAST).view(np.int64)
+                for at in np.unique(np.concatenate(singly)).tolist():
+                    window = short[at : at + LEAST].tobytes()
+                    out.append((int(runs[at]), ids[row], keys[row], at, _whole(window), window))
             if len(out) > 20_000:
                 yield _rows(out, names)
                 out = []
