@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomspan.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Look-ahead free forms of the token grammar, for SQL.
+SQL_WORD = r"[\p{L}\p{M}_](?:[\p{L}\p{M}\p{N}_]|[''’‐‑\-][\p{L}\p{M}\p{N}_])*"
+SQL_NUMBER = rf"\p{{N}}(?:\p{{N}}|[.,:/\-٫٬]\p{{N}})*(?:[''’]{SQL_WORD})?"
+SQL_TOKEN = rf"{SQL_NUMBER}|{SQL_WORD}|[ \t\x0b\f\x{{a0}}]+|[\r\n]+"
+
 
 def register(sql: str | None = None):
     """Register a query under its function's name."""
@@ -23,16 +25,3 @@ def register(sql: str | None = None):
         return function
 
     return wrap
-
-
-@register(
-    """SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
-       CAST(length(text) AS BIGINT) AS n_characters FROM documents"""
-)
-def doc_summary(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return docs.select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.length("text").cast("long").alias("n_characters"),
-    )
