@@ -180,7 +180,8 @@ class _Generator:
         else:
             self.ids.append(found)
 
-    def gap(self, data: bytes) -> None:
+    def gap(self, data: bytes, after: bool = False) -> None:
+        """White space by name; ``after`` a unit other characters need glue first."""
         signs = {b"\r\n": V.G_CRLF, b"\n": V.G_LF, b"\t": V.G_TAB, "\xa0".encode(): V.G_NBSP}
         at = 0
         while at < len(data):
@@ -199,7 +200,9 @@ class _Generator:
                 self.ids.append(signs[sign])
                 at += len(sign)
                 continue
-            char = data[at:].decode("utf-8", "surrogateescape")[0].encode("utf-8", "surrogateescape")
+            if after and at == 0:
+                self.ids.append(V.G_GLUE)
+            char = data[at : at + 4].decode("utf-8", "surrogateescape")[0].encode("utf-8", "surrogateescape")
             self.atoms(char)
             at += len(char)
 
@@ -249,11 +252,11 @@ def encode_generation(vocabulary: V.GenerationVocabulary, raw: bytes, units: lis
             made.ids.append(V.G_WORD_END)
         gap = raw[unit.end : last.start if last else len(raw)]
         if last is None:
-            made.gap(gap)
+            made.gap(gap, True)
         elif not gap:
             made.ids.append(V.G_GLUE)
         elif gap != b" ":
-            made.gap(gap)
+            made.gap(gap, True)
     if inside:
         made.ids.append(V.G_CODE_END)
     made.ids.append(V.EOS)

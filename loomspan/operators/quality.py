@@ -39,7 +39,7 @@ class Analysis:
 
     @property
     def synthetic(self) -> bool:
-        return self.dictionary_id.startswith("NEDO_") and self.dictionary_id.endswith("_Fallback")
+        return self.dictionary_id.startswith("SYN_") and self.dictionary_id.endswith("_Fallback")
 
     @property
     def canonical(self) -> str:
@@ -70,7 +70,7 @@ def synthetic(surface: str, cuts: list[int], lemma: str, primary: str, secondary
     for k, (begin, end) in enumerate(zip(edges, edges[1:])):
         name = f"{label}Part{k}" if k else f"{label}Root"
         parts.append(Morpheme(name, data[begin:end].decode(), informal=informal, pos=None if k else primary))
-    return Analysis(f"NEDO_{label}_Fallback", lemma, primary, secondary, tuple(parts), tuple(edges[1:-1]))
+    return Analysis(f"SYN_{label}_Fallback", lemma, primary, secondary, tuple(parts), tuple(edges[1:-1]))
 
 
 _CLOCK = re.compile(r"([0-9]{1,2}(?::[0-9]{2}){1,2})['‘’ʼ＇](.+)\Z", re.S)
@@ -83,7 +83,7 @@ def clock_with_suffix(surface: str) -> Analysis | None:
     parts = (Morpheme("ClockRoot", found[1], pos="Num"), Morpheme("ClockSuffix", found[2]))
     begin = len(found[1].encode())
     mark = len(surface[len(found[1])].encode())
-    return Analysis("NEDO_ClockSuffix_Fallback", found[1], "Num", "Clock", parts, (begin, begin + mark))
+    return Analysis("SYN_ClockSuffix_Fallback", found[1], "Num", "Clock", parts, (begin, begin + mark))
 
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZçÇğĞıİöÖşŞüÜ")
