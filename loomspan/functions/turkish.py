@@ -18,7 +18,6 @@ VOWELS = "aeıioöuüâîû"
 FRONT = "eiöüî"
 ROUND = "oöuüû"
 VOICELESS = "çfhkpsşt"
-_LETTERS = frozenset("abcçdefgğhıijklmnoöprsştuüvyzqwxâîû")
 
 
 def turkish_lower(text: str) -> str:
@@ -164,4 +163,77 @@ def dotted_abbreviation(text: str) -> bool:
 
 
 def is_turkish_letter(char: str) -> bool:
-    return turkish_lower(char) in _LETTERS
+    return char in _ALPHABET
+
+
+CLASS_SHORT = dict(zip((n for n, _ in _NUMERAL), ("Card", "Ord", "Range", "Ratio", "Real", "Dist", "Percent", "Clock", "Date")))
+_ONES = "sıfır bir iki üç dört beş altı yedi sekiz dokuz".split()
+_TENS = ["", *"on yirmi otuz kırk elli altmış yetmiş seksen doksan".split()]
+_LARGE = ("yüz", "bin", "bin", "bin", "milyon", "milyon", "milyon", "milyar", "milyar", "milyar")
+_ORDINALS = dict(
+    zip(
+        [*_ONES, *_TENS[1:], "yüz", "bin", "milyon", "milyar"],
+        "sıfırıncı birinci ikinci üçüncü dördüncü beşinci altıncı yedinci sekizinci dokuzuncu onuncu yirminci otuzuncu kırkıncı ellinci "
+        "altmışıncı yetmişinci sekseninci doksanıncı yüzüncü bininci milyonuncu milyarıncı".split(),
+    )
+)
+
+
+def number_word(digits: str, ordinal: bool = False) -> str:
+    """The word that a number is read with last; empty if there is none."""
+    zeros, seen, found = 0, False, None
+    for char in reversed(digits):
+        if not ("0" <= char <= "9"):
+            found = "sıfır" if zeros >= 2 else None
+            break
+        seen = True
+        if char == "0":
+            zeros += 1
+            continue
+        value = int(char)
+        found = (_ONES[value], _TENS[value], *_LARGE)[zeros] if zeros < 12 else ""
+        break
+    if found is None:
+        found = "" if not seen else "sıfır" if zeros < 2 else _LARGE[zeros - 2] if zeros < 12 else ""
+    return _ORDINALS.get(found, found) if ordinal else found
+
+
+def split_apostrophe(text: str) -> tuple[str, str, str]:
+    """Before, the mark, after; both latter empty without one."""
+    found = re.search(f"[{APOSTROPHES}]", text)
+    return (text[: found.start()], found[0], text[found.end() :]) if found else (text, "", "")
+
+
+def split_number(text: str) -> tuple[str, str]:
+    """A number and the suffix after it, with or without an apostrophe."""
+    stem, mark, ending = split_apostrophe(text)
+    if mark:
+        return stem, ending
+    cut = len(text)
+    while cut and not (text[cut - 1] == "." or "0" <= text[cut - 1] <= "9"):
+        cut -= 1
+    return text[:cut], text[cut:]
+
+
+def is_web_address(text: str) -> bool:
+    low = split_apostrophe(text)[0].lower()
+    if low.startswith(("http://", "https://", "www.")):
+        return len(low) > 4 and "." in low
+    return any(end in low.split("/")[0] for end in (".com", ".org", ".edu", ".gov", ".net", ".info"))
+
+
+_SPELLED = dict(zip("aeıioöuü", "aeıioöuü")) | {c: c + "e" for c in "bcçdfghjklmnprsştvyz"} | {"ğ": "yumuşakge", "w": "dabılyu", "q": "kü", "x": "iks"}
+
+
+def spelled(text: str) -> str:
+    """Letters by their names, one after another."""
+    return "".join("ka" if c == "k" and i == len(text) - 1 else _SPELLED.get(c, "") for i, c in enumerate(text))
+
+
+def component(text: str) -> str:
+    """A part of a name in Turkish letters, other signs as question marks."""
+    low = fold_foreign(fold_circumflex(turkish_lower(text)))
+    return "".join(c if c in _ALPHABET or c in ".-" else "?" for c in low)
+
+
+_ALPHABET = frozenset("abcçdefgğhıijklmnoöprsştuüvyzqwx")
