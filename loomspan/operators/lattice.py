@@ -104,7 +104,16 @@ def collapse_table(candidates: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "unit_idx", "status", "cuts", "analysis_count", (F.col("_top") + F.log(total)).alias("score"), "selected")
 
 
+def _let(column: Column, use) -> Column:
+    """``use`` of a column that is worked out once, as a lambda's variable."""
+    return F.transform(F.array(column), use)[0]
+
+
 def _mul(column: Column, factor: int) -> Column:
+    return _let(column, lambda c: _product(c, factor))
+
+
+def _product(column: Column, factor: int) -> Column:
     """Wrapping 64-bit product, by 32-bit halves, as integer columns raise on overflow."""
     low, high = factor & 0xFFFFFFFF, factor >> 32
     a, b = column.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(column, 32)
@@ -130,8 +139,9 @@ def _add(left: Column, right: Column) -> Column:
 
 def splitmix_column(seed: int, step: Column) -> Column:
     """``splitmix`` on a column of steps, as a signed number with the same bits."""
-    signed = lambda v: F.lit(v - (1 << 64) if v >> 63 else v)
-    value = _add(_mul(step.cast("long"), GAMMA), signed(seed & _MASK))
-    value = _mul(value.bitwiseXOR(F.shiftrightunsigned(value, 30)), 0xBF58476D1CE4E5B9)
-    value = _mul(value.bitwiseXOR(F.shiftrightunsigned(value, 27)), 0x94D049BB133111EB)
-    return value.bitwiseXOR(F.shiftrightunsigned(value, 31))
+    signed = lambda v: F.lit(v - (1 << 64) if v >> 63 else v).cast("long")
+    turned = lambda column, bits: _let(column, lambda c: c.bitwiseXOR(F.shiftrightunsigned(c, bits)))
+    value = _let(_mul(step.cast("long"), GAMMA), lambda c: _add(c, signed(seed & _MASK)))
+    value = _mul(turned(value, 30), 0xBF58476D1CE4E5B9)
+    value = _mul(turned(value, 27), 0x94D049BB133111EB)
+    return turned(value, 31)
