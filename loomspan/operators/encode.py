@@ -331,7 +331,8 @@ def training_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, config: Conf
 def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Config = Config(), newline: bool = False, morphology: bool = True, provider: Provider | None = None) -> DataFrame:
     def make():
         known: dict = {}
-        return lambda data: encode_surface(vocabulary, data, units_of(data, config, provider), newline, morphology, known)
+        surfaces: dict = {}
+        return lambda data: encode_surface(vocabulary, data, units_of(data, config, provider, known=surfaces), newline, morphology, known)
 
     return _encoded(raw, make)
 

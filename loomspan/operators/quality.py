@@ -97,6 +97,9 @@ _COMPOSED = {
 }
 
 
+_MARKED = frozenset(pair[1] for pair in _COMPOSED)
+
+
 @dataclass(frozen=True)
 class Candidate:
     """A normalised surface; for each of its characters, where that ends in the original."""
@@ -126,6 +129,8 @@ def _ends(text: str) -> list[int]:
 
 def composed(surface: str) -> Candidate | None:
     """Letter and combining mark made one letter."""
+    if _MARKED.isdisjoint(surface):
+        return None
     text, ends, original, k = [], [], _ends(surface), 0
     while k < len(surface):
         pair = _COMPOSED.get(surface[k : k + 2])
@@ -137,7 +142,7 @@ def composed(surface: str) -> Candidate | None:
 
 def without_emphasis(surface: str) -> Candidate | None:
     """A last letter that is written three to eight times, once."""
-    if not surface or not surface[-1].isalpha():
+    if len(surface) < 4 or surface[-1].lower() != surface[-2].lower() or not surface[-1].isalpha():
         return None
     same = (lambda c: c.lower() == surface[-1].lower()) if surface[-1].isascii() else (lambda c: c == surface[-1])
     start = len(surface) - 1

@@ -93,17 +93,32 @@ def lex(raw: DataFrame) -> DataFrame:
 
 
 def native_kind(token: Column) -> Column:
-    """Kind of a token of the native scan, from how it begins."""
+    """Kind of a token of the native scan, from how it begins.
+
+    For tokens that begin with an ASCII character that is a comparison of its
+    code, but for signs that may begin an operator; others are matched.
+    """
+    code = F.ascii(token)
     begins = lambda pattern: token.rlike(f"^(?:{pattern})")
-    return (
-        F.when(begins(lexical.JAVA_SPACE), lexical.WHITESPACE)
-        .when(begins(lexical.JAVA_BREAK), lexical.LINE_BREAK)
-        .when(begins(lexical.JAVA_WORD), lexical.WORD)
+    sign = F.when(begins(lexical.JAVA_SYMBOL), lexical.SYMBOL).otherwise(lexical.PUNCTUATION)
+    beyond = (
+        F.when(begins(lexical.JAVA_WORD), lexical.WORD)
         .when(begins(r"\p{N}"), lexical.NUMBER)
+        .when(begins(lexical.JAVA_SPACE), lexical.WHITESPACE)
+        .when(begins(lexical.JAVA_BREAK), lexical.LINE_BREAK)
         .when(begins(lexical.JAVA_SYMBOL), lexical.SYMBOL)
         .when(begins(lexical.JAVA_PUNCTUATION), lexical.PUNCTUATION)
         .otherwise(lexical.CONTROL)
     )
+    return (
+        F.when(code >= 128, beyond)
+        .when(code.between(97, 122) | code.between(65, 90) | (code == 95), lexical.WORD)
+        .when(code.isin(32, 9, 11, 12), lexical.WHITESPACE)
+        .when(code.isin(10, 13), lexical.LINE_BREAK)
+        .when(code.between(48, 57), lexical.NUMBER)
+        .when((code < 32) | (code == 127), lexical.CONTROL)
+        .otherwise(sign)
+    )
 
 
 def tokens_native(text: Column) -> Column:

@@ -23,6 +23,7 @@ from loomspan.operators.scan import scan_with_hints
 TURKISH, CODE, BYTES = 1, 2, 3
 STRUCTURAL, MORPHOLOGICAL, UNKNOWN, CODED, OPAQUE_STATUS = 1, 2, 3, 4, 5
 MODES = {"auto": 0, "turkish": TURKISH, "code": CODE}
+_WHOLE = frozenset((WHITESPACE, LINE_BREAK, CONTROL, OPAQUE))
 CLITICS = frozenset(("mi", "mı", "mu", "mü", "de", "da"))
 
 
@@ -45,7 +46,7 @@ class Config:
             raise ValueError("max_fallback_chars must lie between 1 and 4096")
 
 
-@dataclass
+@dataclass(slots=True)
 class Unit:
     start: int
     end: int
@@ -77,6 +78,13 @@ def split_units(raw: bytes, lexical: list[tuple[int, int, int]], spans: list[tup
         while at < len(spans) and spans[at][1] <= start:
             at += 1
         mode = _mode(start, end, kind, spans, at, requested)
+        while edge < len(edges) and edges[edge] <= start:
+            edge += 1
+        inside = edge < len(edges) and edges[edge] < end
+        plain = kind in _WHOLE or (kind in (PUNCTUATION, SYMBOL) and end - start == 1) or (mode != CODE and kind in (WORD, NUMBER))
+        if plain and not inside:
+            out.append(Unit(start, end, kind, mode, status[mode]))
+            continue
         data = raw[start:end]
         cuts: set[int] = set()
         if kind == PUNCTUATION or (mode == TURKISH and kind == SYMBOL and all(33 <= b < 127 for b in data)):
@@ -87,8 +95,6 @@ def split_units(raw: bytes, lexical: list[tuple[int, int, int]], spans: list[tup
                     cuts.add(here)
         elif mode == CODE and kind in (WORD, NUMBER):
             cuts.update(start + c for c in code.identifier_cuts(data.decode()))
-        while edge < len(edges) and edges[edge] <= start:
-            edge += 1
         while edge < len(edges) and edges[edge] < end:
             cuts.add(edges[edge])
             edge += 1
@@ -190,11 +196,12 @@ def group_clitics(raw: bytes, units: list[Unit]) -> None:
         host = k
 
 
-def units_of(raw: bytes, config: Config = Config(), provider: Provider | None = None, choose=None) -> list[Unit]:
+def units_of(raw: bytes, config: Config = Config(), provider: Provider | None = None, choose=None, known: dict | None = None) -> list[Unit]:
     """All units of a document.
 
     ``choose`` picks one of each token's analyses from those of a whole segment;
-    without it the first is taken.
+    without it the first is taken. ``known`` keeps surfaces' analyses from one
+    document to the next.
     """
     lexical, (unmarked, artifact, backtick) = scan_with_hints(raw)
     requested = MODES[config.mode]
@@ -202,7 +209,7 @@ def units_of(raw: bytes, config: Config = Config(), provider: Provider | None =
     if not requested:
         spans = code.code_spans(raw, unmarked, artifact, backtick) if config.detect_unmarked_code else code.fenced_spans(raw)
     units = split_units(raw, lexical, spans, requested)
-    known: dict[str, list[quality.Analysis]] = {}
+    known = {} if known is None or len(known) > 200_000 else known
     for segment in segments(raw, units, config.max_sentence_tokens):
         tokens = [raw[units[k].start : units[k].end].decode() for k in segment]
         for token in tokens:
@@ -227,14 +234,17 @@ def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider |
     names = ["start", "end", "kind", "mode", "status", "group_id", "cuts"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
             columns: list[list] = [[] for _ in names]
+            if len(known) > 200_000:
+                known.clear()
             for value in batch.column(1):
                 if not value.is_valid:
                     for column in columns:
                         column.append(None)
                     continue
-                found = units_of(value.as_py(), config, provider)
+                found = units_of(value.as_py(), config, provider, known=known)
                 for column, name in zip(columns, ("start", "end", "kind", "mode", "status", "group", "cuts")):
                     column.append([getattr(u, name) for u in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])

@@ -8,25 +8,25 @@ from pyspark.sql.window import Window
 from loomspan.operators import encode, lattice, scan
 from loomspan.operators import vocab as V
 from loomspan.plans.registry import register
-from loomspan.session import table
+from loomspan.session import spread, table
 
 
 @register("SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_docs(spark, folder):
     """Documents that are encoded once for all their copies. Texts meet by a 128-bit hash, not by themselves."""
-    docs = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("digest"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", F.md5("text").alias("digest"))
     return docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")
 
 
 @register("SELECT doc_id, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at, n AS n_ids FROM (SELECT doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n FROM documents)")
 def document_offsets(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", (F.octet_length("text") + 2).alias("n_ids"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", (F.octet_length("text") + 2).alias("n_ids"))
     return encode.document_offsets(docs).select("doc_id", F.col("offset").alias("start_at"), "n_ids")
 
 
 @register("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1 ORDER BY n DESC, encode(ch) LIMIT 64")
 def char_vocab_topk(spark, folder):
-    counts = V.char_counts(table(spark, folder, "documents"))
+    counts = V.char_counts(spread(table(spark, folder, "documents")))
     return counts.orderBy(F.col("n").desc(), F.encode("ch", "UTF-8")).limit(64)
 
 
@@ -35,7 +35,7 @@ def char_vocab_topk(spark, folder):
        SELECT CAST(row_number() OVER (ORDER BY encode(ch)) + 262 AS BIGINT) AS id, ch, n FROM top"""
 )
 def char_vocab_ids(spark, folder):
-    return V.ranked_chars(V.char_counts(table(spark, folder, "documents")), 200)
+    return V.ranked_chars(V.char_counts(spread(table(spark, folder, "documents"))), 200)
 
 
 _CUBE = "SELECT lang, source, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY"
@@ -43,7 +43,7 @@ _CUBE = "SELECT lang, source, count(*) AS n_docs, CAST(sum(octet_length(encode(t
 
 @register(f"SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, n_docs, n_bytes FROM ({_CUBE} CUBE (lang, source))")
 def cube_lang_source(spark, folder):
-    docs = table(spark, folder, "documents").select("lang", "source", F.octet_length("text").cast("long").alias("b"))
+    docs = spread(table(spark, folder, "documents")).select("lang", "source", F.octet_length("text").cast("long").alias("b"))
     made = docs.cube("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("b").alias("n_bytes"))
     return made.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n_docs", "n_bytes")
 
@@ -51,7 +51,7 @@ def cube_lang_source(spark, folder):
 @register("SELECT true AS exact, count(*) AS n_docs FROM documents")
 def roundtrip_ok(spark, folder):
     """Characters outside a small vocabulary go through bytes and come back."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     raw = scan.as_raw(docs)
     vocabulary = V.SurfaceVocabulary((b"the", b" the", b"tion", b"en", b"er", b" ", b"de", b"ing"))
     back = encode.surface_decoding(encode.surface_encoding(raw, vocabulary), vocabulary).withColumnRenamed("raw", "back")
@@ -131,7 +131,7 @@ _STEMS = "(VALUES ('th'), ('the'), ('er'), ('ere'), ('an'), ('and'), ('in'), ('i
 )
 def stem_prefix_join(spark, folder):
     """Stems that words begin with: prefixes exploded to an equi-join, not a scan of all pairs."""
-    words = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    words = spread(table(spark, folder, "documents")).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     stems = spark.createDataFrame([(s.strip("()'"),) for s in _STEMS[8:-1].split(", ")], "stem string")
     longest = 3
     prefixes = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(longest)))).alias("n")).select("word", F.expr("left(word, n)").alias("stem"))

@@ -9,12 +9,12 @@ from loomspan.functions import lexical as L
 from loomspan.functions import turkish as T
 from loomspan.operators import code, scan
 from loomspan.plans.registry import SQL_NUMBER, SQL_TOKEN, SQL_WORD, register
-from loomspan.session import table
+from loomspan.session import spread, table
 
 
 def _tokens(spark, folder, *keep):
     """Every token of every document with its kind, inside the JVM."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     listed = docs.select(*keep, F.explode(scan.tokens_native(F.col("text"))).alias("token"))
     return listed.withColumn("kind", scan.native_kind(F.col("token")))
 
@@ -28,7 +28,7 @@ _TOKENS = f"SELECT doc_id, lang, unnest(regexp_extract_all(text, '{SQL_TOKEN}'))
         CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents"""
 )
 def doc_summary(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     words = F.filter(scan.tokens_native(F.col("text")), lambda t: t.rlike(r"^[\p{IsAlphabetic}\p{M}_]"))
     return docs.select(
         "doc_id",
@@ -78,7 +78,7 @@ def scalar_signs(spark, folder):
 @register("SELECT CAST(0 AS BIGINT) AS n_different")
 def scan_parity(spark, folder):
     """Documents in which the kernel and the native scan disagree on any span."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     native = docs.select("doc_id", scan.tokens_native(F.col("text")).alias("tokens"))
     native = native.select("doc_id", F.transform("tokens", F.octet_length).alias("sizes"))
     kernel = scan.lex_arrays(scan.as_raw(docs))
@@ -90,7 +90,7 @@ def scan_parity(spark, folder):
 
 @register("SELECT doc_id FROM documents WHERE false")
 def coverage_violations(spark, folder):
-    raw = scan.as_raw(table(spark, folder, "documents"))
+    raw = scan.as_raw(spread(table(spark, folder, "documents")))
     return scan.coverage_violations(scan.lex(raw), raw)
 
 
@@ -98,7 +98,7 @@ def coverage_violations(spark, folder):
     """SELECT byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY 1"""
 )
 def byte_histogram(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
     return docs.select(F.explode(pairs).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
 
@@ -107,7 +107,7 @@ def byte_histogram(spark, folder):
 def byte_token_counts(spark, folder):
     from loomspan.operators import encode
 
-    made = encode.byte_encoding(scan.as_raw(table(spark, folder, "documents")))
+    made = encode.byte_encoding(scan.as_raw(spread(table(spark, folder, "documents"))))
     return made.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"))
 
 
@@ -117,7 +117,7 @@ def byte_token_counts(spark, folder):
        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"""
 )
 def code_line_stats(spark, folder):
-    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = spread(table(spark, folder, "documents")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(
         F.count_if(F.col("line").rlike("[;{}]")).alias("n_signed"), F.count_if(F.col("line").rlike(r"^[ \t]")).alias("n_indented"), F.count("*").alias("n_lines")
     )
@@ -128,7 +128,7 @@ _TEXT_PIECES = _PIECES.replace("page_id", "doc_id").replace("html", "text").repl
 
 
 def _pieces(spark, folder, name, key, column):
-    rows = table(spark, folder, name)
+    rows = spread(table(spark, folder, name))
     return rows.select(key, F.explode(code.trimmed_pieces(F.col(column))).alias("piece"))
 
 
@@ -185,7 +185,7 @@ def programming_numbers(spark, folder):
 )
 def adjacent_code_lines(spark, folder):
     """The pair rule of block detection, on the signs that a column can score."""
-    lines = table(spark, folder, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "text"))
+    lines = spread(table(spark, folder, "pages")).select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "text"))
     has = lambda s: F.col("text").contains(s).cast("int")
     both = (F.col("text").contains("(") & F.col("text").contains(")")).cast("int")
     lines = lines.select("page_id", "line", (2 * has(";") + F.col("text").rlike("[{}]").cast("int") + both + has("_")).alias("score"))

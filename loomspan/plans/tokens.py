@@ -9,13 +9,13 @@ from loomspan.functions import lexical as L
 from loomspan.operators import code, encode, scan, units
 from loomspan.operators import vocab as V
 from loomspan.plans.registry import SQL_TOKEN, register
-from loomspan.session import cut, table
+from loomspan.session import cut, spread, table
 
 _TURKISH = units.Config(mode="turkish")
 
 
 def _raw(spark, folder):
-    return scan.as_raw(table(spark, folder, "documents"))
+    return scan.as_raw(spread(table(spark, folder, "documents")))
 
 
 _WN = f"SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_TOKEN}')) AS token FROM documents"
@@ -75,7 +75,7 @@ def numeric_micro_cuts(spark, folder):
     f"""SELECT lower(token) AS clitic, count(*) AS n FROM ({_WN}) WHERE lower(token) IN ('mi', 'mı', 'mu', 'mü', 'de', 'da') GROUP BY 1"""
 )
 def clitic_tokens(spark, folder):
-    docs = table(spark, folder, "documents").select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
+    docs = spread(table(spark, folder, "documents")).select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
     low = F.lower("token")
     return docs.where(low.isin(*sorted(units.CLITICS))).groupBy(low.alias("clitic")).agg(F.count("*").alias("n"))
 
@@ -97,7 +97,7 @@ def sentence_segments(spark, folder):
 @register(f"SELECT CAST(least(length(token), 200) AS INTEGER) AS width, CAST(sum((length(token) + 7) // 8) AS BIGINT) AS n_chunks FROM ({_WN}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') GROUP BY 1")
 def fallback_chunks(spark, folder):
     """Chunks of at most eight characters that words are cut into."""
-    words = table(spark, folder, "documents").select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
+    words = spread(table(spark, folder, "documents")).select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
     words = words.where(F.col("token").rlike(r"^[\p{IsAlphabetic}\p{M}_]"))
     starts = F.sequence(F.lit(1), F.length("token"), F.lit(8))
     chunks = words.select(F.least(F.length("token"), F.lit(200)).alias("width"), F.size(F.transform(starts, lambda s: F.substr("token", s, F.lit(8)))).alias("n"))
@@ -138,7 +138,7 @@ def surface_tokens(spark, folder):
 @register("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(length(text) + 2 AS BIGINT) AS n_ids FROM documents")
 def character_tokens(spark, folder):
     """Characters of a vocabulary that has them all."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     vocabulary = V.train_chars(docs, 60_000)
     made = encode.character_encoding(scan.as_raw(docs), vocabulary)
     return made.select("doc_id", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"), F.size("ids").cast("long").alias("n_ids"))
@@ -146,7 +146,7 @@ def character_tokens(spark, folder):
 
 @register()
 def training_tokens(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     made = encode.training_encoding(scan.as_raw(docs), V.train_chars(docs, 100))
     kinds = F.transform("ids", lambda i: F.least(i, F.lit(V.CHAR_BYTES)))
     mark = lambda m: F.size(F.filter(kinds, lambda k: k == m)).alias
@@ -156,12 +156,12 @@ def training_tokens(spark, folder):
 @register()
 def page_code_spans(spark, folder):
     """Code regions of raw web pages."""
-    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
+    pages = spread(table(spark, folder, "pages")).select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
     found = units.tokenize(pages).where(F.col("mode") == units.CODE).select("doc_id", "start", "end")
     return code.merge_spans(found).select(F.col("doc_id").alias("page_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 @register()
 def page_hints(spark, folder):
-    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
+    pages = spread(table(spark, folder, "pages")).select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
     return scan.hints(pages).withColumnRenamed("doc_id", "page_id")

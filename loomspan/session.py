@@ -69,6 +69,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where a scan has fewer splits than there are cores.
+
+    Kernels take long for each row, so a small file would otherwise keep one
+    core busy. A table of any size has enough splits and is left alone.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the input tables, as Parquet below ``folder``."""
     ship(spark)
