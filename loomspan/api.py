@@ -56,7 +56,7 @@ class SurfaceTokenizer(Tokenizer):
     @classmethod
     def train(cls, docs: DataFrame, size: int, **settings) -> "SurfaceTokenizer":
         made = cls(**settings)
-        made.vocabulary = V.train_surface(V.piece_weights(made.tokenize(docs), docs), size)
+        made.vocabulary = V.train_surface(V.observed_weights(docs, made.config, made.provider), size)
         return made
 
     def encode_ids(self, docs: DataFrame) -> DataFrame:

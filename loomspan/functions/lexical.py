@@ -123,4 +123,6 @@ _J_SIGN = rf"(?:{OPERATORS}|[{_J_REST}&&[^{_J_MARK[1:-1]}]])"
 JAVA_SYMBOL = rf"(?:{_J_SIGN}(?:{_J_SIGN}|\x{{200d}}{_J_SIGN})*+)"
 JAVA_PUNCTUATION = rf"(?:(?:(?!{OPERATORS}){_J_PLAIN})+)"
 JAVA_CONTROL = r"(?:[\p{Cc}&&[^\t\n\x{b}\f\r\x{85}]]+)"
-JAVA_TOKEN = "|".join((JAVA_SPACE, JAVA_BREAK, JAVA_WORD, JAVA_NUMBER, JAVA_SYMBOL, JAVA_PUNCTUATION, JAVA_CONTROL))
+#: The common cases first: ASCII words and blanks that what follows can't lengthen.
+_J_QUICK = r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,.-\x7f]|\z)| ++(?=[!-~])"
+JAVA_TOKEN = "|".join((_J_QUICK, JAVA_SPACE, JAVA_BREAK, JAVA_WORD, JAVA_NUMBER, JAVA_SYMBOL, JAVA_PUNCTUATION, JAVA_CONTROL))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from loomspan.functions.lexical import LINE_BREAK, NUMBER, PUNCTUATION, SYMBOL, WHITESPACE
 from loomspan.operators import vocab as V
-from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, units_of
+from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, few_collections, units_of
 
 Encoding = tuple[list[int], list[int]]
 
@@ -307,6 +307,7 @@ def _encoded(raw: DataFrame, make) -> DataFrame:
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
         run = make()
         for batch in batches:
             made = [run(v.as_py()) if v.is_valid else (None, None) for v in batch.column(1)]

@@ -8,6 +8,7 @@ morphological, everything else that can be analysed is unknown.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -224,6 +225,11 @@ def units_of(raw: bytes, config: Config = Config(), provider: Provider | None =
     return units
 
 
+def few_collections() -> None:
+    """Kernels make many small objects and no cycles; a worker needn't look for them often."""
+    gc.set_threshold(200_000, 50, 100)
+
+
 SCHEMA = "start array<bigint>, end array<bigint>, kind array<int>, mode array<int>, status array<int>, group_id array<int>, cuts array<array<bigint>>"
 
 
@@ -234,6 +240,7 @@ def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider |
     names = ["start", "end", "kind", "mode", "status", "group_id", "cuts"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
         known: dict = {}
         for batch in batches:
             columns: list[list] = [[] for _ in names]

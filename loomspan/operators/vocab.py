@@ -7,15 +7,18 @@ take it along as a Python object.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.lexical import LINE_BREAK, WHITESPACE
 from loomspan.operators import quality
-from loomspan.operators.units import CODE
+from loomspan.operators.units import CODE, Config, Provider, few_collections, units_of
 
 PAD, BOS, EOS = 0, 1, 2
 UNIT, MORPH, CODE_START, CODE_END, CHAR_BYTES, CHAR_FIRST = 3, 4, 5, 6, 7, 263
@@ -166,6 +169,48 @@ def piece_weights(units: DataFrame, raw: DataFrame, morphology: bool = True) ->
     return wholes.where((F.octet_length("piece") >= 1) & (F.octet_length("piece") <= LONGEST_PIECE)).groupBy("piece").agg(F.sum("w").alias("weight"))
 
 
+def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None) -> DataFrame:
+    """``piece_weights`` straight from documents: each batch adds up its own pieces first.
+
+    ``kinds`` leaves only units of those lexical kinds.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
+        known: dict = {}
+        for batch in batches:
+            counts: Counter[bytes] = Counter()
+            for value in batch.column(0):
+                if not value.is_valid:
+                    continue
+                data = value.as_py()
+                if len(known) > 200_000:
+                    known.clear()
+                for unit in units_of(data, config, provider, known=known):
+                    if kinds is not None and unit.kind not in kinds:
+                        continue
+                    whole = data[unit.start : unit.end]
+                    if not morphology or not unit.cuts:
+                        counts[whole] += 5 if morphology else 1
+                        continue
+                    counts[whole] += 1
+                    edges = [unit.start, *unit.cuts, unit.end]
+                    for begin, end in zip(edges, edges[1:]):
+                        counts[data[begin:end]] += 4
+                if len(counts) > 300_000:
+                    yield _weights(counts)
+                    counts = Counter()
+            yield _weights(counts)
+
+    made = raw.select("raw").mapInArrow(kernel, "piece binary, weight long")
+    return made.groupBy("piece").agg(F.sum("weight").alias("weight"))
+
+
+def _weights(counts: Counter) -> pa.RecordBatch:
+    kept = {p: w for p, w in counts.items() if 1 <= len(p) <= LONGEST_PIECE}
+    return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())], names=["piece", "weight"])
+
+
 def train_surface(weights: DataFrame, size: int) -> SurfaceVocabulary:
     if not 260 <= size <= MOST_ENTRIES:
         raise ValueError("a surface vocabulary has 260 to 65,536 entries")

@@ -110,17 +110,14 @@ _PIECES = f"SELECT CASE WHEN regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') THEN
 @register(f"SELECT piece, CAST(count(*) * 5 AS BIGINT) AS weight FROM ({_PIECES}) GROUP BY 1 ORDER BY weight DESC, encode(piece) LIMIT 500")
 def surface_piece_weights(spark, folder):
     """Heaviest words: an uncut unit weighs five, one for the whole and four for its only piece."""
-    raw = cut(_raw(spark, folder))
-    found = units.tokenize(raw, _TURKISH).where(F.col("kind") == L.WORD)
-    weights = V.piece_weights(found, raw)
+    weights = V.observed_weights(_raw(spark, folder), _TURKISH, kinds=frozenset((L.WORD,)))
     return weights.orderBy(F.col("weight").desc(), "piece").limit(500).select(F.decode("piece", "UTF-8").alias("piece"), "weight")
 
 
 @register()
 def surface_vocab_topk(spark, folder):
     """A surface vocabulary of 2,048 entries as a table."""
-    raw = cut(_raw(spark, folder))
-    weights = V.piece_weights(units.tokenize(raw), raw)
+    weights = V.observed_weights(_raw(spark, folder))
     ranked = weights.orderBy(F.col("weight").desc(), "piece").limit(2048 - V.SURFACE_FIRST)
     number = F.row_number().over(Window.orderBy(F.col("weight").desc(), "piece")) + V.SURFACE_FIRST - 1
     return ranked.select(number.alias("id"), F.hex("piece").alias("piece"), "weight")
@@ -129,8 +126,8 @@ def surface_vocab_topk(spark, folder):
 @register()
 def surface_tokens(spark, folder):
     """Train, encode and check: ids, bytes that they stand for and their number in each document."""
-    raw = cut(_raw(spark, folder))
-    vocabulary = V.train_surface(V.piece_weights(units.tokenize(raw), raw), 4096)
+    raw = _raw(spark, folder)
+    vocabulary = V.train_surface(V.observed_weights(raw), 4096)
     made = encode.surface_encoding(raw, vocabulary)
     return made.select("doc_id", F.size("ids").alias("n_ids"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"))
 

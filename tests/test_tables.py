@@ -93,6 +93,7 @@ def test_weights_are_brute_force(docs):
                 wanted[raw[b:e]] += 4
     found = {bytes(r["piece"]): r["weight"] for r in V.piece_weights(units.tokenize(docs), docs).collect()}
     assert found == {p: w for p, w in wanted.items() if len(p) <= 96}
+    assert found == {bytes(r["piece"]): r["weight"] for r in V.observed_weights(docs).collect()}
 
 
 def test_encodings(docs):
