@@ -39,7 +39,7 @@ from loomspan.session import cut
 BYTE_VOCABULARY = "byte_bpe_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
 MEASURES = ("byte_chars", "byte_fallback", "byte_entropy", "piece_chars", "piece_fallback", "piece_entropy")
-WIDTH = {"byte_chars": 5.0, "byte_fallback": 6.0, "byte_entropy": 3.0, "piece_chars": 6.5, "piece_fallback": 6.0, "piece_entropy": 3.0}
+WIDTH = {"byte_chars": 8.0, "byte_fallback": 9.0, "byte_entropy": 2.6, "piece_chars": 6.0, "piece_fallback": 9.0, "piece_entropy": 2.6}
 LEAST = {"byte_chars": 0.02, "byte_fallback": 0.01, "byte_entropy": 0.05, "piece_chars": 0.02, "piece_fallback": 0.01, "piece_entropy": 0.05}
 SHORT = 160
 ENOUGH = 48
