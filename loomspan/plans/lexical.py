@@ -159,7 +159,7 @@ def inline_assignments(spark, folder):
 _STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}[0-9.,+\-:Zz]*$"
 
 
-@register(f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events WHERE regexp_matches(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{_STAMP}') AND event_id % 1 = 0")
+@register(f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events WHERE regexp_matches(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{_STAMP}')")
 def iso_timestamps(spark, folder):
     """Times written out and found again as inline artifacts."""
     events = table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
