@@ -11,11 +11,11 @@ inner product known of the query, are reranked by their exact inner product.
 
 Every vector is a query. It is first compared with its own cell, which gives its
 k-th best inner product so far; then with all other cells in which one could be
-better, judged from the query's inner product with the centre and the cell's
-greatest rest: ``REACH`` standard deviations of the product of the rest with a
-random direction. Clustered vectors visit few cells; vectors without any
-structure have to visit many, as any method then must. Cells hold about
-``CELL_ROWS`` vectors; queries of a cell are spread over tasks by a hash.
+better. No vector of a cell can exceed the query's inner product with the centre
+plus what its rests can add at most (``cell_bounds``), so no cell is skipped that
+holds a better one. Tight clusters visit few cells; vectors with little or no
+structure have to visit most. Cells hold about ``CELL_ROWS`` vectors; queries of
+a cell are spread over tasks by a hash.
 
 Centres are fitted by k-means on a sample, the vectors of least hash, of
 ``SAMPLE_PER_CELL`` a cell, at most ``MOST_SAMPLE`` (a bound on the driver's
@@ -42,7 +42,6 @@ from loomspan.session import cut
 
 NEIGHBOURS = 10
 BOUND = 1.9
-REACH = 4.0
 CELL_ROWS = 2048
 SAMPLE_PER_CELL = 48
 MOST_SAMPLE = 200_000
@@ -75,6 +74,31 @@ def estimates(queries: np.ndarray, centre: np.ndarray, bits: np.ndarray, length:
     return about, BOUND * size[:, None] * (length * spread)
 
 
+def extents(points: np.ndarray, centres: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Of each vector's rest: its length, its part along the centre, the length of what is across."""
+    own = centres[cell]
+    rest = points - own
+    along = np.einsum("ij,ij->i", rest, own) / np.maximum(np.linalg.norm(own, axis=1), 1e-20)
+    length = np.linalg.norm(rest, axis=1)
+    return np.stack([length, along, np.sqrt(np.maximum(0, length**2 - along**2))], axis=1).astype(np.float32)
+
+
+def cell_bounds(queries: np.ndarray, centres: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """What no inner product of a query with a vector of a cell exceeds.
+
+    ``reach`` has for each cell the greatest length of a rest, the least and the
+    greatest part along the centre, and the greatest length across it.
+    """
+    length, least, most, across = reach.T
+    size = np.linalg.norm(queries, axis=1)[:, None]
+    norm = np.linalg.norm(centres, axis=1)
+    product = queries @ centres.T
+    along = product / np.maximum(norm, 1e-20)
+    beside = np.sqrt(np.maximum(0, size**2 - along**2) + 1e-6 * size**2)
+    rest = np.minimum(size * length, np.maximum(along * least, along * most) + beside * across)
+    return product + rest + 1e-5 * size * (norm + length)  # the last for rounding
+
+
 def search(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, cell: dict, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, inner product) of at most k vectors of a cell for each query."""
     rows, found, values = [], [], []
@@ -186,10 +210,10 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
                 continue
             points = _floats(batch.column(1), dimensions)
             cell = (points @ centres.value.T - half).argmax(axis=1)
-            rest = np.linalg.norm(points - centres.value[cell], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(rest.astype(np.float32))], names=["vec_id", "_vector", "_cell", "_rest"])
+            extent = [pa.array(c) for c in extents(points, centres.value, cell).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), *extent], names=["vec_id", "_vector", "_cell", "_rest", "_along", "_across"])
 
-    placed = cut(vectors.mapInArrow(place, "vec_id long, _vector binary, _cell int, _rest float"))
+    placed = cut(vectors.mapInArrow(place, "vec_id long, _vector binary, _cell int, _rest float, _along float, _across float"))
     scan = _scan_kernel(dimensions, centres, k)
     order = ["_cell", "_task", "_query"]
 
@@ -203,9 +227,9 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
     own = cut(scanned(placed.withColumn("_floor", F.lit(float("-inf"))), 1))
     floors = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), asc=False)[k - 1]).alias("_floor"))
     known = placed.select("vec_id", "_vector", "_cell").join(floors, "vec_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(float("-inf"))).cast("float"))
-    reach = np.zeros(len(middle), np.float32)
-    for row in placed.groupBy("_cell").agg(F.max("_rest").alias("r")).collect():  # one row a cell
-        reach[row["_cell"]] = row["r"]
+    reach = np.zeros((len(middle), 4), np.float32)
+    for row in placed.groupBy("_cell").agg(F.max("_rest"), F.min("_along"), F.max("_along"), F.max("_across")).collect():  # one row a cell
+        reach[row["_cell"]] = row[1:]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +237,7 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
                 continue
             points = _floats(batch.column(1), dimensions)
             own_cell, floor = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            size = np.linalg.norm(points, axis=1)
-            upper = points @ centres.value.T + size[:, None] * np.minimum(1.0, REACH / np.sqrt(dimensions)) * reach
-            wanted = upper >= floor[:, None]
+            wanted = cell_bounds(points, centres.value, reach) >= floor[:, None]
             wanted[np.arange(len(points)), own_cell] = False
             row, cell = np.nonzero(wanted)
             for at in range(0, len(row), 20_000):

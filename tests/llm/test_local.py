@@ -272,6 +272,19 @@ def test_code_estimates_and_bounds():
     assert abs(gap.mean()) < 0.2 and (np.abs(gap) <= error).mean() > 0.9
 
 
+def test_cell_bounds_are_exact():
+    rng = np.random.default_rng(6)
+    points = (rng.normal(size=(600, 8)) @ rng.normal(size=(8, 64))).astype(np.float32)
+    points[0] = 0
+    centres = np.concatenate([points[1:12], np.zeros((1, 64), np.float32)])
+    cell = (points @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+    found = rotated.extents(points, centres, cell)
+    reach = np.array([[f[:, 0].max(), f[:, 1].min(), f[:, 1].max(), f[:, 2].max()] for f in (found[cell == c] for c in range(12))])
+    bound = rotated.cell_bounds(points, centres, reach)
+    for c in range(12):
+        assert (bound[:, c] >= (points @ points[cell == c].T).max(axis=1)).all()
+
+
 def test_hashes_of_texts_without_words():
     data = b"!!!" + b"" + b"a b c d"
     shingles, first = minmax.shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, 3, 3, 10]))

@@ -124,6 +124,31 @@ def test_neighbours(spark, monkeypatch):
     assert rotated.nearest_neighbours(few, 5).count() == 6
 
 
+def _recall(spark, points, k=10):
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    scores = collections.defaultdict(list)
+    for r in rotated.nearest_neighbours(table, k).collect():
+        scores[r["vec_id"]].append(r["score"])
+    own = points @ points.T
+    np.fill_diagonal(own, -np.inf)
+    least = -np.sort(-own, axis=1)[:, k - 1] - 1e-4
+    return sum(s >= least[i] for i, found in scores.items() for s in found) / (len(points) * k)
+
+
+@pytest.mark.parametrize("kind", ["low-dimensional", "decaying spectrum", "many clusters"])
+def test_neighbours_in_other_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(rotated, "CELL_ROWS", 100)
+    rng = np.random.default_rng(4)
+    if kind == "low-dimensional":
+        points = rng.normal(size=(2000, 16)) @ rng.normal(size=(16, 256))
+    elif kind == "decaying spectrum":
+        points = rng.normal(size=(2000, 256)) * np.arange(1, 257) ** -0.5
+    else:
+        points = rng.normal(size=(60, 64))[rng.integers(0, 60, 2000)] + 0.6 * rng.normal(size=(2000, 64))
+    points = (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32)
+    assert _recall(spark, points) >= 0.95
+
+
 def test_packing_cases(spark, odd, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 3)
     packed = packing.best_fit_packing(odd, 256).collect()
