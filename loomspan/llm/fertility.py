@@ -11,9 +11,12 @@ by itself with the space before it; words beyond ``LONGEST`` characters are
 measured in parts of that length. Every word of every document counts.
 
 Bands. For each key and measure the band is the median over *all* documents of
-that key that have enough tokens, plus and minus ``WIDTH`` robust standard
-deviations (quartile distance / 1.349, at least ``LEAST``), widened for short
-texts by sqrt(1 + SHORT / tokens). So the bands follow the corpus, at any size.
+that key that have enough tokens, minus and plus the two ``WIDTH`` of the measure
+in robust standard deviations (quartile distance / 1.349, at least ``LEAST``),
+widened for short texts by sqrt(1 + SHORT / tokens). So the bands follow the
+corpus, at any size. Few characters a token count less in texts with more bare
+bytes than usual, by ``FOREIGN`` deviations: letters of a second language cost
+tokens as well, so there the lower width is ``FOREIGN_CHARS``.
 
 Defined cases. Null or blank texts: zero tokens, null measures, kept (nothing
 speaks against them). Fewer than ``ENOUGH`` tokens: measured, never rejected.
@@ -39,7 +42,9 @@ from loomspan.session import cut
 BYTE_VOCABULARY = "byte_bpe_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
 MEASURES = ("byte_chars", "byte_fallback", "byte_entropy", "piece_chars", "piece_fallback", "piece_entropy")
-WIDTH = {"byte_chars": 8.0, "byte_fallback": 9.0, "byte_entropy": 2.6, "piece_chars": 6.0, "piece_fallback": 9.0, "piece_entropy": 2.6}
+WIDTH = {"byte_chars": (3.5, 8.0), "byte_fallback": (9.0, 9.0), "byte_entropy": (2.6, 2.6), "piece_chars": (6.0, 6.0), "piece_fallback": (9.0, 9.0), "piece_entropy": (2.6, 2.6)}
+FOREIGN = 1.0
+FOREIGN_CHARS = 8.0
 LEAST = {"byte_chars": 0.02, "byte_fallback": 0.01, "byte_entropy": 0.05, "piece_chars": 0.02, "piece_fallback": 0.01, "piece_entropy": 0.05}
 SHORT = 160
 ENOUGH = 48
@@ -222,9 +227,16 @@ def bands(measured: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return found.select(*out)
 
 
+def _deviations(m: str) -> Column:
+    return (F.col(m) - F.col(f"_{m}_mid")) / (F.col(f"_{m}_dev") * F.sqrt(1 + SHORT / F.col("n_tokens")))
+
+
 def _outside(m: str) -> Column:
-    room = WIDTH[m] * F.col(f"_{m}_dev") * F.sqrt(1 + SHORT / F.col("n_tokens"))
-    return F.when(F.abs(F.col(m) - F.col(f"_{m}_mid")) > room, F.lit(m))
+    lower, upper = WIDTH[m]
+    least = F.lit(-lower)
+    if m == "byte_chars":
+        least = F.when(_deviations("byte_fallback") > FOREIGN, F.lit(-FOREIGN_CHARS)).otherwise(least)
+    return F.when((_deviations(m) < least) | (_deviations(m) > upper), F.lit(m))
 
 
 def judge(measured: DataFrame) -> DataFrame:

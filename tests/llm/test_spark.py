@@ -83,6 +83,24 @@ def test_fertility_rejects_what_lies_outside(spark, documents):
     assert all(found[r["doc_id"]]["keep"] for r in labels)
 
 
+def test_fertility_bands_have_two_sides(spark):
+    usual = (2.2, 0.05, 0.75, 2.2, 0.0, 0.75)
+    made = [(k, "en", 10_000, *usual) for k in range(100)]
+    for doc, chars, bare in ((100, -5, 0), (101, -5, 3), (102, 5, 0), (103, -9, 3), (104, 9, 0)):  # in deviations
+        made.append((doc, "en", 10_000, 2.2 + 0.02 * chars, 0.05 + 0.01 * bare, *usual[2:]))
+    names = ["doc_id", "band_key", "n_tokens", *fertility.MEASURES]
+    found = {r["doc_id"]: r["reasons"] for r in fertility.judge(spark.createDataFrame(made, names)).collect()}
+    assert {doc: why for doc, why in found.items() if why} == {d: ["byte_chars"] for d in (100, 103, 104)}
+
+
+def test_fertility_rejects_half_of_the_junk(spark):
+    found = fertility.fertility_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    counts = {(r["quality"], r["keep"]): r["count"] for r in found.join(labels, "doc_id").groupBy("quality", "keep").count().collect()}
+    clean, junk = (counts.get((q, True), 0) + counts.get((q, False), 0) for q in (1, 0))
+    assert counts.get((0, False), 0) >= 0.45 * junk and counts.get((1, False), 0) <= 0.01 * clean
+
+
 def test_length_histogram_is_brute_force(spark, odd):
     count = lambda t: len(vocabularies.byte_bpe("byte_bpe_50k").encode_ordinary(t))
     n = sorted(count(r["text"]) for r in odd.select("text").collect() if r["text"] is not None)
