@@ -23,7 +23,9 @@ memory; further cells' centres are then sample vectors themselves).
 
 Defined cases. Null vectors, vectors with nulls, other lengths than the first
 vector's, and null ids are left out. Zero vectors are neighbours like others.
-Of repeated ids all rows count; a row isn't a neighbour of a row of its own id.
+Equal rows count once. Of an id with several vectors all count: its neighbours, and
+it as a neighbour, are ranked by the best pair of their vectors, each id once; a
+row isn't a neighbour of a row of its own id.
 Ties go to the least id. Fewer than k others: all of them. Empty table: no rows.
 """
 
@@ -100,16 +102,22 @@ def cell_bounds(queries: np.ndarray, centres: np.ndarray, reach: np.ndarray) ->
 
 
 def search(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, cell: dict, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, inner product) of at most k vectors of a cell for each query."""
+    """(query row, vector row, inner product) of at most k ids of a cell for each query.
+
+    A cell's rows are sorted by id.
+    """
     rows, found, values = [], [], []
     own = cell["ids"]
+    first_of = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     for at in range(0, len(queries), _SLICE):
         part = queries[at : at + _SLICE]
         about, error = estimates(part, cell["centre"], cell["bits"], cell["length"], cell["fit"], turn)
         other = ids[at : at + _SLICE, None] != own[None, :]
         low = np.where(other, about - error, -np.inf)
         least = floor[at : at + _SLICE].copy()
-        if len(own) > k:
+        if len(first_of) < len(own):
+            low = np.maximum.reduceat(low, first_of, axis=1)
+        if len(first_of) > k:
             least = np.maximum(least, -np.partition(-low, k - 1, axis=1)[:, k - 1])
         row, column = np.nonzero(other & (about + error >= least[:, None]))
         exact = np.empty(len(row), dtype=np.float32)
@@ -117,6 +125,11 @@ def search(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, cell: dict,
             exact[b : b + 65536] = np.einsum("ij,ij->i", part[row[b : b + 65536]], cell["vectors"][column[b : b + 65536]])
         good = exact >= floor[at : at + _SLICE][row]
         row, column, exact = row[good], column[good], exact[good]
+        if len(first_of) < len(own):
+            by = np.lexsort((-exact, own[column], row))
+            row, column, exact = row[by], column[by], exact[by]
+            once = np.append(True, (row[1:] != row[:-1]) | (own[column[1:]] != own[column[:-1]]))[: len(row)]
+            row, column, exact = row[once], column[once], exact[once]
         by = np.lexsort((own[column], -exact, row))
         row, column, exact = row[by], column[by], exact[by]
         first = np.searchsorted(row, row)
@@ -142,6 +155,8 @@ def _scan_kernel(dimensions: int, centres, k: int):
         def build(number: int) -> dict:
             ids = np.concatenate([h[0] for h in held])
             vectors = np.concatenate([h[1] for h in held])
+            by = np.argsort(ids, kind="stable")
+            ids, vectors = ids[by], vectors[by]
             centre = centres.value[number]
             bits, length, fit = codes(vectors - centre, turn)
             return {"ids": ids, "vectors": vectors, "centre": centre, "bits": bits, "length": length, "fit": fit}
@@ -197,7 +212,7 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(flat.reshape(-1, dimensions))], names=["vec_id", "_vector"])
 
-    vectors = cut(given.where(F.size("_given") == dimensions).mapInArrow(pack, "vec_id long, _vector binary"))
+    vectors = cut(given.where(F.size("_given") == dimensions).mapInArrow(pack, "vec_id long, _vector binary").distinct())
     count = vectors.count()
     cells = max(1, count // CELL_ROWS)
     middle = _centres(vectors, count, cells, dimensions) if count else np.zeros((1, dimensions), np.float32)
@@ -224,7 +239,11 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
         rows = base.unionByName(asked).repartition("_cell", "_task").sortWithinPartitions(*order)
         return rows.mapInArrow(scan, "vec_id long, neighbour long, score double")
 
-    own = cut(scanned(placed.withColumn("_floor", F.lit(float("-inf"))), 1))
+    def once(scores: DataFrame) -> DataFrame:
+        """The best score of each pair of ids; all of an id in one partition."""
+        return scores.repartition("vec_id").groupBy("vec_id", "neighbour").agg(F.max("score").alias("score"))
+
+    own = cut(once(scanned(placed.withColumn("_floor", F.lit(float("-inf"))), 1)))
     floors = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), asc=False)[k - 1]).alias("_floor"))
     known = placed.select("vec_id", "_vector", "_cell").join(floors, "vec_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(float("-inf"))).cast("float"))
     reach = np.zeros((len(middle), 4), np.float32)
@@ -248,7 +267,7 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
                 )
 
     others = known.mapInArrow(visit, "vec_id long, _vector binary, _cell int, _floor float")
-    found = own.unionByName(scanned(others, max(1, count // (TASK_QUERIES * 8) + 1)))
+    found = once(own.unionByName(scanned(others, max(1, count // (TASK_QUERIES * 8) + 1))))
     ranks = Window.partitionBy("vec_id").orderBy(F.col("score").desc(), "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "rank", "neighbour", "score")

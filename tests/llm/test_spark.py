@@ -153,6 +153,32 @@ def _recall(spark, points, k=10):
     return sum(s >= least[i] for i, found in scores.items() for s in found) / (len(points) * k)
 
 
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(rotated, "CELL_ROWS", 60)
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(6, 16))[rng.integers(0, 6, 300)] + 0.3 * rng.normal(size=(300, 16))).astype(np.float32)
+    given = [(k, p) for k, p in enumerate(points)]
+    given += [(7, points[7])] * 11  # equal rows
+    given += [(8, points[8] * (1 + c / 100)) for c in range(1, 12)]  # one id, many vectors close by
+    given += [(9, points[k]) for k in (20, 40, 60)]  # and far apart
+    ids, all_points = np.array([k for k, _ in given]), np.array([p for _, p in given])
+    product = all_points @ all_points.T
+    best = np.full((300, 300), -np.inf, dtype=np.float32)
+    np.maximum.at(best, (ids[:, None], ids[None, :]), product)
+    np.fill_diagonal(best, -np.inf)
+    table = spark.createDataFrame([(k, p.tolist()) for k, p in given], "vec_id long, embedding array<float>")
+    by = collections.defaultdict(list)
+    for r in rotated.nearest_neighbours(table, 10).collect():
+        by[r["vec_id"]].append((r["rank"], r["neighbour"], r["score"]))
+    assert set(by) == set(range(300))
+    right = {}
+    for k, found in by.items():
+        assert sorted(r for r, _, _ in found) == list(range(1, 11)) and len({o for _, o, _ in found} - {k}) == 10
+        least = np.sort(best[k])[-10] - 1e-4
+        right[k] = sum(s >= least for _, _, s in found)
+    assert sum(right.values()) >= 0.95 * 3000 and all(right[k] >= 9 for k in (7, 8, 9))
+
+
 @pytest.mark.parametrize("kind", ["low-dimensional", "decaying spectrum", "many clusters"])
 def test_neighbours_in_other_cells(spark, monkeypatch, kind):
     monkeypatch.setattr(rotated, "CELL_ROWS", 100)
