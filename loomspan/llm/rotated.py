@@ -21,8 +21,9 @@ Centres are fitted by k-means on a sample, the vectors of least hash, of
 ``SAMPLE_PER_CELL`` a cell, at most ``MOST_SAMPLE`` (a bound on the driver's
 memory; further cells' centres are then sample vectors themselves).
 
-Defined cases. Null vectors, vectors with nulls, other lengths than the first
-vector's, and null ids are left out. Zero vectors are neighbours like others.
+Defined cases. Null ids, null and empty vectors, vectors with nulls, NaN or
+numbers over ``GREATEST`` (whose products overflow) are left out, and of the rest
+those of another length than the most frequent one (of several, the least). Zero vectors are neighbours like others.
 Equal rows count once. Of an id with several vectors all count: its neighbours, and
 it as a neighbour, are ranked by the best pair of their vectors, each id once; a
 row isn't a neighbour of a row of its own id.
@@ -48,6 +49,7 @@ CELL_ROWS = 2048
 SAMPLE_PER_CELL = 48
 MOST_SAMPLE = 200_000
 TASK_QUERIES = 100_000
+GREATEST = 1e17
 _SLICE = 512
 
 
@@ -203,9 +205,11 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
     """``vec_id``, ``rank`` (1 to k), ``neighbour``, ``score`` for every vector of the table."""
     spark = table.sparkSession
     given = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("_given"))
-    given = given.where(F.col("vec_id").isNotNull() & F.col("_given").isNotNull() & ~F.exists("_given", lambda x: x.isNull()))
-    first = given.select(F.size("_given").alias("n")).head()
-    dimensions = first["n"] if first else 1
+    # NaN is greater than any number
+    sound = ~F.exists("_given", lambda x: x.isNull() | (F.abs(x) > GREATEST))
+    given = given.where(F.col("vec_id").isNotNull() & F.col("_given").isNotNull() & (F.size("_given") > 0) & sound)
+    usual = given.groupBy(F.size("_given").alias("n")).count().orderBy(F.desc("count"), "n").head()
+    dimensions = usual["n"] if usual else 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

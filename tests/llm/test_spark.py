@@ -179,6 +179,24 @@ def test_neighbours_of_repeated_ids(spark, monkeypatch):
     assert sum(right.values()) >= 0.95 * 3000 and all(right[k] >= 9 for k in (7, 8, 9))
 
 
+def test_neighbours_beside_bad_vectors(spark, monkeypatch):
+    monkeypatch.setattr(rotated, "CELL_ROWS", 60)
+    points = np.random.default_rng(9).normal(size=(200, 8)).astype(np.float32)
+    good = [(k, p.tolist()) for k, p in enumerate(points)]
+    bad = [(1000, []), (1001, [1.0]), (1002, [1.0] * 9)]
+    bad += [(1100 + k, [x] * 8) for k, x in enumerate((float("nan"), float("inf"), float("-inf"), 1e30, -1e30))]
+    bad += [(1200 + k, [float("nan")] + [1.0] * 7) for k in range(50)]
+    wanted = None
+    for rows in (good, bad + good):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+        found = {(r["vec_id"], r["rank"]): r["neighbour"] for r in rotated.nearest_neighbours(table, 5).collect()}
+        wanted = wanted or found
+        assert len(found) == 1000 and found == wanted
+    even = [(k, p.tolist()[: 8 - k % 2]) for k, p in enumerate(points)]
+    found = rotated.nearest_neighbours(spark.createDataFrame(even, "vec_id long, embedding array<float>"), 5)
+    assert {r["vec_id"] for r in found.collect()} == set(range(1, 200, 2))
+
+
 @pytest.mark.parametrize("kind", ["low-dimensional", "decaying spectrum", "many clusters"])
 def test_neighbours_in_other_cells(spark, monkeypatch, kind):
     monkeypatch.setattr(rotated, "CELL_ROWS", 100)
