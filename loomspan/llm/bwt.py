@@ -156,7 +156,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse; all suffixes have to differ.
 
     Prefix doubling; rank pair and place are packed into one 64-bit number, so
-    that each round is a plain sort.
+    that each round is a plain sort, where they fit into it (below 2^21 symbols).
     """
     size = len(symbols)
     bits = max(1, int(size).bit_length())
@@ -169,9 +169,13 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         second = np.zeros(size, dtype=np.uint64)
         if step < size:
             second[: size - step] = rank[step:] + np.uint64(1)
-        packed = np.sort((rank << (shift + shift)) | (second << shift) | place)
-        order = (packed & low).astype(np.int64)
-        pair = packed >> shift
+        if 3 * bits <= 64:
+            packed = np.sort((rank << (shift + shift)) | (second << shift) | place)
+            order = (packed & low).astype(np.int64)
+            pair = packed >> shift
+        else:
+            order = np.lexsort((second, rank))
+            pair = ((rank << shift) | second)[order]
         new = np.zeros(size, dtype=np.uint64)
         np.cumsum(pair[1:] != pair[:-1], out=new[1:])
         rank = np.empty(size, dtype=np.uint64)

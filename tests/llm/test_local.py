@@ -285,6 +285,12 @@ def test_cell_bounds_are_exact():
         assert (bound[:, c] >= (points @ points[cell == c].T).max(axis=1)).all()
 
 
+def test_suffix_order_of_over_two_million_symbols():
+    symbols = np.random.default_rng(7).permutation((1 << 21) + 1000)
+    order, inverse = bwt.suffix_order(symbols)
+    assert (symbols[order] == np.arange(len(symbols))).all() and (inverse == symbols).all()
+
+
 def test_hashes_of_texts_without_words():
     data = b"!!!" + b"" + b"a b c d"
     shingles, first = minmax.shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, 3, 3, 10]))
