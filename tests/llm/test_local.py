@@ -260,29 +260,24 @@ def test_chunks_cover_every_byte():
         assert seen.all()
 
 
-def test_code_estimates_and_bounds():
+@pytest.mark.parametrize("dimensions", [5, 64, 300])
+def test_code_estimates_and_bounds(dimensions):
     rng = np.random.default_rng(4)
-    vectors, queries = rng.normal(size=(500, 64)).astype(np.float32), rng.normal(size=(40, 64)).astype(np.float32)
-    centre, turn = vectors.mean(axis=0), rotated.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64), atol=1e-4)
+    vectors, queries = (rng.normal(size=(n, dimensions)).astype(np.float32) for n in (500, 40))
+    centre, turn = vectors.mean(axis=0), rotated.rotation(dimensions)
+    assert np.allclose(turn @ turn.T, np.eye(dimensions), atol=1e-4)
     bits, length, fit = rotated.codes(vectors - centre, turn)
-    assert bits.shape == (500, 8)
-    about, error = rotated.estimates(queries, centre, bits, length, fit, turn)
-    gap = about - queries @ vectors.T
+    assert bits.shape == (500, rotated.code_bits(dimensions) // 8) and rotated.code_bits(dimensions) % 64 == 0
+    row, column = (x.ravel() for x in np.indices((40, 500)))
+    turned = queries @ turn
+    about, error = rotated.estimates(turned[row], bits[column], length[column], fit[column])
+    gap = about - (queries @ (vectors - centre).T).ravel()
     assert abs(gap.mean()) < 0.2 and (np.abs(gap) <= error).mean() > 0.9
-
-
-def test_cell_bounds_are_exact():
-    rng = np.random.default_rng(6)
-    points = (rng.normal(size=(600, 8)) @ rng.normal(size=(8, 64))).astype(np.float32)
-    points[0] = 0
-    centres = np.concatenate([points[1:12], np.zeros((1, 64), np.float32)])
-    cell = (points @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
-    found = rotated.extents(points, centres, cell)
-    reach = np.array([[f[:, 0].max(), f[:, 1].min(), f[:, 1].max(), f[:, 2].max()] for f in (found[cell == c] for c in range(12))])
-    bound = rotated.cell_bounds(points, centres, reach)
-    for c in range(12):
-        assert (bound[:, c] >= (points @ points[cell == c].T).max(axis=1)).all()
+    packed = np.packbits(turned > 0, axis=1)
+    differ = rotated.differing(rotated.words(packed), rotated.words(bits))
+    assert (differ == np.unpackbits(packed[:, None] ^ bits[None], axis=2).sum(axis=2)).all()
+    upper = rotated.angle_table(turn.shape[1])[differ] * length * np.linalg.norm(queries, axis=1)[:, None]
+    assert (upper.ravel() >= (queries @ (vectors - centre).T).ravel() - 1e-4).mean() > 0.995
 
 
 def test_suffix_order_of_over_two_million_symbols():

@@ -211,6 +211,43 @@ def test_neighbours_in_other_cells(spark, monkeypatch, kind):
     assert _recall(spark, points) >= 0.95
 
 
+def test_neighbours_of_a_query_set(spark, monkeypatch):
+    """Every 50th id against all rows; a third of all rows one vector, ids as text."""
+    monkeypatch.setattr(rotated, "CELL_ROWS", 200)
+    monkeypatch.setattr(rotated, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(rotated, "TASK_QUERIES", 4)
+    points = np.random.default_rng(5).normal(size=(1200, 64)).astype(np.float32)
+    points[::3] = points[0]
+    given = spark.createDataFrame([(f"{i:05d}", p.tolist(), i) for i, p in enumerate(points)], "vec_id string, embedding array<float>, _h int")
+    found = rotated.nearest_neighbours(given, queries=F.col("vec_id").cast("int") % 50 == 0).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["vec_id"], r["rank"])):
+        by[int(r["vec_id"])].append((int(r["neighbour"]), r["score"]))
+    assert set(by) == set(range(0, 1200, 50))
+    hits = 0
+    for k, got in by.items():
+        own = points @ points[k]
+        own[k] = -np.inf
+        best = np.lexsort((np.arange(1200), -own.round(3)))[:10]
+        assert len(got) == 10 and np.allclose([s for _, s in got], own[[o for o, _ in got]], atol=1e-3)
+        hits += len({o for o, _ in got} & set(best.tolist()))
+    assert hits >= 0.9 * 240
+
+
+def test_neighbours_of_one_id_with_most_vectors(spark, monkeypatch):
+    monkeypatch.setattr(rotated, "CELL_ROWS", 100)
+    points = np.random.default_rng(6).normal(size=(600, 32)).astype(np.float32)
+    ids = [3 if i < 400 else i for i in range(600)]
+    given = spark.createDataFrame([(i, p.tolist()) for i, p in zip(ids, points)], "vec_id int, embedding array<float>")
+    best = collections.defaultdict(lambda: -np.inf)
+    for i, row in zip(ids, points @ points.T):
+        for j, x in zip(ids, row):
+            best[i, j] = max(best[i, j], x)
+    found = rotated.nearest_neighbours(given, 5).collect()
+    right = sum(r["score"] >= sorted((best[r["vec_id"], j] for j in {*ids} - {r["vec_id"]}), reverse=True)[4] - 1e-3 for r in found)
+    assert len(found) == 5 * 201 and right >= 0.95 * len(found)
+
+
 def test_packing_cases(spark, odd, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 3)
     packed = packing.best_fit_packing(odd, 256).collect()
