@@ -2,8 +2,10 @@
 
 Row identity. Operators that compare rows with each other (6, 8, 9) take a row
 to be the pair of its ``doc_id`` and the hash of its text, so a ``doc_id`` may
-be null or be used twice. Input columns that an operator doesn't read never
-reach its joins; inner columns have names that start with ``_``.
+be null or be used twice and be of any type that Spark can hash. Whole numbers
+stand for themselves, so that rows are ordered by id; ids of other types stand
+for their 64-bit hash and are ordered by it. ``keyed`` renames all input columns,
+so that none of them can clash with an inner one, and ``restored`` gives ids back.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType
 
 #: 64-bit arithmetic wraps on purpose throughout.
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -131,3 +136,55 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
 
 def list_of(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+_NO_ID = -(1 << 63)
+
+
+def whole(kind: DataType) -> bool:
+    return isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+
+
+def identity(ident: Column, kind: DataType, text: Column) -> dict[str, Column]:
+    """``_id`` and ``_key`` of a row, neither ever null.
+
+    The lowest bit of ``_key`` says whether the id is null, so that a null is
+    never taken for the least number.
+    """
+    number = ident.cast("long") if whole(kind) else F.xxhash64(ident)
+    key = F.shiftleft(F.shiftright(F.xxhash64(text.cast("string")), 1), 1).bitwiseOR(ident.isNull().cast("long"))
+    return {"_id": F.when(ident.isNull(), F.lit(_NO_ID)).otherwise(number), "_key": key}
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """All columns as ``c0``, ``c1`` ..., then ``_id`` and ``_key``; the names of id and text."""
+    names = docs.columns
+    ident, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    inner = inner.withColumn(text, F.col(text).cast("string"))
+    return inner.withColumns(identity(F.col(ident), docs.schema["doc_id"].dataType, F.col(text))), ident, text
+
+
+def named(frame: DataFrame, names: list[str]) -> DataFrame:
+    """The input columns under their own names again."""
+    return frame.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``_id``, ``_key``, ``text`` of rows with a text."""
+    inner, _, text = keyed(docs.select("doc_id", "text"))
+    return inner.select("_id", "_key", F.col(text).alias("text")).where(F.col("text").isNotNull())
+
+
+def restored(frame: DataFrame, docs: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
+    """``frame`` with the ids (column of ``_id``, column of ``_key``, new name) as they were."""
+    kind = docs.schema["doc_id"].dataType
+    if whole(kind):
+        back = lambda i, k: F.when((F.col(i) == _NO_ID) & (F.col(k) % 2 != 0), None).otherwise(F.col(i).cast(kind))
+        return frame.withColumns({name: back(i, k) for i, k, name in pairs})
+    inner, ident, _ = keyed(docs.select("doc_id", "text"))
+    for i, k, name in pairs:
+        # one row for each pair, whatever the number of equal rows
+        known = inner.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.min(ident).alias(name))
+        frame = frame.join(known, (F.col(i) == F.col("_i")) & (F.col(k) == F.col("_k")), "left").drop("_i", "_k")
+    return frame
