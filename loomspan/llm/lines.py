@@ -5,8 +5,11 @@ the hash is uniform, so equal ranges of it make equal partitions without a
 sampling pass. Within a partition rows are sorted by hash, then document, then
 position, and a streaming pass keeps the first of each hash. A line that occurs
 often in one Arrow batch leaves that batch once, so that a line that everybody
-has doesn't make a hot partition. No text is shuffled: what comes back is which
-positions stay, as a run-length compressed bitmap for each document.
+has doesn't make a hot partition. No text is shuffled for the bitmaps: hashes go
+out, positions that stay come back, and are joined with each document's number
+of lines and blank positions into a run-length compressed bitmap. Only
+``drop_repeated_lines``, which gives texts, joins them with the bitmaps of those
+documents that lose a line.
 
 Lines end at a line feed; they are compared by their bytes without white space
 at either end. Blank lines always stay. The first occurrence is the one with
@@ -16,7 +19,7 @@ The bitmap is a string of run lengths, kept and dropped lines in turn, the
 first run being kept lines: "3,2,1" keeps three, drops two, keeps one; "0,4"
 drops four.
 
-Defined cases. Null text: null bitmap and counts. Empty text: one blank line,
+Defined cases. Ids may be of any type (``common``). Null text: null bitmap and counts. Empty text: one blank line,
 which stays. Rows that agree in id and text get the same bitmap, that of one of
 them. Empty table: no rows.
 """
@@ -31,9 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, text_bytes
+from loomspan.llm.common import identified, keyed, named, slices, text_bytes
 
-_NULL_ID = -(1 << 63)
+
+#: Text whose lines are sorted in one task; ranges that a shuffle may have at most.
+RANGE_BYTES = 256 << 20
+MOST_RANGES = 50_000
 
 
 def _lines(data: bytes, start: int, stop: int) -> list[bytes]:
@@ -85,21 +91,17 @@ def _first_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (2, 3, 4)], names=["_id", "_key", "_position"])
 
 
-def _with_key(docs: DataFrame, *more: str) -> DataFrame:
-    """Id without nulls, hash of the text, the text; then further columns."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("_key"),
-        F.col("text").cast("string").alias("text"),
-        *more,
-    )
-
-
 def first_occurrences(docs: DataFrame) -> DataFrame:
-    """``_id``, ``_key``, ``_position`` of the first occurrence of each line."""
+    """``_id``, ``_key``, ``_position`` of the first occurrence of each line.
+
+    There are as many ranges as make partitions of about ``RANGE_BYTES`` of text,
+    and at least as many as the session's shuffles have.
+    """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = _with_key(docs).where(F.col("text").isNotNull()).mapInArrow(_hash_kernel, "_a long, _b long, _id long, _key long, _position int")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # unknown, as of local rows
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
+    hashed = identified(docs).mapInArrow(_hash_kernel, "_a long, _b long, _id long, _key long, _position int")
     number = F.expr(f"cast((shiftright(_a, 32) + 2147483648L) * {parts}L div 4294967296L as int)")
     ranged = hashed.repartitionById(parts, number).sortWithinPartitions("_a", "_b", "_id", "_key", "_position")
     return ranged.mapInArrow(_first_kernel, "_id long, _key long, _position int")
@@ -120,48 +122,67 @@ def from_run_lengths(runs: str) -> np.ndarray:
     return np.repeat(np.arange(len(lengths)) % 2 == 0, lengths)
 
 
-def _bitmap_kernel(apply: bool):
-    """Bitmaps from texts and kept positions; ``apply`` gives the kept text as well."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            data, offsets = text_bytes(batch.column(0))
-            raw = data.tobytes()
-            texts = batch.column(0)
-            positions = batch.column(1)
-            counts, kept, maps, left = [], [], [], []
-            for row in range(batch.num_rows):
-                if not texts[row].is_valid:
-                    counts.append(None), kept.append(None), maps.append(None), left.append(None)
-                    continue
-                lines = _lines(raw, offsets[row], offsets[row + 1])
-                bits = np.fromiter((not line or line.isspace() for line in lines), dtype=bool, count=len(lines))
-                if positions[row].is_valid:
-                    bits[positions[row].values.to_numpy()] = True
-                counts.append(len(lines)), kept.append(int(bits.sum())), maps.append(run_lengths(bits))
-                if apply:
-                    left.append(b"\n".join([line for line, stays in zip(lines, bits) if stays]))
-            columns = [pa.array(counts, pa.int32()), pa.array(kept, pa.int32()), pa.array(maps, pa.string())]
-            names = ["n_lines", "n_kept", "keep"]
-            if apply:
-                columns.append(pa.array(left, pa.binary()).cast(pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names + batch.schema.names[2:])
-
-    return kernel
-
-
-def _joined(docs: DataFrame, *more: str) -> DataFrame:
-    """Each row with the positions of its lines that stay."""
+def _blank_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of lines and positions of the blank ones; null for a null text."""
+    for batch in slices(batches, "text", 4 << 20):
+        data, offsets = text_bytes(batch.column(0))
+        raw, valid = data.tobytes(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        counts, blanks = [], []
+        for row in range(batch.num_rows):
+            lines = _lines(raw, offsets[row], offsets[row + 1])
+            counts.append(len(lines) if valid[row] else None)
+            blanks.append([k for k, line in enumerate(lines) if not line or line.isspace()] if valid[row] else None)
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int32()), pa.array(blanks, pa.list_(pa.int32())), *batch.columns[1:]], names=["n_lines", "_blank", *batch.schema.names[1:]])
+
+
+def _bitmap_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps from numbers of lines, blank and kept positions."""
+    for batch in batches:
+        counts, blanks, stays = (batch.column(k) for k in range(3))
+        kept, maps = [], []
+        for row in range(batch.num_rows):
+            if not counts[row].is_valid:
+                kept.append(None), maps.append(None)
+                continue
+            bits = np.zeros(counts[row].as_py(), dtype=bool)
+            for found in (blanks[row], stays[row]):
+                if found.is_valid:
+                    bits[found.values.to_numpy()] = True
+            kept.append(int(bits.sum())), maps.append(run_lengths(bits))
+        yield pa.RecordBatch.from_arrays([counts, pa.array(kept, pa.int32()), pa.array(maps, pa.string()), *batch.columns[3:]], names=["n_lines", "n_kept", "keep", *batch.schema.names[3:]])
+
+
+def _bitmaps(docs: DataFrame, ident: bool) -> DataFrame:
+    """``n_lines``, ``n_kept``, ``keep`` of each row; ``doc_id`` or else, of each distinct one, ``_id`` and ``_key``."""
+    inner, number, text = keyed(docs.select("doc_id", "text"))
     stay = first_occurrences(docs).groupBy("_id", "_key").agg(F.collect_set("_position").alias("_stay"))
-    rows = _with_key(docs, *more)
-    return rows.join(stay, ["_id", "_key"], "left").select("text", "_stay", *more)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = inner.select(F.col(text).alias("text"), "_id", "_key", F.col(number).alias("doc_id"))
+    rows = rows.mapInArrow(_blank_kernel, f"n_lines int, _blank array<int>, _id long, _key long, doc_id {kind}")
+    if ident:
+        joined = rows.join(stay, ["_id", "_key"], "left").select("n_lines", "_blank", "_stay", "doc_id")
+        return joined.mapInArrow(_bitmap_kernel, f"n_lines int, n_kept int, keep string, doc_id {kind}")
+    once = rows.where("n_lines IS NOT NULL").groupBy("_id", "_key").agg(F.max("n_lines").alias("n_lines"), F.first("_blank").alias("_blank"))
+    joined = once.join(stay, ["_id", "_key"], "left").select("n_lines", "_blank", "_stay", "_id", "_key")
+    return joined.mapInArrow(_bitmap_kernel, "n_lines int, n_kept int, keep string, _id long, _key long")
 
 
 def line_bitmaps(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_kept``, ``keep`` for each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _joined(docs, "doc_id").mapInArrow(_bitmap_kernel(False), f"n_lines int, n_kept int, keep string, doc_id {kind}").select("doc_id", "n_lines", "n_kept", "keep")
+    return _bitmaps(docs, True).select("doc_id", "n_lines", "n_kept", "keep")
+
+
+def _cut_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines that their bitmaps drop."""
+    for batch in batches:
+        texts = []
+        for text, runs in zip(batch.column(0), batch.column(1).to_pylist()):
+            if not text.is_valid or runs is None or "," not in runs:
+                texts.append(text.as_py())
+                continue
+            lines = text.as_buffer().to_pybytes().split(b"\n")
+            texts.append(b"\n".join([line for line, stays in zip(lines, from_run_lengths(runs)) if stays]).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=batch.schema.names)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -170,12 +191,11 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     A document of which no line with text is left is left out; documents that
     had none before stay.
     """
-    names = docs.columns
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    inner = inner.select(*inner.columns, F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
-    more = [f"c{i}" for i, n in enumerate(names) if n != "text"]
-    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(more, others))
-    found = _joined(inner, *more).mapInArrow(_bitmap_kernel(True), "n_lines int, n_kept int, keep string, text string" + (", " if kinds else "") + kinds)
-    found = found.where(F.col("text").isNull() | (F.col("n_kept") == F.col("n_lines")) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return found.select(*[F.col("text").alias("text") if n == "text" else F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    inner, _, text = keyed(docs)
+    maps = _bitmaps(docs, False).where("n_kept < n_lines").select("_id", "_key", "keep")
+    others = [f"c{i}" for i, n in enumerate(docs.columns) if n != "text"]
+    kinds = "".join(f", {c} {docs.schema.fields[int(c[1:])].dataType.simpleString()}" for c in others)
+    joined = inner.join(maps, ["_id", "_key"], "left").select(text, F.col("keep").alias("_keep"), *others)
+    left = joined.mapInArrow(_cut_kernel, f"{text} string, _keep string{kinds}")
+    left = left.where(F.col(text).isNull() | F.col("_keep").isNull() | F.col(text).rlike(r"\S"))
+    return named(left, docs.columns)
