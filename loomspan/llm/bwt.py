@@ -20,17 +20,19 @@ stops at LEAST: borders without a value then have common prefixes of at least
 LEAST words, and runs of them are the repeated passages. No text comparison or
 LCP array of larger values is ever made.
 
-Large groups. Windows equal to one before are taken out before sorting. A
-minimizer that occurs over ``HOT`` times is replaced by the LEAST-word runs
-through it, each a group of its own whose windows are all equal, so that they
-stream. All cases give the same result.
+Large groups. Windows equal to one before are taken out before sorting, and a
+block of groups is sorted when it has ``MOST_SYMBOLS``. The LEAST-word runs
+through a minimizer that occurs over ``HOT`` times don't meet in one place: runs
+are the same if their hashes are, so the first of each is an aggregate with a
+part on the map side, and a join says of every run whether it is the first. All
+cases give the same result.
 
 Words are those of ``common.word_hashes``. The first occurrence of a run is the
 one with the least (doc_id, text hash, position), null ids first.
 
-Defined cases. Null, blank and short texts have no runs. Repeated rows, equal in
-id and text, are one document and no repetition of each other. Empty table: no
-rows.
+Defined cases. Ids may be of any type (``common``). Null, blank and short texts
+have no runs. Repeated rows, equal in id and text, are one document and no
+repetition of each other. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -44,15 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.llm.common import _powers, mix, slices, text_bytes, word_hashes
-from loomspan.llm.lines import _NULL_ID, _with_key
+from loomspan.llm.common import _powers, identified, keyed, mix, named, restored, slices, text_bytes, word_hashes
 from loomspan.llm.minmax import _apart
 
 LEAST = 50
 GRAM = 24
 SPAN = LEAST - GRAM + 1
 HOT = 20_000
-#: Symbols that are sorted at once; ranks and places have to fit 20 bits.
+#: Symbols from which on a block of groups is sorted; the last group may add HOT windows.
 MOST_SYMBOLS = 600_000
 
 
@@ -124,22 +125,11 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row, words in _documents(data, offsets):
             short = (words >> np.uint64(32)).astype(np.uint32)
             found = lists[row].values
-            place, anchor, hot = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            _, once = np.unique(place, return_index=True)
-            singly = []
-            for i in once:
-                begin = max(0, int(place[i]) - (LEAST - GRAM))
-                end = min(len(words), int(place[i]) + LEAST)
-                if hot[i]:
-                    singly.append(np.arange(begin, end - LEAST + 1))
-                    continue
-                window = short[begin:end].tobytes()
-                out.append((anchor[i], ids[row], keys[row], begin, _whole(window), window))
-            if singly:  # each run once, however many minimizers it goes through
-                runs = _gram_hashes(words, LEAST).view(np.int64)
-                for at in np.unique(np.concatenate(singly)).tolist():
-                    window = short[at : at + LEAST].tobytes()
-                    out.append((int(runs[at]), ids[row], keys[row], at, _whole(window), window))
+            place, anchor = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for at, value in zip(place.tolist(), anchor.tolist()):
+                begin = max(0, at - (LEAST - GRAM))
+                window = short[begin : min(len(words), at + LEAST)].tobytes()
+                out.append((value, ids[row], keys[row], begin, _whole(window), window))
             if len(out) > 20_000:
                 yield _rows(out, names)
                 out = []
@@ -147,6 +137,28 @@ def _window_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _rows(out, names)
 
 
+def _run_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of a document's runs through hot minimizers, each run once, however many it goes through."""
+    for batch in slices(batches, "text"):
+        data, offsets = text_bytes(batch.column(2))
+        ids, keys, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+        rows, starts, runs = [], [], []
+        for row, words in _documents(data, offsets):
+            number = len(words) - LEAST + 1
+            edges = np.zeros(number + 1, dtype=np.int64)
+            place = lists[row].values.field(0).to_numpy(zero_copy_only=False)
+            np.add.at(edges, np.maximum(0, place - (LEAST - GRAM)), 1)
+            np.add.at(edges, np.minimum(number, place + 1), -1)
+            at = np.flatnonzero(np.cumsum(edges[:-1]))
+            rows.append(np.full(len(at), row))
+            starts.append(at)
+            runs.append(_gram_hashes(words, LEAST)[at])
+        if rows:
+            row = np.concatenate(rows)
+            columns = [np.concatenate(runs).view(np.int64), ids[row], keys[row], np.concatenate(starts).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_run", "_id", "_key", "_start"])
+
+
 def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), kinds)], names=names)
@@ -341,15 +353,26 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 
 def _spans_of(docs: DataFrame) -> DataFrame:
     """``_id``, ``_key``, ``_repeat``, ``_start``, ``_end`` (words), merged."""
-    rows = _with_key(docs).where(F.col("text").isNotNull())
+    rows = identified(docs)
     anchors = rows.mapInArrow(_minimizer_kernel, "_anchor long, _id long, _key long, _place int")
-    anchors = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("_anchor"))).where("_n > 1")
-    listed = F.struct("_place", "_anchor", (F.col("_n") > HOT).alias("hot"))
-    shared = anchors.groupBy("_id", "_key").agg(F.collect_list(listed).alias("_shared"))
-    held = rows.join(shared, ["_id", "_key"]).select("_id", "_key", "text", "_shared")
-    windows = held.mapInArrow(_window_kernel, "_anchor long, _id long, _key long, _start int, _whole long, _words binary")
+    # counted with a part on the map side, as a third of all may be one minimizer; rows that are equal aren't several
+    where = F.struct("_id", "_key", "_place")
+    counts = anchors.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min(where).alias("_low"), F.max(where).alias("_high"))
+    counts = counts.where("_low <> _high").select("_anchor", (F.col("_n") > HOT).alias("_hot"))
+    listed = F.struct("_place", "_anchor")
+    of = lambda hot: F.array_sort(F.collect_set(F.when(F.col("_hot") == hot, listed)))
+    shared = anchors.join(counts, "_anchor").groupBy("_id", "_key").agg(of(False).alias("_cold"), of(True).alias("_warm"))
+    once = rows.groupBy("_id", "_key").agg(F.first("text").alias("text"))
+    held = once.join(shared, ["_id", "_key"])
+    windows = held.where(F.size("_cold") > 0).select("_id", "_key", "text", "_cold")
+    windows = windows.mapInArrow(_window_kernel, "_anchor long, _id long, _key long, _start int, _whole long, _words binary")
     sorted_windows = windows.repartition("_anchor").sortWithinPartitions("_anchor", "_whole", "_id", "_key", "_start")
     spans = sorted_windows.mapInArrow(_span_kernel, "_id long, _key long, _repeat boolean, _start int, _end int")
+    runs = held.where(F.size("_warm") > 0).select("_id", "_key", "text", "_warm").mapInArrow(_run_kernel, "_run long, _id long, _key long, _start int")
+    where = F.struct("_id", "_key", "_start")
+    firsts = runs.groupBy("_run").agg(F.min(where).alias("_first"), F.max(where).alias("_last")).where("_first <> _last").drop("_last")
+    told = runs.join(firsts, "_run").select("_id", "_key", (where != F.col("_first")).alias("_repeat"), "_start", (F.col("_start") + LEAST).alias("_end"))
+    spans = spans.unionByName(told)
     order = Window.partitionBy("_id", "_key", "_repeat").orderBy("_start", "_end")
     reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     # spans that only touch are runs of their own unless a run joins them
@@ -366,9 +389,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     of neighbouring such positions; word numbers count from 0, the end is the
     first word after.
     """
-    found = _spans_of(docs)
+    found = restored(_spans_of(docs), docs, ("_id", "_key", "doc_id"))
     return found.select(
-        F.when(F.col("_id") == _NULL_ID, None).otherwise(F.col("_id")).alias("doc_id"),
+        "doc_id",
         F.when(F.col("_repeat"), "repeat").otherwise("first").alias("kind"),
         F.col("_start").alias("start_word"),
         F.col("_end").alias("end_word"),
@@ -398,13 +421,10 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
 
     A document of which no word is left is left out.
     """
-    names = docs.columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text, ident = f"c{names.index('text')}", f"c{names.index('doc_id')}"
+    inner, _, text = keyed(docs)
     spans = _spans_of(docs).where("_repeat").groupBy("_id", "_key").agg(F.collect_list(F.struct("_start", "_end")).alias("_spans"))
     more = [(f"c{i}", f.dataType.simpleString()) for i, f in enumerate(docs.schema.fields) if f.name != "text"]
-    keyed = inner.withColumns({"_id": F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)), "_key": F.xxhash64(F.col(text).cast("string"))})
-    joined = keyed.join(spans, ["_id", "_key"], "left").select(F.col(text).cast("string").alias("text"), "_spans", *[c for c, _ in more])
+    joined = inner.join(spans, ["_id", "_key"], "left").select(F.col(text).alias("text"), "_spans", *[c for c, _ in more])
     left = joined.withColumn("_had", F.col("_spans").isNotNull()).mapInArrow(_cut_kernel, "text string" + "".join(f", {c} {k}" for c, k in more) + ", _had boolean")
     left = left.where(~F.col("_had") | F.col("text").rlike(r"[0-9A-Za-z\u0080-\x{10FFFF}]"))
-    return left.select(*[F.col("text").alias("text") if n == "text" else F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return named(left.withColumnRenamed("text", text), docs.columns)
