@@ -8,24 +8,32 @@ and streamed: the blocks are concatenated, their length is held against the
 total length that the last record gives, and the HTTP message is split into
 head and body and freed of chunked transfer framing.
 
-``segment`` is the opposite, used to make records of the ``pages`` table.
+``records_of_files`` cuts WARC files, plain or gzipped record by record, into
+raw records. ``segment`` is the opposite, used to make records of ``pages``; a
+page's origin has its id, of any type, and a hash of its content, so that pages
+which share an id stay apart.
 
 Defined cases, in ``status``: ``ok``; ``missing`` (a number is absent, or the
 last record with the total length is); ``conflict`` (a number comes twice with
 different blocks; equal repetitions count once); ``length`` (the blocks don't
-add up to the total); ``framing`` (chunked framing is broken). Unless the
-status is ``ok`` the body is null. Null or unreadable records are dropped. A
-body that isn't UTF-8 is given with replacement characters. Null page texts
-make no record; a null url makes a record without one; a null page id makes the
-id ``null``. Repeated rows give equal records, which count once. Empty table: no
-rows.
+add up to the total); ``framing`` (chunked framing is broken, or something else
+than trailer fields follows the last chunk). Unless the status is ``ok`` the
+body is null. Null or unreadable records are dropped. A body that isn't UTF-8 is
+given with replacement characters. Null page texts make no record; a null url
+makes a record without one; null page ids come back as nulls. Pages equal in id,
+url and text give equal records, which count once. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +44,10 @@ _RECORD = "origin string, number int, total long, url string, block binary"
 _BATCH_ROWS = 4000
 
 
+#: Fields after the last chunk, if any, and an empty line.
+_TRAILER = re.compile(rb"(?:[!#$%&'*+\-.^_`|~0-9A-Za-z]+:[^\r\n]*\r\n)*\r\n")
+
+
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
     parts = []
     for at in range(0, len(body), size):
@@ -54,7 +66,7 @@ def dechunk(framed: bytes) -> bytes | None:
             return None
         size, at = int(digits, 16), line + 2
         if size == 0:
-            return b"".join(parts) if framed.endswith(b"\r\n") and (framed[at:] == b"\r\n" or framed.endswith(b"\r\n\r\n")) else None
+            return b"".join(parts) if _TRAILER.fullmatch(framed, at) else None
         if framed[at + size : at + size + 2] != b"\r\n":
             return None
         parts.append(framed[at : at + size])
@@ -64,12 +76,14 @@ def dechunk(framed: bytes) -> bytes | None:
 def records_of(page_id, url: str | None, html: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     """A page as the raw records of a segmented response."""
     message = HEAD + chunked(html.encode())
-    origin = f"<urn:page:{page_id}>"
+    digest = xxhash.xxh3_128_hexdigest(repr((url, html)).encode("utf-8", "surrogatepass"))
+    name = "" if page_id is None else "id:" + quote(str(page_id), safe="-")
+    origin = f"<urn:page:{digest}:{name}>"
     pieces = [message[at : at + segment_bytes] for at in range(0, len(message), segment_bytes)]
     out = []
     for number, piece in enumerate(pieces, 1):
         head = ["WARC/1.1", f"WARC-Type: {'response' if number == 1 else 'continuation'}"]
-        head.append(f"WARC-Record-ID: {origin if number == 1 else f'<urn:page:{page_id}:{number}>'}")
+        head.append(f"WARC-Record-ID: {origin if number == 1 else f'{origin[:-1]}:{number}>'}")
         if number > 1:
             head.append(f"WARC-Segment-Origin-ID: {origin}")
         if url is not None:
@@ -90,7 +104,7 @@ def segment(pages: DataFrame) -> DataFrame:
             out: list[bytes] = []
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if html is not None:
-                    out += records_of("null" if page is None else page, url, html)
+                    out += records_of(page, url, html)
                 if len(out) > _BATCH_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
@@ -99,6 +113,37 @@ def segment(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(kernel, "record binary")
 
 
+def split_records(data: bytes) -> list[bytes]:
+    """The raw records of a WARC file; of a broken file those before the break."""
+    if data[:2] == b"\x1f\x8b":
+        try:
+            data = gzip.decompress(data)  # of all members
+        except (EOFError, OSError, zlib.error):
+            return []
+    out, at = [], 0
+    while (begin := data.find(b"WARC/", at)) >= 0:
+        split = data.find(b"\r\n\r\n", begin)
+        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", data[begin : split + 2]) if split >= 0 else None
+        if length is None or split + 4 + int(length[1]) > len(data):
+            break
+        at = split + 4 + int(length[1])
+        out.append(data[begin:at])
+    return out
+
+
+def records_of_files(files: DataFrame) -> DataFrame:
+    """``record`` of a table of files with ``content``, as the reader of binary files gives it."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                found = split_records(value.as_py()) if value.is_valid else []
+                for at in range(0, len(found), _BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + _BATCH_ROWS], pa.binary())], names=["record"])
+
+    return files.select(F.col("content").cast("binary")).mapInArrow(kernel, "record binary")
+
+
 def parse(record: bytes) -> tuple | None:
     """(origin, number, total, url, block) of a raw record; null if unreadable or of another type."""
     split = record.find(b"\r\n\r\n")
@@ -194,8 +239,9 @@ def reassemble(records: DataFrame) -> DataFrame:
 def reassembled_pages(pages: DataFrame) -> DataFrame:
     """The pages, cut into records and put together again."""
     found = reassemble(segment(pages))
+    text = F.url_decode(F.regexp_extract("origin", r"^<urn:page:[0-9a-f]+:id:(.*)>$", 1))
     return found.select(
-        F.regexp_extract("origin", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"),
+        F.when(F.col("origin").contains(":id:"), text).cast(pages.schema["page_id"].dataType).alias("page_id"),
         "url",
         "status",
         "n_segments",
