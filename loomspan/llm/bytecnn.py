@@ -8,10 +8,12 @@ and the mean of the chunks' logits gives the document's one probability of
 being of good quality. Every byte of every document is seen.
 
 The network is fitted on a bounded sample of labelled documents, those with the
-least hash of their id: ``MOST_LABELLED`` of them. Only this bound and the
-labels matter; scoring runs over all documents. While fitting, a document is
-replaced by a short piece of itself with probability ``CROPPED``, as few labelled
-documents are short, and both kinds of label weigh as they occur.
+least hash of their id: ``MOST_LABELLED`` of them and at most ``MOST_BYTES`` of
+text (rows in order of their hash, without those that would go beyond it; equal
+ones once). Numbers choose them, and only chosen texts come to the driver. Only these bounds and the labels matter; scoring runs over all
+documents. Besides whole documents the fit sees short pieces of them
+(``CROPPED`` of the steps have one more example each), as few labelled documents
+are short, and both kinds of label weigh as they occur.
 
 Defined cases. Null or empty text: null probability, kept. Null ids: scored,
 never in the sample. Repeated rows: each scored. A document with several labels
@@ -37,6 +39,7 @@ WIDTH = 6
 DEPTH = 4
 FILTERS = 16
 MOST_LABELLED = 1500
+MOST_BYTES = 32 << 20
 EPOCHS = 8
 RATE = 0.01
 BATCH = 32
@@ -135,14 +138,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            network.step([chunk_matrix(_piece(rows[i][0], rng)) for i in batch], y[batch], np.ones(len(batch)))
+            short = batch[rng.random(len(batch)) < CROPPED]
+            both = np.concatenate((batch, short))
+            shown = [rows[i][0] for i in batch] + [_piece(rows[i][0], rng) for i in short]
+            network.step([chunk_matrix(d) for d in shown], y[both], np.ones(len(both)))
     return network
 
 
 def _piece(data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The document, or with probability CROPPED a run of bytes of less than a chunk."""
-    if rng.random() >= CROPPED:
-        return data
+    """A run of bytes of less than a chunk."""
     size = int(rng.integers(8, CHUNK))
     at = int(rng.integers(0, max(1, len(data) - size + 1)))
     return data[at : at + size]
@@ -159,12 +163,26 @@ def probabilities(network: ByteNetwork, data: np.ndarray, offsets: np.ndarray) -
     return out
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> ByteNetwork | None:
-    """A network fitted on at most ``most`` labelled documents, in the order of their ids' hashes."""
+def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> ByteNetwork | None:
+    """A network fitted on at most ``most`` labelled documents of ``most_bytes``, in the order of their ids' hashes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
+    # few rows an id and many ids: the limit before the join keeps what is joined small, those after it bound what comes back
     known = known.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id", "_label").limit(most)
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    sample = sorted(joined.select("_order", "doc_id", "_label", "text").where("text <> ''").collect(), key=tuple)
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+    joined = text.join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    joined = joined.select("_order", "_id", "_label", F.xxhash64("text").alias("_key"), F.octet_length("text").cast("long").alias("_size"))
+    least = joined.distinct().orderBy("_order", "_id", "_label", "_key").limit(most).collect()  # numbers only
+    chosen, total = [], 0
+    for row in least:
+        if total + row["_size"] <= most_bytes:
+            chosen.append(row)
+            total += row["_size"]
+    if not chosen:
+        return None
+    wanted = docs.sparkSession.createDataFrame(chosen, joined.schema).select("_order", "_id", "_label", "_key")
+    found = text.join(F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    sample = found.groupBy("_order", "_id", "_label", "_key").agg(F.first("text").alias("text")).collect()  # at most ``most_bytes``
+    sample.sort(key=lambda r: (r["_order"], r["_label"], r["_key"]))
     return fit([r["text"] for r in sample], [r["_label"] for r in sample])
 
 
