@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,42 @@ def test_tree_encoding_of_a_long_text():
     assert bpe.codec().encode_tree(text).tolist() == bpe.codec().encoding.encode_ordinary(text)
 
 
+_SCRIPTS = {
+    "spaced ASCII": ("abcdefgh", " "),
+    "spaced Cyrillic": ("абвгдежзиклмноп", " "),
+    "Cyrillic": ("абвгдежзиклмноп", ""),
+    "CJK": ("日本語文字東京大学中国人民一二三的是不了在", ""),
+    "CJK with marks": ("日本語文字東京大学中国人民的是不了在", "。"),
+    "Thai": ("กขคงจฉชซฌญดตถทธน", ""),
+    "digits": ("0123456789", ""),
+    "one letter": ("a", ""),
+    "quotes": ("'s'tll", ""),
+}
+
+
+@pytest.mark.parametrize("script", _SCRIPTS)
+def test_tree_encoding_encodes_little_twice(script):
+    letters, gap = _SCRIPTS[script]
+    rng = random.Random(1)
+    text = gap.join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(12_000))
+    codec = bpe.TreeCodec()
+    tree = codec.encode_tree(text)
+    assert tree.tolist() == codec.encoding.encode_ordinary(text)
+    if script not in ("one letter", "quotes"):  # in these nothing is certain, and tokens shift up to the end
+        assert codec.encoded <= 1.25 * len(text)
+    codec.encoded = 0
+    codec.encode_tree(text, 4096)
+    if script not in ("one letter", "quotes"):
+        assert codec.encoded <= 1.05 * len(text)
+
+
+@given(st.text(alphabet="abсд日本語のa's'ть ก", max_size=300), st.integers(1, 30))
+@settings(max_examples=400, deadline=None)
+def test_tree_encoding_of_runs_of_letters(text, leaf):
+    codec = bpe.codec()
+    assert codec.encode_tree(text, leaf).tolist() == codec.encoding.encode_ordinary(text)
+
+
 def test_segments_put_together_are_the_text():
     text = "ab  c d\n" * 50
     assert "".join(vocabularies.segments(text, 7)) == text
@@ -219,6 +256,7 @@ def test_warc_cases():
     assert warc.assemble(parts(records) + [(2, None, None, b"other")])[1] == "conflict"
     assert warc.assemble([(0, None, None, warc.HEAD + b"zz\r\n")])[1] == "framing"
     assert warc.assemble([(0, None, None, b"HTTP/1.1 200 OK\r\n\r\nplain")])[4] == b"plain"
+    assert warc.dechunk(b"3\r\nabc\r\n0\r\nGARBAGE\r\n\r\n") is None and warc.dechunk(b"3\r\nabc\r\n0\r\n\r\nmore\r\n\r\n") is None
     assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     assert warc.parse(b"nothing") is None and warc.parse(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n") is None
 
@@ -291,3 +329,51 @@ def test_hashes_of_texts_without_words():
     shingles, first = minmax.shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, 3, 3, 10]))
     assert np.diff(first).tolist() == [1, 1, 2]
     assert shingles[0] == xxhash.xxh3_64_intdigest(b"!!!")
+
+
+def test_a_large_bucket_of_unlike_members():
+    """Linked as by brute force, and quickly, whatever the bucket shares."""
+    rng = np.random.default_rng(11)
+    size, count = 2 * minmax.HASHES, 100_000
+    sigs = rng.integers(0, 1 << 32, (count, size), dtype=np.uint32)
+    sigs[:, :12] = 7  # common to all
+    sigs[: count // 2, 12:40] = 9  # and to half
+    for k in range(0, 3000, 3):  # chains of three
+        sigs[k + 1, 30:100], sigs[k + 2, 50:124] = sigs[k, 30:100], sigs[k + 1, 50:124]
+    sigs[90_000:95_000] = np.where(rng.random((5000, size)) < 0.85, sigs[90_000], sigs[90_000:95_000])  # alike
+    began = time.process_time()
+    edges = minmax.link_bucket(np.arange(count), sigs)
+    assert time.process_time() - began < 60
+    labels = minmax._joined_labels(np.arange(count), np.array(edges))
+    assert all(labels[k] == labels[k + 1] == labels[k + 2] for k in range(0, 3000, 3))
+    assert len(set(labels[90_000:95_000])) == 1 and len(set(labels)) == count - 2000 - 4999
+
+
+def test_buckets_are_brute_force():
+    rng = np.random.default_rng(12)
+    for count in (2, 40, 300):
+        base = rng.integers(0, 50, (count // 4 + 1, 128), dtype=np.uint32)
+        sigs = np.where(rng.random((count, 128)) < 0.68, base[rng.integers(0, len(base), count)], rng.integers(0, 50, (count, 128), dtype=np.uint32))
+        need = int(np.ceil(minmax.THRESHOLD * 128))
+        pairs = [(a, b) for a in range(count) for b in range(a) if (sigs[a] == sigs[b]).sum() >= need]
+        edges = minmax.link_bucket(np.arange(count), sigs)
+        assert all((sigs[a] == sigs[b]).sum() >= need for a, b in edges)
+        wanted = minmax._joined_labels(np.arange(count), np.array(pairs, dtype=np.int64).reshape(-1, 2))
+        assert (minmax._joined_labels(np.arange(count), np.array(edges, dtype=np.int64).reshape(-1, 2)) == wanted).all()
+
+
+def test_a_group_of_twenty_thousand_windows_after_a_full_block():
+    """The largest block that can be sorted at once: MOST_SYMBOLS and a whole group."""
+    rng = np.random.default_rng(13)
+    block = bwt._Block()
+    shared = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    for k in range(bwt.MOST_SYMBOLS // 77 + bwt.HOT):
+        window = rng.integers(0, 1 << 32, 76, dtype=np.uint32)
+        if k % 9000 == 5:
+            window[8:68] = shared
+        block.windows.append(window)
+        block.origin.append((k, 0, 0))
+    assert sum(len(w) + 1 for w in block.windows) > 1 << 21
+    found = block.spans()
+    wanted = [k for k in range(len(block.windows)) if k % 9000 == 5]
+    assert sorted(found) == [(k, 0, k != wanted[0], 8, 68) for k in wanted]

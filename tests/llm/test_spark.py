@@ -33,6 +33,17 @@ def odd(spark):
     return spark.createDataFrame(made, SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def strange(spark):
+    """Ids as text, some null, some twice, and columns named like inner ones."""
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage, prose = word(60), word(90)
+    texts = [("p-1", prose), ("p-2", prose), (None, prose + " x"), ("p-1", f"{word(90)} {passage}"), ("p-3", f"{passage} {word(90)}"), (None, "one\ntwo"), ("q", "two\nthree"), ("q", "two\nthree"), ("q", None), (None, None)]
+    made = [(i, t, "en", "s", k, f"keep{k}", True, 1.5, "a", 3) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(made, "doc_id string, text string, lang string, source string, n_chars long, _row string, _gone boolean, _id double, _least string, _n int")
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -460,3 +471,84 @@ def test_pipeline_runs(spark):
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert names == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_strange_ids_and_names(spark, strange):
+    """Every operator and stage with ids as text and clashing names."""
+    number = {r["doc_id"] for r in strange.collect()}
+    for made in (fertility.fertility_rules(strange), bpe.encode(strange), lines.line_bitmaps(strange)):
+        assert collections.Counter(r["doc_id"] for r in made.collect()) == collections.Counter(r["doc_id"] for r in strange.collect())
+    groups = {(r["doc_id"], r["group_id"], r["group_size"]) for r in minmax.near_duplicates(strange).collect()}
+    assert {d for d, _, n in groups if n == 3} == {"p-1", "p-2", None} and {d for d, _, n in groups if n == 2} == {"q"}
+    passages = [(r["doc_id"], r["kind"], r["end_word"] - r["start_word"]) for r in bwt.repeated_passages(strange).collect()]
+    assert sorted((d, n) for d, _, n in passages if n == 60) == [("p-1", 60), ("p-3", 60)] and len({k for d, k, n in passages if n == 60}) == 2
+    assert {r["doc_id"] for r in packing.best_fit_packing(strange, 64).collect()} == number
+    docs = strange
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == strange.columns and found.dtypes == strange.dtypes
+        rows_found = found.collect()
+        before = collections.Counter(r["_row"] for r in docs.collect())
+        assert not collections.Counter(r["_row"] for r in rows_found) - before  # other columns as they were
+        assert any(r["doc_id"] is None and r["text"] is None for r in rows_found), name
+        docs = found
+    assert sum(r["doc_id"] == "q" and r["text"] == "three" for r in docs.collect()) == 1
+
+
+def test_quality_stage_judges_null_ids(spark, documents):
+    """Rows without an id go by their own text."""
+    bad = "\x01\x02 §¶† " * 400
+    made = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(None, bad, "en"), (None, "plain words here", "en"), (-(1 << 63), "words", "en")], "doc_id long, text string, lang string"))
+    kept = corpus_pipeline.quality_rules(spark, made, "").where("doc_id IS NULL OR doc_id < 0").collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in kept) == [(False, "words"), (True, "plain words here")]
+
+
+def test_least_id_is_no_null(spark):
+    made = spark.createDataFrame(rows("same words in both", "same words in both", first=0), SCHEMA)
+    made = made.withColumn("doc_id", F.when(F.col("doc_id") == 0, F.lit(None)).otherwise(F.lit(-(1 << 63))))
+    found = {(r["doc_id"], r["group_size"]) for r in minmax.near_duplicates(made).collect()}
+    assert found == {(None, 2), (-(1 << 63), 2)}
+
+
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_a_bucket_in_blocks(spark, documents, block, monkeypatch):
+    usual = collections.Counter(map(tuple, minmax.near_duplicates(documents).collect()))
+    monkeypatch.setattr(minmax, "BLOCK", 2 if block == 40 else block)
+    monkeypatch.setattr(minmax, "DIRECT", 1)
+    assert collections.Counter(map(tuple, minmax.near_duplicates(documents).collect())) == usual
+
+
+def test_row_that_stays_is_defined(spark):
+    made = [(1, "a b c d e", lang, source, 9) for lang in ("fr", "en", "de") for source in ("x", "y")]
+    kept = set()
+    for order in (made, made[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept.add(tuple(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 1
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k % 100}") for k in range(3000)] + [(2, "z" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(bytecnn, "fit", lambda texts, labels: seen.append(list(texts)))
+    bytecnn.fit_on(docs, labels, 2)
+    bytecnn.fit_on(docs, labels, 1000, 60)
+    assert len(seen[0]) == 2 and len(seen[1]) == len(set(seen[1])) and sum(map(len, seen[1])) <= 60
+
+
+def test_pages_that_share_an_id(spark):
+    made = [("p-1", "u", "<a>"), ("p-1", "u", "<b>" * 900), (None, None, "x"), (None, "v", "y"), ("null", "u", "z"), ("a b%/>é", "u", "w"), ("p-1", "u", "<a>")]
+    pages = spark.createDataFrame(made, "page_id string, url string, html string")
+    found = warc.reassembled_pages(pages).collect()
+    assert collections.Counter((r["page_id"], r["url"], r["html"]) for r in found) == collections.Counter(set(made)) and {r["status"] for r in found} == {"ok"}
+
+
+def test_files_of_records(spark):
+    import gzip
+
+    records = warc.records_of("p", "http://a/", "é" * 3000) + warc.records_of("q", None, "WARC/1.1 inside\r\n\r\n")
+    files = [b"".join(records), b"".join(map(gzip.compress, records)), None, b"", b"\x1f\x8bnot", records[0][:-100]]
+    table = spark.createDataFrame([(f,) for f in files], "content binary")
+    found = warc.reassemble(warc.records_of_files(table)).collect()  # both files have the same records
+    assert sorted((r["status"], r["body"]) for r in found) == [("ok", "WARC/1.1 inside\r\n\r\n"), ("ok", "é" * 3000)]
