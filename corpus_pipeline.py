@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bwt, fertility, lines, minmax, packing
+from loomspan.llm.common import keyed, named
 from loomspan.session import checkpoint_folder, table
 
 
@@ -27,16 +28,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the fertility rules reject.
 
-    Rejected are ids; rows with a null id stay, and a row stays if its own text
-    is kept, as the id is joined together with the text's hash.
+    Rejected are pairs of an id, which may be null or of any type, and a text:
+    of rows that share an id each stays or goes by its own text.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    ident = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row"))
-    judged = fertility.fertility_rules(docs.select(ident.alias("doc_id"), "text", "lang"))
-    gone = judged.where("NOT keep").select("doc_id.*").distinct().select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row"))
-    stay = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_row") == F.col("_gone_row")), "left_anti")
-    return stay.select(*names)
+    inner, _, text = keyed(docs)
+    lang = F.col(f"c{docs.columns.index('lang')}") if "lang" in docs.columns else F.lit(None).cast("string")
+    judged = fertility.fertility_rules(inner.select(F.struct("_id", "_key").alias("doc_id"), F.col(text).alias("text"), lang.alias("lang")))
+    gone = judged.where("NOT keep").select("doc_id.*").distinct()
+    return named(inner.join(gone, ["_id", "_key"], "left_anti"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
