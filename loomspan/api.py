@@ -32,7 +32,11 @@ class Tokenizer:
         return units.units_of(raw, self.config, self.provider, self.disambiguator)
 
     def tokenize(self, docs: DataFrame) -> DataFrame:
-        return units.tokenize(docs, self.config, self.provider)
+        """A row for each unit with its bytes; where there is a lexicon also the analysis that its context chose."""
+        return units.tokenize(docs, self.config, self.provider, self._choose(), surfaces=True, analyses=self.provider is not None)
+
+    def _choose(self):
+        return self.disambiguator if self.config.contextual and self.provider is not None else None
 
     def blobs(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``blob``: tokenised documents in binary form."""
@@ -56,12 +60,12 @@ class SurfaceTokenizer(Tokenizer):
     @classmethod
     def train(cls, docs: DataFrame, size: int, **settings) -> "SurfaceTokenizer":
         made = cls(**settings)
-        made.vocabulary = V.train_surface(V.observed_weights(docs, made.config, made.provider), size)
+        made.vocabulary = V.train_surface(V.observed_weights(docs, made.config, made.provider, choose=made._choose()), size)
         return made
 
     def encode_ids(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``ids`` without the marks for a document's ends."""
-        made = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider)
+        made = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider, choose=self._choose())
         return made.select("doc_id", encode.content_ids(F.col("ids")).alias("ids"))
 
     def decode_ids(self, encoded: DataFrame) -> DataFrame:
@@ -69,14 +73,14 @@ class SurfaceTokenizer(Tokenizer):
 
     def inspect(self, docs: DataFrame) -> DataFrame:
         """A row for each token: id, its kind, where it is, its bytes and the unit that it begins in."""
-        made = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider)
+        made = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider, choose=self._choose())
         rows = made.select("doc_id", F.posexplode(F.arrays_zip("ids", "lengths")).alias("token_idx", "t")).select("doc_id", "token_idx", "t.*")
         order = Window.partitionBy("doc_id").orderBy("token_idx")
         end = F.sum(F.col("lengths").cast("long")).over(order)
         kind = F.when(F.col("ids") == V.PAD, "pad").when(F.col("ids") == V.BOS, "bos").when(F.col("ids") == V.EOS, "eos")
         kind = kind.when(F.col("ids") < V.SURFACE_FIRST, "byte").otherwise("learned")
         rows = rows.select("doc_id", "token_idx", F.col("ids").alias("id"), kind.alias("kind"), (end - F.col("lengths")).alias("start"), end.alias("end"))
-        found = units.tokenize(docs, self.config, self.provider).select("doc_id", "unit_idx", F.col("start").alias("_s"))
+        found = units.tokenize(docs, self.config, self.provider, self._choose()).select("doc_id", "unit_idx", F.col("start").alias("_s"))
         marked = rows.select("doc_id", "token_idx", "id", "kind", "start", "end", F.lit(None).cast("int").alias("_unit"), F.lit(1).alias("_o"))
         begun = found.select("doc_id", F.lit(None).cast("int").alias("token_idx"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("kind"), F.col("_s").alias("start"), F.lit(None).cast("long").alias("end"), F.col("unit_idx").alias("_unit"), F.lit(0).alias("_o"))
         # an as-of join: the last unit that begins at or before the token, carried along in order
@@ -89,9 +93,9 @@ class SurfaceTokenizer(Tokenizer):
 
     def summary(self, docs: DataFrame) -> DataFrame:
         """Sizes and numbers of tokens and units of each document."""
-        tokens = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider)
+        tokens = encode.surface_encoding(docs, self.vocabulary, self.config, provider=self.provider, choose=self._choose())
         tokens = tokens.select("doc_id", F.size("ids").alias("n_tokens"), F.size(encode.content_ids(F.col("ids"))).alias("n_content"))
-        made = units.unit_arrays(docs, self.config, self.provider)
+        made = units.unit_arrays(docs, self.config, self.provider, self._choose())
         count = lambda value: F.size(F.filter("status", lambda s: s == value))
         made = made.select("doc_id", F.size("status").alias("n_units"), count(units.MORPHOLOGICAL).alias("n_morphological"), count(units.CODED).alias("n_code"), count(units.UNKNOWN).alias("n_unknown"))
         sizes = docs.select("doc_id", F.octet_length("raw").alias("n_bytes"))

@@ -89,25 +89,37 @@ def _class(kind: int) -> str:
     return "".join(parts)
 
 
-@lru_cache(maxsize=1)
-def grammar() -> re.Pattern:
-    """One alternative, and one group, for each kind; every character matches."""
+def _alternatives() -> tuple[str, ...]:
+    """One for each kind; every character matches."""
     word, number, symbol, mark = (_class(k) for k in (WORD, NUMBER, SYMBOL, PUNCTUATION))
     either = f"[{word}{number}]"
     joined = rf"(?:{either}|['’\-‐‑](?={either}))*"
     sign = f"(?:{OPERATORS}|[{symbol}])"
-    return re.compile(
-        f"([{_class(WHITESPACE)}]+)"
-        rf"|((?:\r\n|[{_class(LINE_BREAK)}])+)"
-        f"|([{word}]{joined})"
-        rf"|([{number}](?:[{number}]|[.,:/\-٫٬](?=[{number}]))*(?:['’](?=[{word}]){joined})?)"
-        rf"|({sign}(?:{sign}|‍{sign})*)"
-        f"|((?:(?!{OPERATORS})[{mark}])+)"
-        f"|([{_class(CONTROL)}]+)"
-        r"|([\ud800-\udfff]+)"
+    return (
+        f"[{_class(WHITESPACE)}]+",
+        rf"(?:\r\n|[{_class(LINE_BREAK)}])+",
+        f"[{word}]{joined}",
+        rf"[{number}](?:[{number}]|[.,:/\-٫٬](?=[{number}]))*(?:['’](?=[{word}]){joined})?",
+        rf"{sign}(?:{sign}|‍{sign})*",
+        f"(?:(?!{OPERATORS})[{mark}])+",
+        f"[{_class(CONTROL)}]+",
+        r"[\ud800-\udfff]+",
     )
 
 
+@lru_cache(maxsize=1)
+def grammar() -> re.Pattern:
+    """One group for each kind."""
+    return re.compile("|".join(f"({a})" for a in _alternatives()))
+
+
+@lru_cache(maxsize=1)
+def token_grammar() -> re.Pattern:
+    """The same without groups; plain words and blanks first."""
+    quick = r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,./:-@\[-^`{-\x7f]|\Z)| ++(?=[!-~])"
+    return re.compile("|".join((quick, *_alternatives())))
+
+
 _J_WORD = r"\p{IsAlphabetic}_\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}&&[^\p{N}]"
 _J_ANY = r"\p{IsAlphabetic}_\p{N}\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}"
 _J_JOINED = rf"(?:[{_J_ANY}]|['\x{{2019}}\-\x{{2010}}\x{{2011}}](?=[{_J_ANY}]))*+"

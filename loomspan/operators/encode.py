@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.lexical import LINE_BREAK, NUMBER, PUNCTUATION, SYMBOL, WHITESPACE
+from loomspan.operators import programs
 from loomspan.operators import vocab as V
 from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, few_collections, units_of
 
@@ -325,17 +329,90 @@ def character_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bo
     return _encoded(raw, lambda: lambda data: encode_characters(vocabulary, data, newline))
 
 
-def training_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, config: Config = Config(), newline: bool = False, marks: Boundaries = Boundaries(), provider: Provider | None = None) -> DataFrame:
-    return _encoded(raw, lambda: lambda data: encode_units(vocabulary, data, units_of(data, config, provider), newline, marks))
-
+def training_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, config: Config = Config(), newline: bool = False, marks: Boundaries = Boundaries(), provider: Provider | None = None, choose=None) -> DataFrame:
+    return _encoded(raw, lambda: lambda data: encode_units(vocabulary, data, units_of(data, config, provider, choose), newline, marks))
+
+
+class _Surfaces:
+    """Ids and byte lengths of each distinct surface, as flat arrays."""
+
+    def __init__(self, table: programs.Programs, vocabulary: V.SurfaceVocabulary, morphology: bool):
+        self.table, self.vocabulary, self.morphology = table, vocabulary, morphology
+        self._reset()
+
+    def _reset(self) -> None:
+        self.held, self.first, self.ids, self.lengths = self.table.surfaces, array("q", [0]), array("i"), array("i")
+
+    def encoded(self, numbers: np.ndarray, counts: np.ndarray, newline: bool) -> tuple[pa.Array, pa.Array]:
+        """Both lists of documents with so many surfaces each."""
+        table, greedy = self.table, self.vocabulary.greedy
+        if self.held is not table.surfaces:  # they start again when there are too many
+            self._reset()
+        for number in range(len(self.first) - 1, len(table.surfaces)):
+            data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
+            for u in range(table.first[number], table.first[number + 1]):
+                edges = [0, *table.cuts[table.cut_first[u] : table.cut_first[u + 1]], table.size[u]] if self.morphology else [0, table.size[u]]
+                for begin, end in zip(edges, edges[1:]):
+                    ids, lengths = greedy(data[at + begin : at + end])
+                    self.ids.extend(ids)
+                    self.lengths.extend(lengths)
+                at += table.size[u]
+            self.first.append(len(self.ids))
+        first = np.frombuffer(self.first, np.int64)
+        place, many = programs._ranges(first[numbers], first[numbers + 1] - first[numbers])
+        ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(counts)))]
+        tail = 2 if newline else 1
+        offsets = ends + np.arange(len(ends)) * (1 + tail)
+        out = []
+        for flat, first_one, last in ((self.ids, V.BOS, [V.SURFACE_BYTES + 10] * newline + [V.EOS]), (self.lengths, 0, [1] * newline + [0])):
+            values = np.empty(int(offsets[-1]), np.int32)
+            inside = np.ones(len(values), bool)
+            values[offsets[:-1]] = first_one
+            inside[offsets[:-1]] = False
+            for k, value in enumerate(last):
+                values[offsets[1:] - tail + k] = value
+                inside[offsets[1:] - tail + k] = False
+            values[inside] = (np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))[place]
+            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
+        return out[0], out[1]
+
+
+def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Config = Config(), newline: bool = False, morphology: bool = True, provider: Provider | None = None, choose=None) -> DataFrame:
+    """``doc_id``, ``ids``, ``lengths``: longest matches inside each piece.
+
+    Distinct surfaces are encoded once; documents with code regions, and all where
+    ``choose`` picks analyses by context, unit by unit.
+    """
+    kind = raw.schema["doc_id"].dataType.simpleString()
+    singly = choose is not None and config.contextual
 
-def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Config = Config(), newline: bool = False, morphology: bool = True, provider: Provider | None = None) -> DataFrame:
-    def make():
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
         known: dict = {}
-        surfaces: dict = {}
-        return lambda data: encode_surface(vocabulary, data, units_of(data, config, provider, known=surfaces), newline, morphology, known)
+        analysed: dict = {}
+        table = programs.Programs(config, provider)
+        held = _Surfaces(table, vocabulary, morphology)
+        for batch in programs.batches_by_size(batches, 1):
+            values = batch.column(1).to_pylist()
+            tokens = [None if v is None or singly else table.tokens(v) for v in values]
+            fast = [k for k, t in enumerate(tokens) if t is not None]
+            slow = [k for k, t in enumerate(tokens) if t is None]
+            parts = []
+            if fast:
+                some = [tokens[k] for k in fast]
+                made = held.encoded(table.of(some), np.array([len(t) for t in some]), newline)
+                total = pc.sum(made[1].flatten()).as_py()
+                if total != sum(len(values[k]) + newline for k in fast):
+                    raise ValueError("an encoding's byte lengths don't add up to its documents")
+                parts.append((fast, list(made)))
+            if slow:
+                if len(analysed) > 200_000:
+                    analysed.clear()
+                rows = [(None, None) if values[k] is None else encode_surface(vocabulary, values[k], units_of(values[k], config, provider, choose, analysed), newline, morphology, known) for k in slow]
+                parts.append((slow, [pa.array(list(c), pa.list_(pa.int32())) for c in zip(*rows)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", "ids", "lengths"])
 
-    return _encoded(raw, make)
+    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
 
 
 def content_ids(ids: Column) -> Column:

@@ -12,6 +12,7 @@ import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,38 +232,79 @@ def few_collections() -> None:
 
 
 SCHEMA = "start array<bigint>, end array<bigint>, kind array<int>, mode array<int>, status array<int>, group_id array<int>, cuts array<array<bigint>>"
+ANALYSIS = "struct<canonical:string,dictionary_id:string,lemma:string,primary_pos:string,secondary_pos:string,morphemes:array<struct<id:string,surface:string,derivational:boolean>>>"
+_PART = pa.struct([("id", pa.string()), ("surface", pa.string()), ("derivational", pa.bool_())])
+_ANALYSIS = pa.struct([*((n, pa.string()) for n in ("canonical", "dictionary_id", "lemma", "primary_pos", "secondary_pos")), ("morphemes", pa.list_(_PART))])
+_TYPES = [*(pa.int64(),) * 2, *(pa.int32(),) * 4, pa.list_(pa.int64())]
+_FIELDS = ("start", "end", "kind", "mode", "status", "group", "cuts")
 
 
-def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
-    """One row a document with its units as arrays."""
+def analysis_row(found: quality.Analysis | None) -> dict | None:
+    if found is None:
+        return None
+    parts = [{"id": m.id, "surface": m.surface, "derivational": m.derivational} for m in found.morphemes]
+    return {"canonical": found.canonical, "dictionary_id": found.dictionary_id, "lemma": found.lemma, "primary_pos": found.primary_pos, "secondary_pos": found.secondary_pos, "morphemes": parts}
+
+
+def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, choose=None, surfaces: bool = False, analyses: bool = False) -> DataFrame:
+    """One row a document with its units as arrays; null for null bytes.
+
+    ``surfaces`` adds each unit's bytes, so that nothing has to be joined to get
+    them; ``analyses`` adds the analysis chosen for each content unit. Documents
+    without code regions are put together from their distinct surfaces
+    (``programs``), unless ``choose`` or ``analyses`` need them one by one.
+    """
+    from loomspan.operators import programs
+
     kind = raw.schema["doc_id"].dataType.simpleString()
-    types = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
-    names = ["start", "end", "kind", "mode", "status", "group_id", "cuts"]
+    names = ["start", "end", "kind", "mode", "status", "group_id", "cuts"] + ["surface"] * surfaces + ["analysis"] * analyses
+    types = [pa.list_(t) for t in [*_TYPES, *[pa.binary()] * surfaces, *[_ANALYSIS] * analyses]]
+    singly = analyses or (choose is not None and config.contextual)
+
+    def by_one(data: bytes | None, known: dict) -> list:
+        if data is None:
+            return [None] * len(names)
+        found = units_of(data, config, provider, choose, known)
+        out = [[getattr(u, name) for u in found] for name in _FIELDS]
+        if surfaces:
+            out.append([data[u.start : u.end] for u in found])
+        if analyses:
+            out.append([analysis_row(u.analysis) for u in found])
+        return out
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few_collections()
         known: dict = {}
-        for batch in batches:
-            columns: list[list] = [[] for _ in names]
+        table = programs.Programs(config, provider)
+        for batch in programs.batches_by_size(batches, 1):
+            values = batch.column(1).to_pylist()
             if len(known) > 200_000:
                 known.clear()
-            for value in batch.column(1):
-                if not value.is_valid:
-                    for column in columns:
-                        column.append(None)
-                    continue
-                found = units_of(value.as_py(), config, provider, known=known)
-                for column, name in zip(columns, ("start", "end", "kind", "mode", "status", "group", "cuts")):
-                    column.append([getattr(u, name) for u in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
-
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {SCHEMA}")
-
-
-def tokenize(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
-    """A row for each unit: ``doc_id``, ``unit_idx``, span, kind, mode, status, ``group_id``, ``cuts``."""
-    zipped = F.arrays_zip("start", "end", "kind", "mode", "status", "group_id", "cuts")
-    return unit_arrays(raw, config, provider).select("doc_id", F.posexplode(zipped).alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
+            tokens = [None if v is None or singly else table.tokens(v) for v in values]
+            fast = [k for k, t in enumerate(tokens) if t is not None]
+            slow = [k for k, t in enumerate(tokens) if t is None]
+            parts = []
+            if fast:
+                some = [tokens[k] for k in fast]
+                flat = table.flat(table.of(some), np.array([len(t) for t in some]))
+                columns = programs.arrow_columns(flat)
+                if surfaces:
+                    columns.append(programs.surfaces(flat, b"".join(values[k] for k in fast)))
+                parts.append((fast, columns))
+            if slow:
+                rows = [by_one(values[k], known) for k in slow]
+                parts.append((slow, [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", *names])
+
+    more = ", surface array<binary>" * surfaces + f", analysis array<{ANALYSIS}>" * analyses
+    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {SCHEMA}{more}")
+
+
+def tokenize(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, choose=None, surfaces: bool = False, analyses: bool = False) -> DataFrame:
+    """A row for each unit: ``doc_id``, ``unit_idx``, span, kind, mode, status, ``group_id``, ``cuts``; ``surface``, ``analysis``."""
+    names = ["start", "end", "kind", "mode", "status", "group_id", "cuts"] + ["surface"] * surfaces + ["analysis"] * analyses
+    made = unit_arrays(raw, config, provider, choose, surfaces, analyses)
+    return made.select("doc_id", F.posexplode(F.arrays_zip(*names)).alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
 
 
 def pieces(units: DataFrame) -> DataFrame:
@@ -272,20 +314,18 @@ def pieces(units: DataFrame) -> DataFrame:
     return units.select("doc_id", "unit_idx", F.posexplode(parts).alias("piece_idx", "p")).select("doc_id", "unit_idx", "piece_idx", "p.start", "p.end")
 
 
-def segment_ids(units: DataFrame, raw: DataFrame, most: int = 512) -> DataFrame:
-    """Segments by windows: ``seg_id`` and ``seg_part`` of each content unit.
+def segment_ids(units: DataFrame, most: int = 512) -> DataFrame:
+    """Segments by windows: ``seg_id`` and ``seg_part`` of each content unit, from units with surfaces.
 
     A boundary is carried as a running count, the cap as a division of the row
     number inside a segment.
     """
-    text = F.substring("raw", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    joined = units.join(raw.select("doc_id", "raw"), "doc_id").withColumn("_surface", text).drop("raw")
-    closes = (F.col("kind") == PUNCTUATION) & F.col("_surface").isin(bytearray(b"."), bytearray(b"!"), bytearray(b"?"))
+    closes = (F.col("kind") == PUNCTUATION) & F.col("surface").isin(bytearray(b"."), bytearray(b"!"), bytearray(b"?"))
     breaks = (F.col("mode") != TURKISH) | F.col("kind").isin(LINE_BREAK, CONTROL, OPAQUE)
     order = Window.partitionBy("doc_id").orderBy("unit_idx")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     step = F.coalesce(F.sum(F.when(breaks | closes, 1).otherwise(0)).over(before), F.lit(0))
-    content = joined.withColumn("seg_id", step).where(~breaks & (F.col("kind") != WHITESPACE))
+    content = units.withColumn("seg_id", step).where(~breaks & (F.col("kind") != WHITESPACE))
     inside = F.row_number().over(Window.partitionBy("doc_id", "seg_id").orderBy("unit_idx")) - 1
     return content.select("doc_id", "unit_idx", F.col("seg_id").cast("long"), F.floor(inside / most).cast("long").alias("seg_part"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.lexical import LINE_BREAK, WHITESPACE
-from loomspan.operators import quality
+from loomspan.operators import programs, quality
 from loomspan.operators.units import CODE, Config, Provider, few_collections, units_of
 
 PAD, BOS, EOS = 0, 1, 2
@@ -157,50 +157,75 @@ def train_chars(docs: DataFrame, most: int, column: str = "text") -> CharVocabul
     return CharVocabulary(tuple(sorted(r["ch"] for r in rows)))
 
 
-def piece_weights(units: DataFrame, raw: DataFrame, morphology: bool = True) -> DataFrame:
-    """``piece``, ``weight``: whole units weigh 1, and with morphology their pieces 4."""
-    cut = lambda b, e: F.substring("raw", b.cast("int") + 1, (e - b).cast("int"))
-    joined = units.join(raw.select("doc_id", "raw"), "doc_id")
-    wholes = joined.select(cut(F.col("start"), F.col("end")).alias("piece"), F.lit(1).cast("long").alias("w"))
+def piece_weights(units: DataFrame, morphology: bool = True) -> DataFrame:
+    """``piece``, ``weight`` of units with surfaces: whole units weigh 1, and with morphology their pieces 4."""
+    part = lambda b, e: F.substring("surface", (b - F.col("start")).cast("int") + 1, (e - b).cast("int"))
+    wholes = units.select(F.col("surface").alias("piece"), F.lit(1).cast("long").alias("w"))
     if morphology:
         edges = F.concat(F.array("start"), "cuts", F.array("end"))
-        parts = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: cut(F.get(edges, i), F.get(edges, i + 1)))
-        wholes = wholes.unionByName(joined.select(F.explode(parts).alias("piece"), F.lit(4).cast("long").alias("w")))
+        parts = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: part(F.get(edges, i), F.get(edges, i + 1)))
+        wholes = wholes.unionByName(units.select(F.explode(parts).alias("piece"), F.lit(4).cast("long").alias("w")))
     return wholes.where((F.octet_length("piece") >= 1) & (F.octet_length("piece") <= LONGEST_PIECE)).groupBy("piece").agg(F.sum("w").alias("weight"))
 
 
-def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None) -> DataFrame:
+def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None, choose=None) -> DataFrame:
     """``piece_weights`` straight from documents: each batch adds up its own pieces first.
 
-    ``kinds`` leaves only units of those lexical kinds.
+    ``kinds`` leaves only units of those lexical kinds. Distinct surfaces are
+    counted and then cut, each once; documents with code regions, and all where
+    ``choose`` picks analyses by context, are cut unit by unit.
     """
+    singly = choose is not None and config.contextual
+
+    def add(counts: Counter, data: bytes, kind: int, start: int, end: int, cuts, times: int) -> None:
+        if kinds is not None and kind not in kinds:
+            return
+        whole = data[start:end]
+        if not morphology or not len(cuts):
+            counts[whole] += (5 if morphology else 1) * times
+            return
+        counts[whole] += times
+        edges = [start, *cuts, end]
+        for b, e in zip(edges, edges[1:]):
+            counts[data[b:e]] += 4 * times
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few_collections()
         known: dict = {}
-        for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for value in batch.column(0):
-                if not value.is_valid:
+        table = programs.Programs(config, provider)
+        counts: Counter[bytes] = Counter()
+        seen: Counter[str] = Counter()
+
+        def settle() -> None:
+            """Counts of surfaces as counts of pieces."""
+            numbers = table.of([list(seen)])
+            for number, times in zip(numbers.tolist(), seen.values()):
+                data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
+                for u in range(table.first[number], table.first[number + 1]):
+                    cuts = [at + c for c in table.cuts[table.cut_first[u] : table.cut_first[u + 1]]]
+                    add(counts, data, table.kind[u], at, at + table.size[u], cuts, times)
+                    at += table.size[u]
+            seen.clear()
+
+        for batch in programs.batches_by_size(batches, 0):
+            for data in batch.column(0).to_pylist():
+                if data is None:
+                    continue
+                tokens = None if singly else table.tokens(data)
+                if tokens is not None:
+                    seen.update(tokens)
                     continue
-                data = value.as_py()
                 if len(known) > 200_000:
                     known.clear()
-                for unit in units_of(data, config, provider, known=known):
-                    if kinds is not None and unit.kind not in kinds:
-                        continue
-                    whole = data[unit.start : unit.end]
-                    if not morphology or not unit.cuts:
-                        counts[whole] += 5 if morphology else 1
-                        continue
-                    counts[whole] += 1
-                    edges = [unit.start, *unit.cuts, unit.end]
-                    for begin, end in zip(edges, edges[1:]):
-                        counts[data[begin:end]] += 4
-                if len(counts) > 300_000:
-                    yield _weights(counts)
-                    counts = Counter()
-            yield _weights(counts)
+                for unit in units_of(data, config, provider, choose, known):
+                    add(counts, data, unit.kind, unit.start, unit.end, unit.cuts, 1)
+            if len(seen) > 200_000:
+                settle()
+            if len(counts) > 300_000:
+                yield _weights(counts)
+                counts.clear()
+        settle()
+        yield _weights(counts)
 
     made = raw.select("raw").mapInArrow(kernel, "piece binary, weight long")
     return made.groupBy("piece").agg(F.sum("weight").alias("weight"))

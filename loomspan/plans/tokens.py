@@ -42,10 +42,8 @@ def unit_summary(spark, folder):
 
 @register(f"SELECT token AS letter, count(*) AS n FROM ({_WN}) WHERE regexp_full_match(token, '[A-Za-zçÇğĞıİöÖşŞüÜ]') GROUP BY 1")
 def single_letter_units(spark, folder):
-    raw = _raw(spark, folder)
-    found = units.tokenize(raw, _TURKISH).where((F.col("status") == units.MORPHOLOGICAL) & (F.col("kind") == L.WORD))
-    text = F.decode(F.substring("raw", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "UTF-8")
-    return found.join(raw, "doc_id").groupBy(text.alias("letter")).agg(F.count("*").alias("n"))
+    found = units.tokenize(_raw(spark, folder), _TURKISH, surfaces=True).where((F.col("status") == units.MORPHOLOGICAL) & (F.col("kind") == L.WORD))
+    return found.groupBy(F.decode("surface", "UTF-8").alias("letter")).agg(F.count("*").alias("n"))
 
 
 @register("SELECT doc_id, CAST(NULL AS INTEGER) AS unit_idx, '' AS reason FROM documents WHERE false")
@@ -61,14 +59,10 @@ def unit_violations(spark, folder):
 )
 def numeric_micro_cuts(spark, folder):
     """Cuts on both sides of the separators inside numbers."""
-    raw = _raw(spark, folder)
-    found = units.tokenize(raw, _TURKISH).where(F.col("kind") == L.NUMBER).select("doc_id", "start", "end", F.size("cuts").alias("n_cuts"))
-    text = F.decode(F.substring("raw", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "UTF-8")
-    rows = found.join(raw, "doc_id").select(text.alias("number"), "n_cuts").where(F.col("number").rlike(r"^\p{N}(?:\p{N}|[.,:/\-]\p{N})*$"))
-    spans = rows.withColumn("n_cuts", F.when(F.col("number").rlike(r"\p{N}"), F.col("n_cuts")))
-    distinct = spans.groupBy("number", "n_cuts").agg(F.count("*").alias("n"))
-    # neighbouring separators share no digit, so that each has two cuts of its own
-    return distinct.select("number", F.col("n_cuts").cast("int"), "n")
+    found = units.tokenize(_raw(spark, folder), _TURKISH, surfaces=True).where(F.col("kind") == L.NUMBER)
+    rows = found.select(F.decode("surface", "UTF-8").alias("number"), F.size("cuts").alias("n_cuts"))
+    # chunks of numbers over the limit and numbers with a suffix have cuts of other kinds
+    return rows.where(F.col("number").rlike(r"^\p{N}(?:\p{N}|[.,:/\-]\p{N})*$")).groupBy("number", "n_cuts").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -89,8 +83,7 @@ def clitic_groups(spark, folder):
 
 @register()
 def sentence_segments(spark, folder):
-    raw = cut(_raw(spark, folder))
-    found = units.segment_ids(cut(units.tokenize(raw, _TURKISH)), raw)
+    found = units.segment_ids(units.tokenize(_raw(spark, folder), _TURKISH, surfaces=True))
     return found.groupBy("doc_id", "seg_id", "seg_part").agg(F.count("*").alias("n_units"))
 
 

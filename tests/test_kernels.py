@@ -7,9 +7,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomspan.functions import lexical
 from loomspan.functions import lexical as L
 from loomspan.functions import turkish as T
-from loomspan.operators import code, encode, lattice, quality, scan, units
+from loomspan.operators import code, encode, lattice, programs, quality, scan, units
 from loomspan.operators import vocab as V
 
 
@@ -239,3 +240,31 @@ def test_turkish():
     assert [T.from_roman(x) for x in ("IX", "MCMXC", "IIII", "")] == [9, 1990, None, None]
     assert T.numeral_classes("14.30") == ["real", "clock"] and T.numeral_classes("23.07.2026") == ["distribution", "date"] or "date" in T.numeral_classes("23.07.2026")
     assert [T.dotted_abbreviation(x) for x in (".", "...", "T.B.M.M.", "A.B.D.'nin")] == [False, False, True, True]
+
+
+_PROGRAM_TEXTS = st.lists(st.sampled_from(list("aIiıbZ çé'’-.,;:!?… \n\r\t0159½٣@#\"`=(<_\\/️‍🙂g̃ầ\x01\x85 ") + ["mi ", " de", " da.", "http", "3f", "14:30'te", "for "]), max_size=60).map("".join)
+
+
+@given(st.lists(st.one_of(_PROGRAM_TEXTS.map(str.encode), st.binary(max_size=20)), max_size=5), st.sampled_from(["auto", "turkish"]), st.sampled_from([3, 48]))
+@settings(max_examples=300, deadline=None)
+def test_programs_are_the_units(raws, mode, most):
+    """Documents put together from surfaces are those tokenised one by one."""
+    config = units.Config(mode=mode, max_fallback_chars=most)
+    table = programs.Programs(config)
+    tokens = [table.tokens(r) for r in raws]
+    raws, tokens = [r for r, t in zip(raws, tokens) if t is not None], [t for t in tokens if t is not None]
+    if not tokens:
+        return
+    columns = [c.to_pylist() for c in programs.arrow_columns(table.flat(table.of(tokens), np.array([len(t) for t in tokens])))]
+    for k, raw in enumerate(raws):
+        wanted = units.units_of(raw, config)
+        found = list(zip(*(c[k] for c in columns)))
+        assert found == [(u.start, u.end, u.kind, u.mode, u.status, u.group, u.cuts) for u in wanted]
+
+
+@given(_PROGRAM_TEXTS)
+@settings(max_examples=300, deadline=None)
+def test_quiet_texts_have_no_hints(text):
+    if not programs.loud().search(text):
+        assert scan.scan_with_hints(text.encode())[1] == (False, False, False)
+    assert lexical.token_grammar().findall(text) == [text.encode()[b:e].decode() for b, e, _ in scan.scan_spans(text.encode())]

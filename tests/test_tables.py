@@ -52,9 +52,9 @@ def test_units_do_not_depend_on_partitions(docs):
 
 
 def test_segments_by_windows(docs):
-    found = units.tokenize(docs)
+    found = units.tokenize(docs, surfaces=True)
     by = collections.defaultdict(lambda: collections.defaultdict(list))
-    for r in units.segment_ids(found, docs, 3).orderBy("unit_idx").collect():
+    for r in units.segment_ids(found, 3).orderBy("unit_idx").collect():
         by[r["doc_id"]][r["seg_id"], r["seg_part"]].append(r["unit_idx"])
     for doc, raw in raws(docs).items():
         wanted = units.segments(raw, units.units_of(raw), 3)
@@ -91,7 +91,7 @@ def test_weights_are_brute_force(docs):
             wanted[raw[u.start : u.end]] += 1
             for b, e in zip(edges, edges[1:]):
                 wanted[raw[b:e]] += 4
-    found = {bytes(r["piece"]): r["weight"] for r in V.piece_weights(units.tokenize(docs), docs).collect()}
+    found = {bytes(r["piece"]): r["weight"] for r in V.piece_weights(units.tokenize(docs, surfaces=True)).collect()}
     assert found == {p: w for p, w in wanted.items() if len(p) <= 96}
     assert found == {bytes(r["piece"]): r["weight"] for r in V.observed_weights(docs).collect()}
 
