@@ -6,26 +6,30 @@ that are bare bytes, and the entropy of its tokens over the logarithm of their
 number. A document whose measure lies outside the band of its language (of its
 script, where the language is null) is rejected.
 
-Words. Texts are measured over their white-space separated words, each encoded
-by itself with the space before it; words beyond ``LONGEST`` characters are
-measured in parts of that length. Every word of every document counts.
+Texts are measured whole, white space included, by exactly the tokens that
+encoding them gives. As no token crosses a pre-token of the first vocabulary, and
+none of the second goes on at a space after another character or holds a line
+feed, texts are cut there and each distinct part is encoded once a task.
 
 Bands. For each key and measure the band is the median over *all* documents of
-that key that have enough tokens, minus and plus the two ``WIDTH`` of the measure
-in robust standard deviations (quartile distance / 1.349, at least ``LEAST``),
-widened for short texts by sqrt(1 + SHORT / tokens). So the bands follow the
-corpus, at any size. Few characters a token count less in texts with more bare
-bytes than usual, by ``FOREIGN`` deviations: letters of a second language cost
-tokens as well, so there the lower width is ``FOREIGN_CHARS``.
-
-Defined cases. Null or blank texts: zero tokens, null measures, kept (nothing
-speaks against them). Fewer than ``ENOUGH`` tokens: measured, never rejected.
-Null ids and repeated rows: every row is measured by itself. Null language: the
-key is ``script:`` and the script of most letters. Empty table: no rows.
+that key that have ``ENOUGH`` tokens, minus and plus the two ``WIDTH`` of the
+measure in robust standard deviations (quartile distance / 1.349, at least
+``LEAST``), widened for short texts by sqrt(1 + SHORT / tokens). So the bands
+follow the corpus, at any size. A key with fewer than ``FEWEST`` such documents
+has the band of all documents. Few characters a token count less in texts with
+more bare bytes than usual, by ``FOREIGN`` deviations: letters of a second
+language cost tokens as well, so there the lower width is ``FOREIGN_CHARS``.
+
+Defined cases. Ids of any type. Null or empty texts: zero tokens, null measures,
+kept (nothing speaks against them). Fewer than ``ENOUGH`` tokens: measured, never
+rejected, as three words of any kind have no entropy to speak of. Null ids and
+repeated rows: every row is measured by itself. Null language: the key is
+``script:`` and the script of most letters. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -46,87 +50,98 @@ WIDTH = {"byte_chars": (3.5, 8.0), "byte_fallback": (9.0, 9.0), "byte_entropy":
 FOREIGN = 1.0
 FOREIGN_CHARS = 8.0
 LEAST = {"byte_chars": 0.02, "byte_fallback": 0.01, "byte_entropy": 0.05, "piece_chars": 0.02, "piece_fallback": 0.01, "piece_entropy": 0.05}
-SHORT = 160
-ENOUGH = 48
-LONGEST = 1024
-_MOST_WORDS = 400_000
+SHORT = 320
+ENOUGH = 8
+FEWEST = 30
+#: Bands that are broadcast.
+MOST_KEYS = 10_000
+_MOST_PARTS = 400_000
+_MOST_CHARACTERS = 8 << 20
 _SCHEMA = "band_key string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
-class _Words:
-    """Word -> its tokens under both vocabularies, as flat arrays."""
+class _Parts:
+    """Part of a text -> its tokens under one vocabulary, as flat arrays."""
 
-    def __init__(self, folder: str):
-        self.bpe = vocabularies.byte_bpe(BYTE_VOCABULARY, folder)
-        self.pieces = vocabularies.pieces(PIECE_VOCABULARY, folder)
-        self.bare = np.zeros(self.bpe.n_vocab, dtype=bool)
-        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
-            try:
-                token.decode()
-            except UnicodeDecodeError:
-                self.bare[rank] = True
-        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        # a word's first token, and no other of it, begins with the space before it
-        self.opens = np.zeros(self.bpe.n_vocab, dtype=bool)
-        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
-            self.opens[rank] = token.startswith(b" ")
-        self.begins = np.array([self.pieces.id_to_piece(i).startswith("\u2581") for i in range(self.pieces.get_piece_size())])
+    def __init__(self, encode):
+        self.encode = encode
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.tokens = (array("i"), array("i"))
-        self.offsets = (array("q", [0]), array("q", [0]))
-
-    def add(self, words: list[str]) -> None:
-        joined = " ".join(words)
-        ids = np.asarray(self.bpe.encode_ordinary(" " + joined), dtype=np.int32)
-        if int(self.opens[ids].sum()) != len(words):
-            ids = [self.bpe.encode_ordinary(" " + w) for w in words]
-        self._append(0, ids, self.opens, len(words))
-        ids = np.asarray(self.pieces.encode(joined, num_threads=1), dtype=np.int32)
-        if int(self.begins[ids].sum()) != len(words):
-            ids = self.pieces.encode(words, num_threads=1)
-        self._append(1, ids, self.begins, len(words))
-        for word in words:
-            self.index[word] = len(self.index)
-
-    def _append(self, which: int, ids, marks: np.ndarray, count: int) -> None:
-        """Tokens of further words: one after another, or as a list for each."""
-        flat, ends = self.tokens[which], self.offsets[which]
-        if isinstance(ids, list):
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            ids = np.array([t for x in ids for t in x], dtype=np.int32)
-        else:
-            sizes = np.diff(np.append(np.flatnonzero(marks[ids]), len(ids)))
-        ends.frombytes((np.cumsum(sizes, dtype=np.int64) + len(flat)).tobytes())
-        flat.frombytes(ids.astype(np.int32).tobytes())
-
-    def look_up(self, words: list[str]) -> np.ndarray:
+        self.tokens, self.offsets, self.held = array("i"), array("q", [0]), 0
+
+    def look_up(self, parts: list[str]) -> np.ndarray:
         get = self.index.get
-        found = np.fromiter(map(get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
+        found = np.fromiter(map(get, parts, [-1] * len(parts)), dtype=np.int64, count=len(parts))
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new = [words[i] for i in missing]
-            self.add(list(dict.fromkeys(new)))
+            new = [parts[i] for i in missing]
+            fresh = list(dict.fromkeys(new))
+            self._add(fresh)
             found[missing] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
         return found
 
+    def _add(self, parts: list[str]) -> None:
+        ids, sizes = self.encode(parts)
+        self.offsets.frombytes((np.cumsum(sizes, dtype=np.int64) + len(self.tokens)).tobytes())
+        self.tokens.frombytes(np.asarray(ids, dtype=np.int32).tobytes())
+        self.held += sum(map(len, parts))
+        for part in parts:
+            self.index[part] = len(self.index)
 
-def _words(text: str) -> Iterator[list[str]]:
-    for part in vocabularies.segments(text):
-        words = part.split()
-        if any(map(LONGEST.__lt__, map(len, words))):
-            words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-        yield words
 
+#: Cut before a space that another character precedes, and around line feeds; the mark is the vocabulary's own space.
+_UNITS = re.compile("\n|[ \u2581]*[^ \u2581\n]+|[ \u2581]+")
 
-def _gather(table: _Words, which: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' tokens in order, and each word's number of them."""
-    offsets = np.frombuffer(table.offsets[which], dtype=np.int64)
-    flat = np.frombuffer(table.tokens[which], dtype=np.int32) if len(table.tokens[which]) else np.empty(0, np.int32)
-    begin = offsets[words]
-    count = offsets[words + 1] - begin
+
+class _Measures:
+    """Both vocabularies with their parts."""
+
+    def __init__(self, folder: str):
+        self.bpe = vocabularies.byte_bpe(BYTE_VOCABULARY, folder)
+        self.pieces = vocabularies.pieces(PIECE_VOCABULARY, folder)
+        self.bare = np.zeros(self.bpe.n_vocab, dtype=bool)
+        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                self.bare[rank] = True
+        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.feed = self.pieces.piece_to_id("<0x0A>")
+        self.parts = (_Parts(self._pretokens), _Parts(self._units))
+
+    def _pretokens(self, parts: list[str]) -> tuple[np.ndarray, list[int]]:
+        made = list(map(self.bpe.encode_ordinary, parts))
+        return np.array([t for some in made for t in some], dtype=np.int32), list(map(len, made))
+
+    def _units(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All parts as lines of one text; a line's tokens stand between two line feeds."""
+        lines = [p for p in parts if p != "\n"]
+        ids = np.asarray(self.pieces.encode("\n" + "\n".join(lines) + "\n", num_threads=1), dtype=np.int32) if lines else np.array([0, self.feed])
+        feeds = np.flatnonzero(ids == self.feed)
+        ids = ids[feeds[0] :]  # the first line begins with a mark of its own
+        feeds -= feeds[0]
+        sizes = np.diff(feeds) - 1
+        if len(lines) < len(parts):  # a line feed is one token
+            sizes = np.insert(sizes, parts.index("\n"), 1)
+            made, at = [], 0
+            for size, part in zip(sizes, parts):
+                made.append(np.array([self.feed]) if part == "\n" else ids[at + 1 : at + 1 + size])
+                at += 0 if part == "\n" else size + 1
+            return np.concatenate(made), sizes
+        return np.delete(ids, feeds), sizes
+
+    def cut(self, which: int, text: str) -> list[str]:
+        return _UNITS.findall(text) if which else vocabularies.split(text)
+
+
+def _gather(table: _Parts, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts' tokens in order, and each part's number of them."""
+    offsets = np.frombuffer(table.offsets, dtype=np.int64)
+    flat = np.frombuffer(table.tokens, dtype=np.int32) if len(table.tokens) else np.empty(0, np.int32)
+    begin = offsets[parts]
+    count = offsets[parts + 1] - begin
     total = int(count.sum())
     ends = np.cumsum(count)
     place = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
@@ -155,38 +170,38 @@ def _script(text: str) -> str:
     return min(found, key=lambda s: (-found[s], s)) if found else "none"
 
 
-_TABLES: dict[str, _Words] = {}
+_TABLES: dict[str, _Measures] = {}
 
 
 def measure_texts(texts: list[str | None], folder: str = vocabularies.FOLDER) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of the byte vocabulary, matrix of MEASURES) for a list of texts."""
     if folder not in _TABLES:
-        _TABLES[folder] = _Words(folder)
-    table = _TABLES[folder]
-    if len(table.index) > _MOST_WORDS:
-        table.reset()
-    flat: list[str] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    found: list[np.ndarray] = []
-    characters = np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        for words in _words(text or ""):
-            flat += words
-            sizes[i] += len(words)
-            characters[i] += sum(map(len, words))
-            if len(flat) > 400_000:
-                found.append(table.look_up(flat))
-                flat = []
-    found.append(table.look_up(flat))
-    words = np.concatenate(found)
+        _TABLES[folder] = _Measures(folder)
+    made = _TABLES[folder]
     out = np.full((len(texts), len(MEASURES)), np.nan)
     tokens = np.zeros(len(texts), dtype=np.int64)
-    if not len(words):
-        return tokens, out
-    documents = np.repeat(np.arange(len(texts)), sizes)
-    for which, bare in ((0, table.bare), (1, table.fallback)):
-        ids, count = _gather(table, which, words)
-        of = np.repeat(documents, count)
+    characters = np.array([len(t or "") for t in texts], dtype=float)
+    for which, bare in ((0, made.bare), (1, made.fallback)):
+        table = made.parts[which]
+        if len(table.index) > _MOST_PARTS or table.held > _MOST_CHARACTERS:
+            table.reset()
+        flat: list[str] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        found: list[np.ndarray] = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            # the piece vocabulary puts a space before a text
+            for part in vocabularies.segments(" " + text if which else text):
+                cut = made.cut(which, part)
+                flat += cut
+                sizes[i] += len(cut)
+                if len(flat) > 400_000:
+                    found.append(table.look_up(flat))
+                    flat = []
+        found.append(table.look_up(flat))
+        ids, count = _gather(table, np.concatenate(found))
+        of = np.repeat(np.repeat(np.arange(len(texts)), sizes), count)
         number = np.bincount(of, minlength=len(texts))
         some = number > 0
         divisor = np.maximum(number, 1)
@@ -216,14 +231,16 @@ def measure(docs: DataFrame, folder: str = vocabularies.FOLDER) -> DataFrame:
 
 
 def bands(measured: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Centre and deviation of each measure for each key, over all its documents."""
+    """Centre and deviation of each measure for each key, over all its documents; those of few are all's."""
     enough = measured.where(F.col("n_tokens") >= ENOUGH)
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(m) for m in MEASURES]
-    found = enough.groupBy("band_key").agg(*quartiles)
+    everything = enough.agg(*quartiles).head()  # one row
+    found = enough.groupBy("band_key").agg(F.count("*").alias("_docs"), *quartiles)
     out = [F.col("band_key").alias("_key")]
     for m in MEASURES:
-        out.append(F.col(m)[1].alias(f"_{m}_mid"))
-        out.append(F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(LEAST[m])).alias(f"_{m}_dev"))
+        own = F.when(F.col("_docs") >= FEWEST, F.col(m)).otherwise(F.lit(everything[m]) if everything[m] else F.lit(None).cast("array<double>"))
+        out.append(own[1].alias(f"_{m}_mid"))
+        out.append(F.greatest((own[2] - own[0]) / 1.349, F.lit(LEAST[m])).alias(f"_{m}_dev"))
     return found.select(*out)
 
 
@@ -242,7 +259,10 @@ def _outside(m: str) -> Column:
 def judge(measured: DataFrame) -> DataFrame:
     """Measures with ``reasons`` (names of measures outside their band) and ``keep``."""
     measured = cut(measured)
-    joined = measured.join(bands(measured), F.col("band_key") == F.col("_key"), "left")
+    found = cut(bands(measured))
+    # one row a language; where there should be many all the same, Spark chooses how to join
+    found = F.broadcast(found) if found.count() <= MOST_KEYS else found
+    joined = measured.join(found, F.col("band_key") == F.col("_key"), "left")
     reasons = F.filter(F.array(*[_outside(m) for m in MEASURES]), lambda x: x.isNotNull())
     reasons = F.when(F.col("n_tokens") >= ENOUGH, reasons).otherwise(F.array().cast("array<string>"))
     return joined.select("doc_id", "band_key", "n_tokens", *MEASURES, reasons.alias("reasons")).withColumn("keep", F.size("reasons") == 0)

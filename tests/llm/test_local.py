@@ -86,24 +86,33 @@ def test_segments_put_together_are_the_text():
     assert [t for s in vocabularies.segments(text, 7) for t in encode(s)] == encode(text)
 
 
-def test_fertility_measures():
+def _measured(text):
     encode, pieces = vocabularies.byte_bpe(fertility.BYTE_VOCABULARY), vocabularies.pieces(fertility.PIECE_VOCABULARY)
-    given_texts = ["the quick brown fox", "Éñü ñandú 日本語", "a▁b ▁ c", "x" * 3000, "", None, " \n "]
-    tokens, values = fertility.measure_texts(given_texts)
-    for text, n, row in zip(given_texts, tokens, values):
-        words = (text or "").split()
-        words = [w[i : i + 1024] for w in words for i in range(0, len(w), 1024)]
-        one = [t for w in words for t in encode.encode_ordinary(" " + w)]
-        two = [t for w in words for t in pieces.encode(w)]
-        assert n == len(one)
-        if not one:
-            assert np.isnan(row).all()
+    one, two = encode.encode_ordinary(text), pieces.encode(text)
+    entropy = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) / math.log2(len(s)) if len(s) > 1 else 1.0
+    bare = sum(not _decodes(encode.decode_single_token_bytes(t)) for t in one)
+    return len(one), (len(text) / len(one), bare / len(one), entropy(one), len(text) / len(two), sum(map(pieces.is_byte, two)) / len(two), entropy(two))
+
+
+def _check_measures(made):
+    tokens, values = fertility.measure_texts(made)
+    for text, n, row in zip(made, tokens, values):
+        if not text:
+            assert n == 0 and np.isnan(row).all()
             continue
-        entropy = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) / math.log2(len(s)) if len(s) > 1 else 1.0
-        characters = sum(map(len, words))
-        bare = sum(not _decodes(encode.decode_single_token_bytes(t)) for t in one)
-        wanted = (characters / len(one), bare / len(one), entropy(one), characters / len(two), sum(map(pieces.is_byte, two)) / len(two), entropy(two))
-        assert row == pytest.approx(wanted)
+        wanted = _measured(text)
+        assert n == wanted[0] and row == pytest.approx(wanted[1])
+
+
+def test_fertility_measures():
+    """Those of encoding the whole text, white space and all."""
+    _check_measures(["the quick brown fox", "Éñü ñandú 日本語", "a▁b ▁ c", "x" * 3000, "", None, " \n ", "\n", "\n\n a\n", "  two  spaces ", "tab\tand\r\nfeeds\x0b"])
+
+
+@given(st.lists(st.text(alphabet="ab c'sltre  \n\té日　.1🙂▁\r", max_size=60), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_fertility_measures_of_any_text(made):
+    _check_measures(made)
 
 
 def _decodes(data: bytes) -> bool:

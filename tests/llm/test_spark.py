@@ -112,6 +112,43 @@ def test_fertility_rejects_half_of_the_junk(spark):
     assert counts.get((0, False), 0) >= 0.45 * junk and counts.get((1, False), 0) <= 0.01 * clean
 
 
+def test_bands_and_verdicts_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "FEWEST", 12)
+    rng = np.random.default_rng(1)
+    made = []
+    for k in range(400):
+        key = ("en", "en", "de", "script:latin")[k % 4] if k % 40 else "rare"
+        values = [None if k % 37 == 0 else float(rng.normal(m, s)) for m, s in ((3, 0.3), (0.05, 0.02), (0.8, 0.05), (3, 0.4), (0.01, 0.01), (0.8, 0.05))]
+        made.append((k, key, 0 if k % 37 == 0 else int(rng.integers(10, 900)), *values))
+    names = ["doc_id", "band_key", "n_tokens", *fertility.MEASURES]
+    schema = "doc_id long, band_key string, n_tokens long, " + ", ".join(f"{m} double" for m in fertility.MEASURES)
+    found = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(made, schema)).collect()}
+    rows = [dict(zip(names, r)) for r in made]
+    enough = [r for r in rows if r["n_tokens"] >= fertility.ENOUGH]
+
+    def at(values, share):
+        return sorted(values)[max(0, int(np.ceil(share * len(values))) - 1)]
+
+    for r in rows:
+        group = [x for x in enough if x["band_key"] == r["band_key"]]
+        group = group if len(group) >= 12 else enough
+        off = {}
+        for m in fertility.MEASURES:
+            if r[m] is not None:
+                low, mid, high = (at([x[m] for x in group], q) for q in (0.25, 0.5, 0.75))
+                off[m] = (r[m] - mid) / (max((high - low) / 1.349, fertility.LEAST[m]) * np.sqrt(1 + fertility.SHORT / r["n_tokens"]))
+        wanted = []
+        for m, x in off.items():
+            lower, upper = fertility.WIDTH[m]
+            if m == "byte_chars" and off["byte_fallback"] > fertility.FOREIGN:
+                lower = fertility.FOREIGN_CHARS
+            if x < -lower or x > upper:
+                wanted.append(m)
+        wanted = wanted if r["n_tokens"] >= fertility.ENOUGH else []
+        assert (found[r["doc_id"]]["reasons"], found[r["doc_id"]]["keep"]) == (wanted, not wanted)
+    assert 0 < sum(not r["keep"] for r in found.values()) < 300
+
+
 def test_length_histogram_is_brute_force(spark, odd):
     count = lambda t: len(vocabularies.byte_bpe("byte_bpe_50k").encode_ordinary(t))
     n = sorted(count(r["text"]) for r in odd.select("text").collect() if r["text"] is not None)
