@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import bwt, fertility, lines, minmax, packing
 from loomspan.llm.common import keyed, named
-from loomspan.session import checkpoint_folder, table
+from loomspan.session import checkpoint_folder, remove, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -71,10 +71,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the packed bins."""
+    """All stages over the documents of ``sf_dir``; the packed bins.
+
+    A stage's input is deleted when its own result is written; the last stage
+    has read its input when it gives its result, as it packs by what it counted.
+    """
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return packed
