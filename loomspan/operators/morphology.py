@@ -9,6 +9,7 @@ a task's own memory of surfaces do so, and join back.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from pathlib import Path
@@ -345,6 +346,7 @@ class Morphology:
             test = compile_condition(edge["condition"], self.items) if edge["condition"] else None
             self.edges.setdefault(edge["owner_state"], []).append((edge["to_state"], edge["morpheme_id"], template, test))
         self.known: dict[str, list[Analysis]] = {}
+        self._by_sound: dict[tuple, tuple[str, str]] | None = None
 
     def __getstate__(self):
         return {"bundle": self.bundle, "remember": self.remember}
@@ -467,6 +469,7 @@ class Morphology:
         found = self._static(plain) or self._made_up(T.fold_apostrophes(token))
         out = []
         for analysis in found:
+            analysis = with_numeric_derivation(token, analysis)
             cuts = align(token, analysis)
             if cuts is not None:
                 out.append(replace(analysis, cuts=cuts))
@@ -486,14 +489,16 @@ class Morphology:
         return self._proper(low) if mark else []
 
     def _borrowed(self, sound: str, state: str, ending: str) -> list[Analysis]:
-        """Analyses of a lexicon noun with the same phonetic bits and this ending."""
-        bits = attributes(sound)
-        for stems in self.stems.values():
-            for stem in stems:
-                item = self.items[stem["dictionary_id"]]
-                if stem["phonetic_bits"] == bits and stem["target_state"] == state and item["primary_pos"] == "Noun" and "Dummy" not in item["attributes"]:
-                    return [a for a in self.analyse(stem["surface"] + ending) if a.dictionary_id == item["id"] and a.stem == stem["surface"]]
-        return []
+        """Analyses of a lexicon noun with the same phonetic bits and this ending; of several, the first."""
+        if self._by_sound is None:
+            self._by_sound = {}
+            for stems in self.stems.values():
+                for stem in stems:
+                    item = self.items[stem["dictionary_id"]]
+                    if item["primary_pos"] == "Noun" and "Dummy" not in item["attributes"]:
+                        self._by_sound.setdefault((stem["phonetic_bits"], stem["target_state"]), (stem["surface"], item["id"]))
+        found = self._by_sound.get((attributes(sound), state))
+        return [a for a in self.analyse(found[0] + ending) if a.dictionary_id == found[1] and a.stem == found[0]] if found else []
 
     def _rooted(self, found: list[Analysis], ident: str, lemma: str, primary: str, secondary: str, root: str) -> list[Analysis]:
         made = (Analysis(ident, lemma, primary, secondary, (replace(a.morphemes[0], surface=root), *a.morphemes[1:])) for a in found)
@@ -545,6 +550,36 @@ class Morphology:
         return list(dict.fromkeys([*made, *(a for a in self.analyse(stem + ending) if a.stem == stem)]))
 
 
+_ORDINAL = re.compile("[ıiuü]?nc[ıiuü]")
+_ORDINALS = frozenset(v + "nc" + w for v, w in zip("ıiuü", "ıiuü")) | frozenset("nc" + w for w in "ıiuü")
+_DISTRIBUTIVE = re.compile("ş?[ae]r")
+
+
+def with_numeric_derivation(token: str, analysis: Analysis) -> Analysis:
+    """A number's analysis with the ordinal or distributive suffix after its apostrophe, where it lacks that one."""
+    stem, mark, suffix = T.split_apostrophe(token)
+    if analysis.primary_pos != "Num" or not mark or analysis.stem != stem:
+        return analysis
+    low = _lowered(suffix)
+    found = _ORDINAL.match(low) if low else None
+    if found and found[0] in _ORDINALS:
+        part = Morpheme("Ord", found[0], derivational=True, pos="Adj")
+    elif low and (found := _DISTRIBUTIVE.match(low)):
+        part = Morpheme("Dist", found[0], derivational=True, pos="Num")
+    else:
+        return analysis
+    rest = analysis.morphemes[1:]
+    if any(m.id == part.id for m in analysis.morphemes) or _lowered("".join(m.surface for m in rest)) != low[len(part.surface) :]:
+        return analysis
+    return replace(analysis, morphemes=(analysis.morphemes[0], part, *rest))
+
+
+def _lowered(text: str) -> str | None:
+    """Lower case, each character one; null where one becomes several."""
+    out = [{"I": "ı", "İ": "i"}.get(c) or c.lower() for c in text]
+    return "".join(out) if all(len(c) == 1 for c in out) else None
+
+
 def _plain(text: str) -> str | None:
     out = []
     for char in text:

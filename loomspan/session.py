@@ -53,12 +53,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is set."""
+    """The shared folder of the cluster; a private one only in a local session without one.
+
+    On a cluster a machine's own folder would be lost with it, or not be found by
+    the others, so that a session without a folder is an error there.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -69,6 +75,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the cluster's file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """Rows dealt out to all cores where a scan has fewer splits than there are cores.
 

@@ -12,40 +12,10 @@ import pytest
 from loomspan.functions import turkish as T
 from loomspan.operators import disambiguate as D
 from loomspan.operators import morphology as M
-from loomspan.operators import units
+from loomspan import api
+from loomspan.operators import encode, units
 from loomspan.operators.quality import Analysis, Morpheme
-
-
-def _edge(number, owner, to, morpheme, template, condition=None):
-    tokens = [{"type": k, "letter": x, "append": False} for k, x in M.parse_template(template)]
-    for token, (kind, _) in zip(tokens, M.parse_template(template)):
-        token["append"] = kind.endswith("WOVEL") and "+" + kind[0] in template
-    return {
-        "id": f"e{number}", "source_order": number, "owner_state": owner, "to_state": to, "morpheme_id": morpheme, "template_tokens": tokens,
-        "surface_template": template, "condition": condition, "condition_count": M.condition_count(condition),
-    }
-
-
-def bundle():
-    morpheme = lambda i, **k: {"id": i, "name": i, "pos": None, "derivational": False, "informal": False, "mapped_id": None} | k
-    item = lambda i, lemma, pos="Noun", second="None", **k: {"id": i, "lemma": lemma, "root": lemma, "pronunciation": lemma, "primary_pos": pos, "secondary_pos": second, "attributes": [], "reference_id": None, "index": 0} | k
-    words = [("ev_Noun", "ev", "noun"), ("kitap_Noun", "kitap", "noun"), ("ankara_Noun_Prop", "ankara", "nounProper_S"), ("oy_Noun", "oy", "noun"), ("oyun_Noun", "oyun", "noun")]
-    stems = [{"surface": s, "source_order": k, "dictionary_id": i, "target_state": t, "phonetic_bits": M.attributes(s)} for k, (i, s, t) in enumerate(words)]
-    stems.append({"surface": "kitab", "source_order": 9, "dictionary_id": "kitap_Noun", "target_state": "noun", "phonetic_bits": M.attributes("kitab") & ~M.BIT["LastLetterVoiced"] | M.BIT["ExpectsVowel"] | M.BIT["CannotTerminate"]})
-    stems.append({"surface": "üç", "source_order": 10, "dictionary_id": "üç_Num", "target_state": "number", "phonetic_bits": M.attributes("üç")})
-    state = lambda k, m, terminal=True, derivative=False: {"key": k, "morpheme_id": m, "terminal": terminal, "derivative": derivative, "pos_root": False}
-    expects = {"kind": "NOT", "child": {"kind": "HasPhoneticAttribute", "attribute": "ExpectsVowel"}}
-    return M.Bundle(
-        morphemes=tuple([morpheme("Noun", pos="Noun"), morpheme("Num", pos="Num"), morpheme("A3pl"), morpheme("P1sg"), morpheme("Gen"), morpheme("Nom"), morpheme("With", derivational=True), morpheme("Loc")]),
-        dictionary=tuple([item(i, s, "Noun", "Prop" if "Prop" in i else "None") for i, s, _ in words] + [item("üç_Num", "üç", "Num", "Card")]),
-        stems=tuple(stems),
-        states=tuple([state("noun", "Noun"), state("nounProper_S", "Noun"), state("number", "Num"), state("plural", "A3pl"), state("mine", "P1sg"), state("of", "Gen"), state("bare", "Nom"), state("with", "With", derivative=True), state("at", "Loc")]),
-        edges=tuple([
-            _edge(1, "noun", "plural", "A3pl", "lAr", expects), _edge(2, "noun", "mine", "P1sg", "Im"), _edge(3, "noun", "of", "Gen", "+nIn"), _edge(4, "plural", "of", "Gen", "+nIn"),
-            _edge(5, "noun", "with", "With", "lI", expects), _edge(6, "noun", "at", "Loc", ">dA", expects), _edge(7, "nounProper_S", "at", "Loc", ">dA"), _edge(8, "number", "at", "Loc", ">dA"),
-            _edge(9, "plural", "at", "Loc", ">dA", {"kind": "AND", "children": [{"kind": "HasTail"}, {"kind": "CurrentMorphemeIs", "morpheme": "A3pl"}]}),
-        ]),
-    )
+from loomspan.plans.sample import bundle, weight, words
 
 
 @pytest.fixture(scope="module")
@@ -118,16 +88,6 @@ def test_alignment():
     assert M.same_letters("uŕka", "u?ka") and M.same_letters("m1", "m?") and M.same_letters("uáña", "uana") and not M.same_letters("ev", "av")
 
 
-def words():
-    rng = np.random.default_rng(0)
-    word = lambda k: D.Word(f"l{k % 5}", tuple(f"g{g}" for g in rng.integers(0, 3, rng.integers(1, 4))), f"c{k}", int(rng.integers(-(2**31), 2**31)))
-    return [[word(10 * t + k) for k in range(n)] for t, n in enumerate((2, 1, 3, 2, 3))]
-
-
-def weight(key):
-    return np.float32((T.java_hash(key) % 997) / 997 - 0.5)
-
-
 def test_causal_choice_does_not_see_what_follows():
     made, chooser = words(), D.Disambiguator(weight)
     picked = chooser.causal(made)
@@ -182,3 +142,31 @@ def test_units_with_a_lexicon(morphology):
     by = {raw[u.start : u.end].decode(): u for u in found}
     assert by["evlerin"].status == units.MORPHOLOGICAL and [c - by["evlerin"].start for c in by["evlerin"].cuts] == [2, 5]
     assert by["geldi"].status == units.UNKNOWN and by["geldi"].group == by["mi"].group
+
+
+def test_numeric_derivations(morphology):
+    """The ordinal or distributive suffix after an apostrophe is a morpheme of its own."""
+    for token, name, surface in (("3'üncü", "Ord", "üncü"), ("3’ÜNCÜDE", "Ord", "üncü"), ("III'üncü", "Ord", "üncü")):
+        found = morphology(token)
+        assert found and all((m.id, m.surface) == (name, surface) for m in (a.morphemes[1] for a in found)) and len(found[0].cuts) >= 2
+    number = Analysis("18_Num_Card", "18", "Num", "Card", (Morpheme("Num", "18"), Morpheme("With", "li", True)))
+    assert [m.surface for m in M.with_numeric_derivation("18'erli", number).morphemes] == ["18", "er", "li"]
+    assert [m.id for m in M.with_numeric_derivation("20’ŞER", M.replace(number, morphemes=(Morpheme("Num", "20"),))).morphemes] == ["Num", "Dist"]
+    for token in ("18erli", "18'li", "19'erli", "18'erlik"):
+        assert M.with_numeric_derivation(token, number) == number
+
+
+def test_units_by_context_and_by_surface_agree(spark, morphology):
+    """The table of units has the analyses that the kernel chose."""
+    raw = "Oyun evlerin oyunlu kitaplar geldi mi? 3'üncü oyun."
+    docs = spark.createDataFrame([(1, bytearray(raw.encode())), (2, None)], "doc_id long, raw binary")
+    made = api.SurfaceTokenizer.train(docs, 300, provider=morphology, disambiguator=D.Disambiguator(weight))
+    for contextual in (True, False):
+        made.config = units.Config(contextual=contextual)
+        wanted = units.units_of(raw.encode(), made.config, morphology, D.Disambiguator(weight))
+        found = made.tokenize(docs).orderBy("unit_idx").collect()
+        assert [(r["start"], r["end"], r["status"], r["cuts"]) for r in found] == [(u.start, u.end, u.status, u.cuts) for u in wanted]
+        assert [r["analysis"] and r["analysis"]["canonical"] for r in found] == [u.analysis and u.analysis.canonical for u in wanted]
+        assert b"".join(bytes(r["surface"]) for r in found) == raw.encode()
+        ids = made.encode_ids(docs).where("doc_id = 1").first()["ids"]
+        assert ids == encode.encode_surface(made.vocabulary, raw.encode(), wanted)[0][1:-1]

@@ -13,7 +13,7 @@ from loomspan import api, plans, sources, streaming
 from loomspan.operators import encode, lattice, scan, units
 from loomspan.operators import vocab as V
 from loomspan.sources import codecs
-from tests.test_morphology import bundle, weight
+from loomspan.plans.sample import bundle, weight
 
 SMALL = "/root/testdata/sf0.001"
 TEXTS = ["Oyun evlerin oyunlu, kitaplar geldi mi? 26.07.2026", "a `code x` b\r\nfoo_bar += 42\n", "", "🙂 çok  güzel\tde", "qwx" * 40, None]
