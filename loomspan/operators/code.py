@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,18 +55,70 @@ def is_literal(piece: bytes) -> bool:
     return bool(_LITERAL.match(piece))
 
 
-def artifact_spans(raw: bytes) -> list[Span]:
+_ARTIFACTS = (("url", is_url), ("email", is_email), ("assignment", is_assignment), ("timestamp", is_timestamp), ("number", is_literal))
+
+
+def named_artifacts(raw: bytes) -> list[tuple[int, int, str]]:
+    """Spans of inline artifacts with their kind, of several the first."""
     found = []
     for match in _PIECE.finditer(raw):
         piece = match[0]
         left = len(piece) - len(piece.lstrip(b"([{<\"'"))
         core = piece[left:].rstrip(b".,;!?)]}>\"'")
-        if core and (is_url(core) or is_email(core) or is_assignment(core) or is_timestamp(core) or is_literal(core)):
+        kind = next((name for name, test in _ARTIFACTS if test(core)), None) if core else None
+        if kind:
             begin = match.start() + left
-            found.append((begin, begin + len(core)))
+            found.append((begin, begin + len(core), kind))
     return found
 
 
+def artifact_spans(raw: bytes) -> list[Span]:
+    return [(begin, end) for begin, end, _ in named_artifacts(raw)]
+
+
+def _rows(raw: DataFrame, make: Callable[[bytes], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """A row for each tuple that a document's bytes give."""
+    key = raw.schema["doc_id"].dataType.simpleString()
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *row) for k, value in enumerate(batch.column(1)) if value.is_valid for row in make(value.as_py())]
+            columns = list(zip(*rows)) or [[]] * (len(names) + 1)
+            of = pa.array(list(columns[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *(pa.array(list(c), t) for c, t in zip(columns[1:], types))], names=["doc_id", *names])
+
+    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {key}, {schema}")
+
+
+def artifacts(raw: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``kind``, ``surface`` of inline artifacts."""
+    make = lambda data: [(b, e, kind, data[b:e]) for b, e, kind in named_artifacts(data)]
+    return _rows(raw, make, "start long, end long, kind string, surface binary", [pa.int64(), pa.int64(), pa.string(), pa.binary()])
+
+
+def judged_lines(raw: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``score``, ``hard``, ``weak``, ``blank`` of each line."""
+    make = lambda data: [(x.start, x.end, x.score, bool(x.hard), bool(x.weak), x.blank) for x in code_lines(data)]
+    return _rows(raw, make, "start long, end long, score int, hard boolean, weak boolean, blank boolean", [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()])
+
+
+def regions(raw: DataFrame, fences: bool = True, blocks: bool = True) -> DataFrame:
+    """``doc_id``, ``start``, ``end`` of fenced code, unmarked blocks, or both merged."""
+    make = lambda data: merged((fenced_spans(data) if fences else []) + (block_spans(data) if blocks else []))
+    return _rows(raw, make, "start long, end long", [pa.int64(), pa.int64()])
+
+
+def identifier_parts(raw: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``surface`` of the parts of identifiers, one a row of ``raw``."""
+
+    def make(data: bytes) -> list[tuple]:
+        edges = [0, *identifier_cuts(data.decode()), len(data)]
+        return [(b, e, data[b:e]) for b, e in zip(edges, edges[1:])]
+
+    return _rows(raw, make, "start long, end long, surface binary", [pa.int64(), pa.int64(), pa.binary()])
+
+
 def fenced_spans(raw: bytes) -> list[Span]:
     """Between backticks: runs of three and more are fences, else single ones count."""
     found, at = [], 0

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from loomspan.functions.turkish import turkish_lower
 
 UNKNOWN_ID = "UNK_Unk_Unk"
@@ -241,3 +244,15 @@ def shadow_analyses(surface: str, provider: Provider | None = None) -> list[Anal
         if made and made.canonical not in {m.canonical for m in out}:
             out.append(made)
     return out
+
+
+def shadow_variants(words: DataFrame) -> DataFrame:
+    """``word``, ``variants``: the spellings with Turkish letters that a word's shadow analyses try."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases = [None if w is None else lowered(w) for w in batch.column(0).to_pylist()]
+            made = [None if b is None else [c.text for c in deasciified(b)] for b in bases]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["word", "variants"])
+
+    return words.select("word").mapInArrow(kernel, "word string, variants array<string>")

@@ -80,9 +80,18 @@ def lattice_collapse(spark, folder):
     return lattice.collapse_table(rows).select("doc_id", F.col("cuts")[0].alias("cut"), "analysis_count", F.round("score", 6).alias("score"))
 
 
-@register()
+_WRAP = "CAST(18446744073709551616 AS UHUGEINT)"
+_TIMES = lambda value, factor: f"CAST((CAST({value} AS UHUGEINT) * CAST({factor} AS UHUGEINT)) % {_WRAP} AS UBIGINT)"
+
+
+@register(
+    f"""WITH a AS (SELECT event_id, CAST((CAST(event_id + 1 AS UHUGEINT) * CAST({lattice.GAMMA} AS UHUGEINT) + CAST(7 AS UHUGEINT)) % {_WRAP} AS UBIGINT) AS z FROM events),
+        b AS (SELECT event_id, {_TIMES("xor(z, z >> 30)", 0xBF58476D1CE4E5B9)} AS z FROM a), c AS (SELECT event_id, {_TIMES("xor(z, z >> 27)", 0x94D049BB133111EB)} AS z FROM b),
+        d AS (SELECT event_id, CAST(xor(z, z >> 31) AS HUGEINT) AS z FROM c)
+        SELECT event_id, CAST(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS number FROM d"""
+)
 def splitmix_sampling(spark, folder):
-    """Sampling numbers of one seed by their step; brute force is in the tests."""
+    """Sampling numbers of one seed by their step."""
     events = table(spark, folder, "events").select("event_id")
     return events.select("event_id", lattice.splitmix_column(7, F.col("event_id") + 1).alias("number"))
 

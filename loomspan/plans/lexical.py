@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomspan.functions import lexical as L
 from loomspan.functions import turkish as T
-from loomspan.operators import code, scan
+from loomspan.operators import code, quality, scan
 from loomspan.plans.registry import SQL_NUMBER, SQL_TOKEN, SQL_WORD, register
 from loomspan.session import spread, table
 
@@ -75,9 +74,9 @@ def scalar_signs(spark, folder):
     return rows.select(F.explode(F.split("token", "")).alias("sign")).where("sign <> ''").groupBy("sign").agg(F.count("*").alias("n"))
 
 
-@register("SELECT CAST(0 AS BIGINT) AS n_different")
+@register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_different FROM documents")
 def scan_parity(spark, folder):
-    """Documents in which the kernel and the native scan disagree on any span."""
+    """Documents in which the kernel and the native scan disagree on any span, of so many with so many bytes in spans."""
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     native = docs.select("doc_id", scan.tokens_native(F.col("text")).alias("tokens"))
     native = native.select("doc_id", F.transform("tokens", F.octet_length).alias("sizes"))
@@ -85,13 +84,18 @@ def scan_parity(spark, folder):
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     widths = F.when(F.size("ends") == 0, F.array().cast("array<int>")).otherwise(F.zip_with("ends", before, lambda e, b: (e - b).cast("int")))
     both = native.join(kernel.select("doc_id", widths.alias("widths")), "doc_id")
-    return both.agg(F.count_if(F.col("sizes") != F.col("widths")).alias("n_different"))
+    total = F.aggregate("widths", F.lit(0).cast("long"), lambda a, x: a + x)
+    return both.agg(F.count("*").alias("n_docs"), F.sum(total).alias("n_bytes"), F.count_if(F.col("sizes") != F.col("widths")).alias("n_different"))
 
 
-@register("SELECT doc_id FROM documents WHERE false")
+@register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_wrong FROM documents")
 def coverage_violations(spark, folder):
+    """Documents whose spans have gaps or overlaps, of so many with so many bytes in spans."""
     raw = scan.as_raw(spread(table(spark, folder, "documents")))
-    return scan.coverage_violations(scan.lex(raw), raw)
+    spans = scan.lex(raw)
+    wrong = scan.coverage_violations(spans, raw).groupBy().agg(F.count("*").alias("n_wrong"))
+    seen = spans.agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+    return seen.withColumn("_k", F.lit(1)).join(wrong.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @register(
@@ -112,30 +116,45 @@ def byte_token_counts(spark, folder):
 
 
 @register(
-    """SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(line, '[;{}]') THEN 1 ELSE 0 END) AS BIGINT) AS n_signed,
-       CAST(sum(CASE WHEN regexp_matches(line, '^[ \\t]') THEN 1 ELSE 0 END) AS BIGINT) AS n_indented, count(*) AS n_lines
-       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"""
+    """SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN regexp_full_match(line, '[ \\t\\r\\f\\n]*') THEN 1 ELSE 0 END) AS BIGINT) AS n_blank, CAST(max(octet_length(encode(line)) + CAST(NOT last AS INTEGER)) AS BIGINT) AS longest
+       FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) = len(l) AS last FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE NOT (last AND line = '') GROUP BY doc_id"""
 )
 def code_line_stats(spark, folder):
-    lines = spread(table(spark, folder, "documents")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(
-        F.count_if(F.col("line").rlike("[;{}]")).alias("n_signed"), F.count_if(F.col("line").rlike(r"^[ \t]")).alias("n_indented"), F.count("*").alias("n_lines")
-    )
+    """Lines as the code judge sees them, each with its line feed."""
+    found = code.judged_lines(scan.as_raw(spread(table(spark, folder, "documents"))))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("blank").alias("n_blank"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
+#: Texts with what the driver's tables lack, beside them in both engines; ids are negative.
+_EXTRA = (
+    (-1, "see id=5 and user_name=kim, (error=404) level==3 x=1"),
+    (-2, "mask 0xFF_FF, 0b1010 or 0o17; 1e-5 12.5e3f64 42u8 but 42 and 3.14"),
+    (-3, "at 2024-05-06T07:08:09Z, not 2024-05-06 07:08; <2024-05-06t07:08:09.5+03:00>"),
+    (-4, "write to a.b+c@d-e.org. or @x, a@b, a@.c.d; www.example.org/x (https://a.b/c?d=e)"),
+    (-5, "kâğıt hâlâ sûret rûzgâr ÎMÂN"),
+)
+_EXTRA_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _EXTRA) + ") AS extra(doc_id, text)"
+
+
+def _with_extra(spark, folder):
+    """Documents and the texts beside them, as bytes."""
+    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scan.as_raw(docs.unionByName(spark.createDataFrame(list(_EXTRA), "doc_id long, text string")))
 
 
 _PIECES = r"SELECT page_id, regexp_replace(regexp_replace(p, '^[(\[{<\"'']+', ''), '[.,;!?)\]}>\"'']+$', '') AS piece FROM (SELECT page_id, unnest(regexp_extract_all(html, '[^\x00-\x20\x7f`]+')) AS p FROM pages)"
-_TEXT_PIECES = _PIECES.replace("page_id", "doc_id").replace("html", "text").replace("pages", "documents")
+_TEXT_PIECES = _PIECES.replace("page_id", "doc_id").replace("html", "text").replace("FROM pages", f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_EXTRA_SQL})")
 
 
-def _pieces(spark, folder, name, key, column):
-    rows = spread(table(spark, folder, name))
-    return rows.select(key, F.explode(code.trimmed_pieces(F.col(column))).alias("piece"))
+def _artifacts(raw, kind, name):
+    found = code.artifacts(raw).where(F.col("kind") == kind)
+    return found.select("doc_id", F.decode("surface", "UTF-8").alias(name))
 
 
 @register(f"SELECT piece AS url, count(*) AS n FROM ({_PIECES}) WHERE regexp_matches(piece, '^(?:https?://|ftp://|www\\.)') AND octet_length(encode(piece)) > 8 GROUP BY 1")
 def url_tokens(spark, folder):
-    rows = _pieces(spark, folder, "pages", "page_id", "html")
-    return rows.where(code.url_column(F.col("piece"))).groupBy(F.col("piece").alias("url")).agg(F.count("*").alias("n"))
+    pages = spread(table(spark, folder, "pages")).select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
+    return _artifacts(pages, "url", "url").groupBy("url").agg(F.count("*").alias("n"))
 
 
 _EMAIL = r"^[\p{L}\p{N}._+\-]+@[\p{L}\p{N}\-][\p{L}\p{N}.\-]*\.[\p{L}\p{N}.\-]*[\p{L}\p{N}\-]$"
@@ -143,27 +162,30 @@ _EMAIL = r"^[\p{L}\p{N}._+\-]+@[\p{L}\p{N}\-][\p{L}\p{N}.\-]*\.[\p{L}\p{N}.\-]*[
 
 @register(f"SELECT doc_id, piece AS email FROM ({_TEXT_PIECES}) WHERE regexp_matches(piece, '{_EMAIL}')")
 def email_tokens(spark, folder):
-    rows = _pieces(spark, folder, "documents", "doc_id", "text")
-    return rows.where(F.col("piece").rlike(_EMAIL)).select("doc_id", F.col("piece").alias("email"))
+    return _artifacts(_with_extra(spark, folder), "email", "email")
 
 
 _ASSIGN = r"^(?:[A-Za-z_][A-Za-z0-9_.\-]*[_.\-][A-Za-z0-9_.\-]*|_|id|key|url|path|host|port|status|error|level|time|date)=[^=]"
 
 
-@register(f"SELECT page_id, piece AS assignment FROM ({_PIECES}) WHERE regexp_matches(piece, '{_ASSIGN}')")
+@register(f"SELECT doc_id, piece AS assignment FROM ({_TEXT_PIECES}) WHERE regexp_matches(piece, '{_ASSIGN}')")
 def inline_assignments(spark, folder):
-    rows = _pieces(spark, folder, "pages", "page_id", "html")
-    return rows.where(F.col("piece").rlike(_ASSIGN)).select("page_id", F.col("piece").alias("assignment"))
+    return _artifacts(_with_extra(spark, folder), "assignment", "assignment")
 
 
 _STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}[0-9.,+\-:Zz]*$"
 
 
-@register(f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events WHERE regexp_matches(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{_STAMP}')")
+@register(
+    f"""SELECT event_id AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events
+        UNION ALL SELECT doc_id, piece FROM ({_TEXT_PIECES}) WHERE doc_id < 0 AND regexp_matches(piece, '{_STAMP}')"""
+)
 def iso_timestamps(spark, folder):
-    """Times written out and found again as inline artifacts."""
-    events = table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
-    return events.where(F.col("stamp").rlike(_STAMP))
+    """Times of events, written into sentences, and found as inline artifacts."""
+    text = F.concat(F.lit("Logged ("), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(") on 3.4.2021."))
+    events = table(spark, folder, "events").select(F.col("event_id").cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("raw"))
+    extra = scan.as_raw(spark.createDataFrame(list(_EXTRA), "doc_id long, text string"))
+    return _artifacts(events.unionByName(extra), "timestamp", "stamp")
 
 
 _LITERAL = r"^[+\-]?(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|[0-9_]+(?:\.[0-9_]+)?(?:[eE][+\-]?[0-9_]+(?:[fFiIuU][0-9]+)?|[fFiIuU][0-9]+))$"
@@ -171,28 +193,25 @@ _LITERAL = r"^[+\-]?(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|[0-9_]+(?:\.[
 
 @register(f"SELECT doc_id, piece AS literal FROM ({_TEXT_PIECES}) WHERE regexp_matches(piece, '{_LITERAL}')")
 def programming_numbers(spark, folder):
-    rows = _pieces(spark, folder, "documents", "doc_id", "text")
-    return rows.where(F.col("piece").rlike(_LITERAL)).select("doc_id", F.col("piece").alias("literal"))
+    return _artifacts(_with_extra(spark, folder), "number", "literal")
 
 
-@register(
-    r"""WITH lines AS (SELECT page_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)),
-        scored AS (SELECT page_id, line, 2 * CAST(contains(text, ';') AS INT) + CAST(regexp_matches(text, '[{}]') AS INT)
-                   + CAST(contains(text, '(') AND contains(text, ')') AS INT) + CAST(contains(text, '_') AS INT) AS score FROM lines)
-        SELECT page_id, CAST(line AS INTEGER) AS line FROM (SELECT page_id, line, score,
-        lag(score) OVER (PARTITION BY page_id ORDER BY line) AS before, lead(score) OVER (PARTITION BY page_id ORDER BY line) AS after FROM scored)
-        WHERE score >= 3 AND ((before >= 3 AND score + before >= 8) OR (after >= 3 AND score + after >= 8))"""
+_CODE = (
+    (1, "Some words first, as prose has them.\nlet total = price * count;\nreturn total;\nAnd that was all of it.\n"),
+    (2, "Use `x += 1` here.\n```rust\nfn main() {}\n```\nDone."),
+    (3, "#!/bin/sh\necho hi\n"),
+    (4, "No code in this text at all, only a sentence that goes on."),
+    (5, "if (a_b) { c(); }\n\nplain words\n"),
 )
-def adjacent_code_lines(spark, folder):
-    """The pair rule of block detection, on the signs that a column can score."""
-    lines = spread(table(spark, folder, "pages")).select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "text"))
-    has = lambda s: F.col("text").contains(s).cast("int")
-    both = (F.col("text").contains("(") & F.col("text").contains(")")).cast("int")
-    lines = lines.select("page_id", "line", (2 * has(";") + F.col("text").rlike("[{}]").cast("int") + both + has("_")).alias("score"))
-    order = Window.partitionBy("page_id").orderBy("line")
-    beside = lines.withColumns({"before": F.lag("score").over(order), "after": F.lead("score").over(order)})
-    pair = lambda c: (F.col(c) >= code.MODERATE) & (F.col("score") + F.col(c) >= code.PAIR)
-    return beside.where((F.col("score") >= code.MODERATE) & (pair("before") | pair("after"))).select("page_id", "line")
+#: By hand, in bytes: the two lines of the block; both fences; a script as a whole; a line by its own signs, with the blank one after it.
+_REGIONS = ((1, 37, 78), (2, 4, 12), (2, 19, 43), (3, 0, 18), (5, 0, 19))
+
+
+@register("SELECT CAST(d AS BIGINT) AS doc_id, CAST(b AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at FROM (VALUES " + ", ".join(map(str, _REGIONS)) + ") AS r(d, b, e)")
+def code_regions(spark, folder):
+    """Fences and unmarked blocks of texts whose regions are known."""
+    raw = scan.as_raw(spark.createDataFrame(list(_CODE), "doc_id long, text string"))
+    return code.regions(raw).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 _SPAN_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 7 AS BIGINT) AS s, CAST(l_linenumber * 7 + l_quantity AS BIGINT) AS e FROM lineitem"
@@ -222,10 +241,14 @@ def turkish_lower(spark, folder):
     return words.select("word", F.translate("word", "Iİ", "ıi").alias("folded"), T.turkish_lower_column(F.col("word")).alias("lowered"))
 
 
-@register(f"SELECT token AS word, translate(token, 'âîûÂÎÛ', 'aiuAİU') AS folded FROM ({_WORDS}) WHERE token <> translate(token, 'âîûÂÎÛ', 'aiuAİU')")
+@register(
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{SQL_WORD}')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM {_EXTRA_SQL}))
+        SELECT word, translate(word, 'âîûÂÎÛ', 'aiuAİU') AS folded FROM w WHERE word <> translate(word, 'âîûÂÎÛ', 'aiuAİU')"""
+)
 def circumflex_fold(spark, folder):
-    words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select(F.col("token").alias("word")).distinct()
-    return words.withColumn("folded", T.fold_circumflex_column(F.col("word"))).where("word <> folded")
+    docs = spread(table(spark, folder, "documents")).select("text").unionByName(spark.createDataFrame([(t,) for _, t in _EXTRA], "text string"))
+    tokens = docs.select(F.explode(scan.tokens_native(F.col("text"))).alias("word")).where(scan.native_kind(F.col("word")) == L.WORD).distinct()
+    return tokens.withColumn("folded", T.fold_circumflex_column(F.col("word"))).where("word <> folded")
 
 
 @register(
@@ -289,19 +312,18 @@ def identifier_pieces(spark, folder):
     """Parts of lower-case identifiers, where digits and underscores meet letters."""
     words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select(F.col("token").alias("word")).distinct()
     words = words.where(F.col("word").rlike("[_0-9]") & F.col("word").rlike("^[a-z0-9_]+$"))
-    parts = words.select("word", F.explode(F.regexp_extract_all("word", F.lit("[_]|[0-9]+|[^_0-9]+"), F.lit(0))).alias("part"))
-    return parts.groupBy("word", "part").agg(F.count("*").alias("n"))
+    parts = code.identifier_parts(words.select(F.col("word").alias("doc_id"), F.encode("word", "UTF-8").alias("raw")))
+    return parts.groupBy(F.col("doc_id").alias("word"), F.decode("surface", "UTF-8").alias("part")).agg(F.count("*").alias("n"))
 
 
 @register(
-    f"""SELECT folded, count(*) AS n_spellings, min(token) AS least FROM (SELECT token, translate(lower(replace(replace(token, 'I', 'ı'), 'İ', 'i')), 'çğıöşü', 'cgiosu') AS folded FROM ({_WORDS}))
-        GROUP BY folded HAVING count(*) > 1"""
+    f"""SELECT word, CAST(least(64, CAST(pow(2, length(word) - length(translate(word, 'cgiosu', ''))) AS BIGINT)) - 1 AS BIGINT) AS n_variants
+        FROM (SELECT token AS word FROM ({_WORDS}) WHERE regexp_full_match(token, '[a-z]+')) WHERE regexp_matches(word, '[cgiosu]')"""
 )
-def deasciify_pairs(spark, folder):
-    """Words that are one word without Turkish letters."""
-    words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select("token").distinct()
-    folded = words.withColumn("folded", F.translate(T.turkish_lower_column(F.col("token")), "çğıöşü", "cgiosu"))
-    return folded.groupBy("folded").agg(F.count("*").alias("n_spellings"), F.min("token").alias("least")).where("n_spellings > 1")
+def deasciify_variants(spark, folder):
+    """How many variants with Turkish letters of a plain word are tried; more than 63 aren't."""
+    words = _tokens(spark, folder).where((F.col("kind") == L.WORD) & F.col("token").rlike("^[a-z]*[cgiosu][a-z]*$")).select(F.col("token").alias("word")).distinct()
+    return quality.shadow_variants(words).select("word", F.size("variants").cast("long").alias("n_variants"))
 
 
 @register(f"SELECT count(*) AS n_words, count(DISTINCT token) AS n_distinct FROM ({_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]')")

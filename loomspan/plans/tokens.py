@@ -46,11 +46,14 @@ def single_letter_units(spark, folder):
     return found.groupBy(F.decode("surface", "UTF-8").alias("letter")).agg(F.count("*").alias("n"))
 
 
-@register("SELECT doc_id, CAST(NULL AS INTEGER) AS unit_idx, '' AS reason FROM documents WHERE false")
+@register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_wrong FROM documents")
 def unit_violations(spark, folder):
-    """Units that break an invariant; there are none."""
+    """Units that break an invariant, in so many documents with so many bytes in units."""
     raw = cut(_raw(spark, folder))
-    return units.violations(cut(units.tokenize(raw)), raw)
+    made = cut(units.tokenize(raw))
+    wrong = units.violations(made, raw).groupBy().agg(F.count("*").alias("n_wrong"))
+    seen = made.agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+    return seen.withColumn("_k", F.lit(1)).join(wrong.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @register(
@@ -65,36 +68,54 @@ def numeric_micro_cuts(spark, folder):
     return rows.where(F.col("number").rlike(r"^\p{N}(?:\p{N}|[.,:/\-]\p{N})*$")).groupBy("number", "n_cuts").agg(F.count("*").alias("n"))
 
 
-@register(
-    f"""SELECT lower(token) AS clitic, count(*) AS n FROM ({_WN}) WHERE lower(token) IN ('mi', 'mı', 'mu', 'mü', 'de', 'da') GROUP BY 1"""
-)
+#: All tokens in order: words and numbers with the units they are chunked into, other signs one by one.
+_ALL_TOKENS = rf"SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}|.') AS t FROM documents)"
+_MARKED = rf"""SELECT *, regexp_matches(token, '^[\r\n]') AS breaks, regexp_matches(token, '^[ \t\x0b\f\x{{a0}}]') AS spaces, (length(token) + 47) // 48 AS n,
+    lower(token) IN ('mi', 'mı', 'mu', 'mü', 'de', 'da') AS clitic FROM ({_ALL_TOKENS})"""
+_HOSTED = f"""SELECT *, clitic AND NOT breaks AND lag(host_or_break IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) = 'host' AS joined
+    FROM (SELECT *, CASE WHEN breaks THEN 'break' WHEN NOT spaces THEN 'host' END AS host_or_break FROM ({_MARKED}))"""
+
+
+@register(f"SELECT lower(token) AS clitic, count(*) AS n FROM ({_HOSTED}) WHERE joined GROUP BY 1")
 def clitic_tokens(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
-    low = F.lower("token")
-    return docs.where(low.isin(*sorted(units.CLITICS))).groupBy(low.alias("clitic")).agg(F.count("*").alias("n"))
+    """Clitics that joined the group of their host."""
+    made = units.tokenize(_raw(spark, folder), _TURKISH, surfaces=True).where(F.col("group_id").isNotNull() & (F.col("kind") != L.WHITESPACE))
+    first = made.groupBy("doc_id", "group_id").agg(F.min("unit_idx").alias("_host"))
+    low = F.lower(F.decode("surface", "UTF-8"))
+    return made.join(first, ["doc_id", "group_id"]).where(F.col("unit_idx") > F.col("_host")).groupBy(low.alias("clitic")).agg(F.count("*").alias("n"))
 
 
-@register()
+@register(
+    f"""WITH content AS (SELECT *, sum(CASE WHEN breaks OR spaces OR joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g,
+            CASE WHEN spaces THEN lead(CASE WHEN breaks OR NOT spaces THEN coalesce(joined, false) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) ELSE NOT breaks END AS inside FROM ({_HOSTED})),
+        sized AS (SELECT doc_id, g, count(*) AS n_units, max(CASE WHEN NOT breaks AND NOT spaces AND NOT coalesce(joined, false) THEN n END) AS chunks FROM content WHERE inside GROUP BY doc_id, g),
+        every AS (SELECT doc_id, n_units, 1 AS k FROM sized UNION ALL SELECT doc_id, 1, chunks - 1 FROM sized WHERE chunks > 1)
+        SELECT doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(sum(k) AS BIGINT) AS n_groups FROM every GROUP BY 1, 2"""
+)
 def clitic_groups(spark, folder):
-    """Sizes of the clitic groups of each document; brute force is in the tests."""
+    """Sizes of the clitic groups of each document."""
     found = units.tokenize(_raw(spark, folder), _TURKISH).where("group_id IS NOT NULL")
     return found.groupBy("doc_id", "group_id").agg(F.count("*").alias("n_units")).groupBy("doc_id", "n_units").agg(F.count("*").alias("n_groups"))
 
 
-@register()
+@register(
+    f"""SELECT doc_id, CAST(seg AS BIGINT) AS seg_id, CAST(sum(n) AS BIGINT) AS n_units FROM (SELECT *, coalesce(sum(CASE WHEN breaks OR token IN ('.', '!', '?') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM ({_MARKED})) WHERE NOT breaks AND NOT spaces GROUP BY 1, 2"""
+)
 def sentence_segments(spark, folder):
     found = units.segment_ids(units.tokenize(_raw(spark, folder), _TURKISH, surfaces=True))
-    return found.groupBy("doc_id", "seg_id", "seg_part").agg(F.count("*").alias("n_units"))
+    return found.groupBy("doc_id", "seg_id").agg(F.count("*").alias("n_units"))
 
 
-@register(f"SELECT CAST(least(length(token), 200) AS INTEGER) AS width, CAST(sum((length(token) + 7) // 8) AS BIGINT) AS n_chunks FROM ({_WN}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') GROUP BY 1")
+@register(
+    f"""SELECT CAST(width AS INTEGER) AS width, count(*) AS n FROM (SELECT unnest(list_transform(range((length(token) + 7) // 8), lambda k: least(8, length(token) - 8 * k))) AS width
+        FROM ({_WN}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') AND NOT regexp_full_match(token, '[A-Za-zçÇğĞıİöÖşŞüÜ]')) GROUP BY 1"""
+)
 def fallback_chunks(spark, folder):
-    """Chunks of at most eight characters that words are cut into."""
-    words = spread(table(spark, folder, "documents")).select(F.explode(scan.tokens_native(F.col("text"))).alias("token"))
-    words = words.where(F.col("token").rlike(r"^[\p{IsAlphabetic}\p{M}_]"))
-    starts = F.sequence(F.lit(1), F.length("token"), F.lit(8))
-    chunks = words.select(F.least(F.length("token"), F.lit(200)).alias("width"), F.size(F.transform(starts, lambda s: F.substr("token", s, F.lit(8)))).alias("n"))
-    return chunks.groupBy("width").agg(F.sum(F.col("n").cast("long")).alias("n_chunks"))
+    """Widths of the chunks of at most eight characters that unknown words are cut into."""
+    made = units.tokenize(_raw(spark, folder), units.Config(mode="turkish", max_fallback_chars=8), surfaces=True)
+    made = made.where((F.col("kind") == L.WORD) & (F.col("status") == units.UNKNOWN))
+    return made.groupBy(F.length(F.decode("surface", "UTF-8")).alias("width")).agg(F.count("*").alias("n"))
 
 
 _PIECES = f"SELECT CASE WHEN regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') THEN token END AS piece FROM ({_WN}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') AND length(token) <= 48"
