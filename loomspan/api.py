@@ -18,6 +18,7 @@ from loomspan.operators import encode, lattice, quality, scan, units
 from loomspan.operators import vocab as V
 from loomspan.operators.disambiguate import Disambiguator, word_of
 from loomspan.sources import codecs
+from loomspan.session import shipped
 
 
 @dataclass
@@ -177,7 +178,7 @@ class LatticeTokenizer(Tokenizer):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
         schema = "ids array<int>, segment_offsets array<int>, pooled_segments array<int>, pool_spans array<struct<start:bigint,end:bigint>>, pool_modes array<string>, pool_group_ids array<int>"
-        return docs.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {schema}")
+        return shipped(docs).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {schema}")
 
     def train(self, docs: DataFrame, chars: int, roots: int, pieces: int) -> str:
         """Train both vocabularies by counting; gives the fingerprint of settings and vocabularies."""
@@ -194,9 +195,12 @@ class LatticeTokenizer(Tokenizer):
                 columns = list(zip(*rows)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary()))], names=["family", "token", "surface"])
 
-        counted = docs.select("raw").mapInArrow(kernel, "family int, token string, surface binary").groupBy("family", "token", "surface").agg(F.count("*").alias("n"))
+        counted = shipped(docs).select("raw").mapInArrow(kernel, "family int, token string, surface binary").groupBy("family", "token", "surface").agg(F.count("*").alias("n"))
         top = lambda f, key, most: [(r["token"], bytes(r["surface"])) for r in counted.where(F.col("family") == f).orderBy(F.col("n").desc(), key).limit(most).collect()]
-        morphemes = [(r["token"], bytes(r["surface"])) for r in counted.where(F.col("family") == V.G_MORPHEME).collect()]
+        found = counted.where(F.col("family") == V.G_MORPHEME).limit(V.MOST_ENTRIES + 1).collect()
+        if len(found) > V.MOST_ENTRIES:
+            raise ValueError("more morphemes than a vocabulary has entries")
+        morphemes = [(r["token"], bytes(r["surface"])) for r in found]
         self.generation = V.assemble_generation(list(self.chars.chars), morphemes, top(V.G_ROOT, "token", roots), [s for _, s in top(V.G_PIECE, "surface", pieces)])
         return self.fingerprint()
 
@@ -216,4 +220,4 @@ class LatticeTokenizer(Tokenizer):
                 out = [encode.decode_generation(self.generation, v.as_py()) if v.is_valid else None for v in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "raw"])
 
-        return encoded.select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")
+        return shipped(encoded).select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")

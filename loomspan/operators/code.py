@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from loomspan.session import shipped
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,7 +89,7 @@ def _rows(raw: DataFrame, make: Callable[[bytes], list[tuple]], schema: str, typ
             of = pa.array(list(columns[0]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *(pa.array(list(c), t) for c, t in zip(columns[1:], types))], names=["doc_id", *names])
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {key}, {schema}")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {key}, {schema}")
 
 
 def artifacts(raw: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from loomspan.functions.lexical import LINE_BREAK, NUMBER, PUNCTUATION, SYMBOL,
 from loomspan.operators import programs
 from loomspan.operators import vocab as V
 from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, few_collections, units_of
+from loomspan.session import cut, shipped
 
 Encoding = tuple[list[int], list[int]]
 
@@ -318,7 +319,7 @@ def _encoded(raw: DataFrame, make) -> DataFrame:
             columns = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "ids", "lengths"])
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
 
 
 def byte_encoding(raw: DataFrame, newline: bool = False) -> DataFrame:
@@ -412,7 +413,7 @@ def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Co
                 parts.append((slow, [pa.array(list(c), pa.list_(pa.int32())) for c in zip(*rows)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", "ids", "lengths"])
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
 
 
 def content_ids(ids: Column) -> Column:
@@ -429,7 +430,7 @@ def surface_decoding(encoded: DataFrame, vocabulary: V.SurfaceVocabulary) -> Dat
             out = [vocabulary.decode(v.as_py()) if v.is_valid else None for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "raw"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")
+    return shipped(encoded).select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")
 
 
 def document_offsets(sizes: DataFrame, key: str = "doc_id", size: str = "n_ids", parts: int | None = None) -> DataFrame:
@@ -439,8 +440,6 @@ def document_offsets(sizes: DataFrame, key: str = "doc_id", size: str = "n_ids",
     """
     ranged = sizes.select(F.col(key), F.col(size).cast("long").alias("_n"))
     ranged = ranged.repartitionByRange(parts, key) if parts else ranged.repartitionByRange(key)
-    from loomspan.session import cut
-
     placed = cut(ranged.withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_part").agg(F.sum("_n").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))

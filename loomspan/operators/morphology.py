@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.functions import turkish as T
 from loomspan.operators.quality import Analysis, Morpheme
+from loomspan.session import shipped
 
 PHONETIC = (
     "LastLetterVowel", "LastLetterConsonant", "LastVowelFrontal", "LastVowelBack", "LastVowelRounded", "LastVowelUnrounded",
@@ -640,4 +641,4 @@ def surface_analyses(surfaces: DataFrame, morphology: Morphology) -> DataFrame:
                 names=["surface", "n", "cuts", "ids"],
             )
 
-    return surfaces.select("surface").distinct().mapInArrow(kernel, "surface string, n int, cuts array<array<int>>, ids array<string>")
+    return shipped(surfaces).select("surface").distinct().mapInArrow(kernel, "surface string, n int, cuts array<array<int>>, ids array<string>")

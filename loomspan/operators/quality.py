@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomspan.functions.turkish import turkish_lower
+from loomspan.session import shipped
 
 UNKNOWN_ID = "UNK_Unk_Unk"
 
@@ -255,4 +256,4 @@ def shadow_variants(words: DataFrame) -> DataFrame:
             made = [None if b is None else [c.text for c in deasciified(b)] for b in bases]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["word", "variants"])
 
-    return words.select("word").mapInArrow(kernel, "word string, variants array<string>")
+    return shipped(words).select("word").mapInArrow(kernel, "word string, variants array<string>")

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from loomspan.functions import lexical
 from loomspan.operators.hints import HintTracker
+from loomspan.session import shipped
 
 
 def byte_offsets(text: str) -> np.ndarray:
@@ -82,7 +83,7 @@ def lex_arrays(raw: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))], names=["doc_id", "ends", "kinds"]
             )
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ends array<bigint>, kinds array<int>")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ends array<bigint>, kinds array<int>")
 
 
 def lex(raw: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def hints(raw: DataFrame) -> DataFrame:
             columns = [pa.array([None if f is None else f[k] for f in found], pa.bool_()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "unmarked_code", "inline_artifact", "backtick"])
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, unmarked_code boolean, inline_artifact boolean, backtick boolean")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, unmarked_code boolean, inline_artifact boolean, backtick boolean")
 
 
 def coverage_violations(spans: DataFrame, raw: DataFrame) -> DataFrame:

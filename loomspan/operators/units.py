@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from loomspan.functions.lexical import CONTROL, LINE_BREAK, NUMBER, OPAQUE, PUNCTUATION, SYMBOL, WHITESPACE, WORD
 from loomspan.operators import code, quality
 from loomspan.operators.scan import scan_with_hints
+from loomspan.session import shipped
 
 TURKISH, CODE, BYTES = 1, 2, 3
 STRUCTURAL, MORPHOLOGICAL, UNKNOWN, CODED, OPAQUE_STATUS = 1, 2, 3, 4, 5
@@ -297,7 +298,7 @@ def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider |
             yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", *names])
 
     more = ", surface array<binary>" * surfaces + f", analysis array<{ANALYSIS}>" * analyses
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {SCHEMA}{more}")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, {SCHEMA}{more}")
 
 
 def tokenize(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, choose=None, surfaces: bool = False, analyses: bool = False) -> DataFrame:

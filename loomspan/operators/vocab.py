@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from loomspan.functions.lexical import LINE_BREAK, WHITESPACE
 from loomspan.operators import programs, quality
 from loomspan.operators.units import CODE, Config, Provider, few_collections, units_of
+from loomspan.session import shipped
 
 PAD, BOS, EOS = 0, 1, 2
 UNIT, MORPH, CODE_START, CODE_END, CHAR_BYTES, CHAR_FIRST = 3, 4, 5, 6, 7, 263
@@ -227,7 +228,7 @@ def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provid
         settle()
         yield _weights(counts)
 
-    made = raw.select("raw").mapInArrow(kernel, "piece binary, weight long")
+    made = shipped(raw).select("raw").mapInArrow(kernel, "piece binary, weight long")
     return made.groupBy("piece").agg(F.sum("weight").alias("weight"))
 
 

@@ -12,6 +12,7 @@ from loomspan.operators import morphology as M
 from loomspan.operators import units
 from loomspan.plans import sample
 from loomspan.plans.registry import register
+from loomspan.session import shipped
 
 
 def stored(names: str, kinds: str, rows: tuple[tuple, ...]) -> str:
@@ -97,7 +98,7 @@ def morph_generation(spark, folder):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["item", "parts", "surface"])
 
     asked = spark.createDataFrame(sorted({r[:2] for r in _GENERATED}), "item string, parts string")
-    return asked.mapInArrow(kernel, "item string, parts string, surface string").distinct()
+    return shipped(asked).mapInArrow(kernel, "item string, parts string, surface string").distinct()
 
 
 def _path_sql() -> str:
@@ -133,7 +134,7 @@ def context_choices(spark, folder):
                 columns = [list(range(len(made))), causal, best]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], names=["token", "causal", "best"])
 
-    return spark.range(1).mapInArrow(kernel, "token int, causal int, best int")
+    return shipped(spark.range(1)).mapInArrow(kernel, "token int, causal int, best int")
 
 
 _SENTENCE = "Oyun evlerin oyunlu kitaplar geldi mi? 3'üncü."
@@ -171,4 +172,4 @@ def stem_lookup(spark, folder):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 2, names=["word", "stem"])
 
     words = spark.createDataFrame([(w,) for w in ("evlerin", "kitabım", "oyunlu", "üçüncüde", "deniz")], "word string")
-    return words.mapInArrow(kernel, "word string, stem string")
+    return shipped(words).mapInArrow(kernel, "word string, stem string")

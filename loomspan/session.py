@@ -52,6 +52,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shipped(frame: DataFrame) -> DataFrame:
+    """The frame, after making sure that kernels over it find this package."""
+    ship(frame.sparkSession)
+    return frame
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; a private one only in a local session without one.
 

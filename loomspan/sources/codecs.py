@@ -22,6 +22,7 @@ from loomspan.operators import vocab as V
 from loomspan.operators.lattice import Choice
 from loomspan.operators.quality import Analysis, Morpheme
 from loomspan.operators.units import BYTES, CODE, CODED, MORPHOLOGICAL, OPAQUE_STATUS, STRUCTURAL, TURKISH, UNKNOWN, Unit
+from loomspan.session import shipped
 
 VERSION = 1
 DOCUMENT, TOKENIZED, LATTICE, SIDECAR = b"LSPANDOC", b"LSPANTOK", b"LSPANLAT", b"LSPANSID"
@@ -389,7 +390,7 @@ def column_writer(raw: DataFrame, make: Callable[[bytes], bytes]) -> DataFrame:
             made = [make(v.as_py()) if v.is_valid else None for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "blob"])
 
-    return raw.select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, blob binary")
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, blob binary")
 
 
 def column_reader(blobs: DataFrame, read: Callable[[bytes], bytes], strict: bool = True) -> DataFrame:
@@ -410,4 +411,4 @@ def column_reader(blobs: DataFrame, read: Callable[[bytes], bytes], strict: bool
                     errors.append(str(error))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "raw", "error"])
 
-    return blobs.select("doc_id", "blob").mapInArrow(kernel, f"doc_id {kind}, raw binary, error string")
+    return shipped(blobs).select("doc_id", "blob").mapInArrow(kernel, f"doc_id {kind}, raw binary, error string")

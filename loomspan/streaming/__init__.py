@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import scan
+from loomspan.session import shipped
 
 
 def token_stream(docs: DataFrame, column: str = "text", *keep: str) -> DataFrame:
@@ -39,4 +40,4 @@ def running_weights(pieces: DataFrame) -> DataFrame:
         state.update((weight,))
         yield pd.DataFrame({"piece": [key[0]], "weight": [weight]})
 
-    return pieces.select("piece", F.col("weight").cast("long").alias("weight")).groupBy("piece").applyInPandasWithState(observe, "piece string, weight long", "weight long", "update", "NoTimeout")
+    return shipped(pieces).select("piece", F.col("weight").cast("long").alias("weight")).groupBy("piece").applyInPandasWithState(observe, "piece string, weight long", "weight long", "update", "NoTimeout")
