@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import vocabularies
 from loomspan.llm.common import list_of, slices
+from loomspan.session import shipped
 
 VOCABULARY = "byte_bpe_50k"
 LEAF = 512
@@ -170,7 +171,7 @@ def codec(vocabulary: str = VOCABULARY, folder: str = vocabularies.FOLDER) -> Tr
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = vocabularies.FOLDER, check: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``tokens``; with ``check`` also ``exact``: the text came back."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = shipped(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = vocabula
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, folder: str = vocabularies.FOLDER) -> DataFrame:
     """``doc_id`` and ``text`` of rows with ``doc_id`` and ``tokens``."""
-    source = encoded.select("doc_id", F.col("tokens").cast("array<int>").alias("tokens"))
+    source = shipped(encoded).select("doc_id", F.col("tokens").cast("array<int>").alias("tokens"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import slices, text_bytes
+from loomspan.session import shipped
 
 CHUNK = 256
 STEP = 192
@@ -188,7 +189,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_b
 
 def score(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """``doc_id``, ``probability``, ``keep`` of every row."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = shipped(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     if network is None:
         return source.select("doc_id", F.lit(None).cast("double").alias("probability"), F.lit(True).alias("keep"))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType
 
+from loomspan.session import shipped
+
 #: 64-bit arithmetic wraps on purpose throughout.
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -160,7 +162,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """All columns as ``c0``, ``c1`` ..., then ``_id`` and ``_key``; the names of id and text."""
     names = docs.columns
     ident, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    inner = shipped(docs).toDF(*[f"c{i}" for i in range(len(names))])
     inner = inner.withColumn(text, F.col(text).cast("string"))
     return inner.withColumns(identity(F.col(ident), docs.schema["doc_id"].dataType, F.col(text))), ident, text
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import vocabularies
 from loomspan.llm.common import batch_of, slices
-from loomspan.session import cut
+from loomspan.session import cut, shipped
 
 BYTE_VOCABULARY = "byte_bpe_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
@@ -215,7 +215,7 @@ def measure_texts(texts: list[str | None], folder: str = vocabularies.FOLDER) ->
 
 def measure(docs: DataFrame, folder: str = vocabularies.FOLDER) -> DataFrame:
     """``doc_id``, ``band_key``, ``n_tokens`` and the six measures of each row."""
-    source = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang") if "lang" not in docs.columns else F.col("lang").cast("string"))
+    source = shipped(docs).select("doc_id", "text", F.lit(None).cast("string").alias("lang") if "lang" not in docs.columns else F.col("lang").cast("string"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

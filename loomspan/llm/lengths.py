@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.llm import vocabularies
+from loomspan.session import shipped
 
 VOCABULARY = "byte_bpe_50k"
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = vocabularies.FOLDER, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``n_tokens``, exact; null for a null text."""
-    source = docs.select(F.col(column).cast("string").alias("_text"), *keep)
+    source = shipped(docs).select(F.col(column).cast("string").alias("_text"), *keep)
     fields = [f for f in source.schema.fields if f.name != "_text"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

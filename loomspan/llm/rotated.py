@@ -13,7 +13,8 @@ that many signs; pairs that this bound leaves are estimated without bias from th
 packed bits, ``<q, code> / correction``, with an error that stays within ``BOUND``
 * sqrt((1 - a^2) / a^2 / (bits - 1)) of the lengths but for few cases. Pairs whose
 upper bound reaches the query's floor survive and are reranked exactly. The floor
-is the exact inner product of the k-th best by estimate, from a first pass.
+is the k-th best exact inner product among the ``FIRST`` * k best by estimate, from
+a first pass.
 
 Probes. A query visits the cells of the ``probes`` centres it has the greatest
 inner products with. ``probes`` is measured, not set: ``CALIBRATE`` queries are
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.llm.common import binary_rows, text_bytes
-from loomspan.session import cut
+from loomspan.session import cut, shipped
 
 NEIGHBOURS = 10
 CODE_BITS = 256
@@ -63,6 +64,7 @@ SAMPLE_PER_CELL = 48
 SAMPLE_BYTES = 64 << 20
 BLOCK_ROWS = 131_072
 TASK_QUERIES = 20_000
+FIRST = 4
 CALIBRATE = 200
 TARGET = 0.99
 GREATEST = 1e17
@@ -148,7 +150,7 @@ class _Block:
         grouped = len(self.first_of) < len(self.own)
         if grouped:
             upper = np.maximum.reduceat(upper, self.first_of, axis=1)
-        take = min(4 * k, upper.shape[1])
+        take = min(2 * k, upper.shape[1])
         chosen = np.argpartition(-upper, take - 1, axis=1)[:, :take]
         row = np.repeat(np.arange(len(queries)), take)
         column = chosen.ravel()
@@ -284,7 +286,7 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
     ``queries`` is a condition on ``vec_id``.
     """
     spark, most = table.sparkSession, k + 1  # a query's own id is one of them
-    given = table.select("vec_id", F.col(column).cast("array<float>").alias("_given"))
+    given = shipped(table).select("vec_id", F.col(column).cast("array<float>").alias("_given"))
     kind = given.schema["vec_id"].dataType.simpleString()
     # NaN is greater than any number
     sound = ~F.exists("_given", lambda x: x.isNull() | (F.abs(x) > GREATEST))
@@ -378,16 +380,17 @@ def nearest_neighbours(table: DataFrame, k: int = NEIGHBOURS, column: str = "emb
         """The best of each query by estimate, an id once; their exact inner products."""
         each = scan.groupBy("_q", "_own").agg(F.max_by("_h", "_about").alias("_h"), F.max("_about").alias("_about"))
         by = Window.partitionBy("_q").orderBy(F.desc("_about"), "_own")
-        return exact(each.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most))
+        return exact(each.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= FIRST * most))
 
     none = F.lit(float("-inf"))
-    least = lambda found: found.groupBy("_q").agg(F.when(F.count("*") >= most, F.min("score")).alias("_floor"))
-    floors = least(cut(leading(scanned(asked.withColumn("_floor", none), probes, most))))
+    # of at most FIRST * most scores a query
+    least = lambda found: found.groupBy("_q").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(most - 1)).alias("_floor"))
+    floors = least(cut(leading(scanned(asked.withColumn("_floor", none), probes, FIRST * most))))
     known = cut(asked.join(floors, F.col("_h") == F.col("_q"), "left").select("_h", "_vector", "_floor"))
     enough, short = known.where("_floor IS NOT NULL"), known.where("_floor IS NULL")
     found = scanned(enough, probes, None)
     if cells > probes and short.head(1):  # too few ids in their cells: all cells
-        again = least(cut(leading(scanned(short.withColumn("_floor", none), cells, most))))
+        again = least(cut(leading(scanned(short.withColumn("_floor", none), cells, FIRST * most))))
         short = short.drop("_floor").join(again, F.col("_h") == F.col("_q"), "left").select("_h", "_vector", "_floor")
     if short.head(1):
         found = found.unionByName(scanned(short.withColumn("_floor", F.coalesce("_floor", none)), cells, None))

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.session import shipped
+
 CHUNK_BYTES = 1000
 SEGMENT_BYTES = 1024
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -110,7 +112,7 @@ def segment(pages: DataFrame) -> DataFrame:
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(kernel, "record binary")
+    return shipped(pages).select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(kernel, "record binary")
 
 
 def split_records(data: bytes) -> list[bytes]:
@@ -141,7 +143,7 @@ def records_of_files(files: DataFrame) -> DataFrame:
                 for at in range(0, len(found), _BATCH_ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(found[at : at + _BATCH_ROWS], pa.binary())], names=["record"])
 
-    return files.select(F.col("content").cast("binary")).mapInArrow(kernel, "record binary")
+    return shipped(files).select(F.col("content").cast("binary")).mapInArrow(kernel, "record binary")
 
 
 def parse(record: bytes) -> tuple | None:
@@ -231,7 +233,7 @@ def _assemble_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def reassemble(records: DataFrame) -> DataFrame:
     """``origin``, ``url``, ``status``, ``n_segments``, ``total_length``, ``body`` of each origin."""
-    parsed = records.select(F.col("record").cast("binary")).mapInArrow(_parse_kernel, _RECORD)
+    parsed = shipped(records).select(F.col("record").cast("binary")).mapInArrow(_parse_kernel, _RECORD)
     together = parsed.repartition("origin").sortWithinPartitions("origin", "number")
     return together.mapInArrow(_assemble_kernel, "origin string, url string, status string, n_segments int, total_length long, body string")
 
