@@ -136,5 +136,10 @@ JAVA_SYMBOL = rf"(?:{_J_SIGN}(?:{_J_SIGN}|\x{{200d}}{_J_SIGN})*+)"
 JAVA_PUNCTUATION = rf"(?:(?:(?!{OPERATORS}){_J_PLAIN})+)"
 JAVA_CONTROL = r"(?:[\p{Cc}&&[^\t\n\x{b}\f\r\x{85}]]+)"
 #: The common cases first: ASCII words and blanks that what follows can't lengthen.
-_J_QUICK = r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,.-\x7f]|\z)| ++(?=[!-~])"
+_J_QUICK_WORD = r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,.-\x7f]|\z)"
+_J_QUICK = _J_QUICK_WORD + r"| ++(?=[!-~])"
 JAVA_TOKEN = "|".join((_J_QUICK, JAVA_SPACE, JAVA_BREAK, JAVA_WORD, JAVA_NUMBER, JAVA_SYMBOL, JAVA_PUNCTUATION, JAVA_CONTROL))
+#: Words and numbers alone: what lies between begins neither.
+JAVA_WORD_OR_NUMBER = "|".join((_J_QUICK_WORD, JAVA_WORD, JAVA_NUMBER))
+#: A character that is neither part of a word or number nor white space or a control.
+JAVA_SIGN = _J_REST

@@ -8,14 +8,16 @@ a task's own memory of surfaces do so, and join back.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import pathlib
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspan.functions import turkish as T
 from loomspan.operators.quality import Analysis, Morpheme
@@ -286,7 +288,7 @@ class Bundle:
         """From a folder of JSON lines, a file for each table."""
         made = {}
         for name in TABLES:
-            lines = Path(folder, f"{name}.jsonl").read_text(encoding="utf-8").splitlines()
+            lines = pathlib.Path(folder, f"{name}.jsonl").read_text(encoding="utf-8").splitlines()
             made[name] = tuple(json.loads(line) for line in lines if line.strip())
         return Bundle(**made)
 
@@ -349,6 +351,11 @@ class Morphology:
         self.known: dict[str, list[Analysis]] = {}
         self._by_sound: dict[tuple, tuple[str, str]] | None = None
 
+    def digest(self) -> str:
+        """One number for all tables of the lexicon."""
+        tables = {name: list(getattr(self.bundle, name)) for name in TABLES}
+        return hashlib.sha256(json.dumps(tables, sort_keys=True).encode()).hexdigest()
+
     def __getstate__(self):
         return {"bundle": self.bundle, "remember": self.remember}
 
@@ -642,3 +649,31 @@ def surface_analyses(surfaces: DataFrame, morphology: Morphology) -> DataFrame:
             )
 
     return shipped(surfaces).select("surface").distinct().mapInArrow(kernel, "surface string, n int, cuts array<array<int>>, ids array<string>")
+
+
+def store_analyses(surfaces: DataFrame, morphology: Morphology, path: str) -> None:
+    """Compile the analyses of distinct surfaces to a table, with the lexicon's digest in each row."""
+    made = surface_analyses(surfaces, morphology).withColumn("lexicon", F.lit(morphology.digest()))
+    made.write.mode("errorifexists").parquet(path)
+
+
+def stored_analyses(spark: SparkSession, path: str, morphology: Morphology, recompute: bool = True) -> DataFrame:
+    """A compiled table, after making sure that it is this lexicon's.
+
+    Raises where its digest is another one, or where, with ``recompute``, analysing
+    its surfaces again gives other rows.
+    """
+    table = spark.read.parquet(path)
+    foreign = table.where(~F.col("lexicon").eqNullSafe(F.lit(morphology.digest()))).head(1)
+    if foreign:
+        raise BundleError("the table was compiled from another lexicon")
+    table = table.drop("lexicon")
+    if recompute and differences(surface_analyses(table, morphology), table).head(1):
+        raise BundleError("the table has other analyses than the lexicon gives")
+    return table
+
+
+def differences(computed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows that only one of two tables with the same columns has, as often as it has more of them; ``side`` tells which."""
+    other = expected.select(computed.columns)
+    return computed.exceptAll(other).withColumn("side", F.lit("computed")).unionByName(other.exceptAll(computed).withColumn("side", F.lit("expected")))

@@ -127,6 +127,22 @@ def tokens_native(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(lexical.JAVA_TOKEN), F.lit(0))
 
 
+def words_native(text: Column) -> Column:
+    """The words and numbers among a text's tokens; spaces and signs aren't taken out at all."""
+    return F.regexp_extract_all(text, F.lit(lexical.JAVA_WORD_OR_NUMBER), F.lit(0))
+
+
+def is_number(token: Column) -> Column:
+    """Whether one of these is a number."""
+    code = F.ascii(token)
+    return F.when(code < 128, code.between(48, 57)).otherwise(token.rlike(r"^\p{N}"))
+
+
+def signs_native(text: Column) -> Column:
+    """Characters of punctuation and symbols, one by one; those inside words and numbers are none."""
+    return F.regexp_extract_all(F.regexp_replace(text, F.lit(lexical.JAVA_WORD_OR_NUMBER), F.lit("")), F.lit(lexical.JAVA_SIGN), F.lit(0))
+
+
 def lex_native(docs: DataFrame, column: str = "text") -> DataFrame:
     """As ``lex``, for texts; with ``surface``. Offsets are running byte lengths."""
     listed = docs.select("doc_id", tokens_native(F.col(column)).alias("tokens"))

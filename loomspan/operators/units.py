@@ -308,6 +308,12 @@ def tokenize(raw: DataFrame, config: Config = Config(), provider: Provider | Non
     return made.select("doc_id", F.posexplode(F.arrays_zip(*names)).alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
 
 
+def preserved(raw: DataFrame) -> DataFrame:
+    """Documents that aren't analysed, in the form of ``unit_arrays``: no units, the bytes beside them."""
+    types = dict(f.rsplit(" ", 1) for f in SCHEMA.split(", "))
+    return raw.select("doc_id", *[F.when(F.col("raw").isNotNull(), F.array().cast(t)).alias(n) for n, t in types.items()], "raw")
+
+
 def pieces(units: DataFrame) -> DataFrame:
     """The parts between a unit's cuts: ``piece_idx``, ``start``, ``end``."""
     edges = F.concat(F.array("start"), "cuts", F.array("end"))

@@ -138,6 +138,41 @@ class GenerationVocabulary:
         return len(self.entries)
 
 
+ROOT_CONTROLS = ("<pad>", "<bos>", "<eos>", "<word_end>", "<char>", "<code>", "<text>")
+
+
+@dataclass(frozen=True)
+class RootVocabulary:
+    """The older generation vocabulary: controls, the numbers up to 999, morphemes, frequent roots."""
+
+    entries: tuple[str, ...]
+
+    def __post_init__(self):
+        fixed = (*ROOT_CONTROLS, *(f"<num:{n}>" for n in range(1000)))
+        if self.entries[: len(fixed)] != fixed:
+            raise ValueError("a root vocabulary begins with its controls and numbers")
+        if len(set(self.entries)) != len(self.entries):
+            raise ValueError("entries must be distinct")
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+
+def train_roots(units: DataFrame, most: int) -> RootVocabulary:
+    """From units with analyses: all morphemes in order of their ids, and the most frequent dictionary items.
+
+    The sizes of both are those of a lexicon, not of a corpus.
+    """
+    known = units.where("analysis IS NOT NULL").select("analysis.dictionary_id", "analysis.morphemes")
+    counts = known.groupBy("dictionary_id").agg(F.count("*").alias("n"))
+    roots = [r["dictionary_id"] for r in counts.orderBy(F.col("n").desc(), F.encode("dictionary_id", "UTF-8")).limit(most).collect()]
+    found = known.select(F.explode("morphemes.id").alias("id")).distinct().limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError("more morphemes than a vocabulary has entries")
+    morphemes = sorted((r["id"] for r in found), key=str.encode)
+    return RootVocabulary((*ROOT_CONTROLS, *(f"<num:{n}>" for n in range(1000)), *(f"<m:{m}>" for m in morphemes), *(f"<r:{r}>" for r in roots)))
+
+
 def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """``ch``, ``n``: how often each character occurs."""
     return docs.select(F.explode(F.split(F.col(column), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))

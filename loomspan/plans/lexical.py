@@ -18,6 +18,13 @@ def _tokens(spark, folder, *keep):
     return listed.withColumn("kind", scan.native_kind(F.col("token")))
 
 
+def _words(spark, folder, numbers=False):
+    """Every word, or every number, of every document."""
+    docs = spread(table(spark, folder, "documents"))
+    listed = docs.select(F.explode(scan.words_native(F.col("text"))).alias("token"))
+    return listed.where(scan.is_number(F.col("token")) if numbers else ~scan.is_number(F.col("token")))
+
+
 _TOKENS = f"SELECT doc_id, lang, unnest(regexp_extract_all(text, '{SQL_TOKEN}')) AS token FROM documents"
 
 
@@ -28,7 +35,7 @@ _TOKENS = f"SELECT doc_id, lang, unnest(regexp_extract_all(text, '{SQL_TOKEN}'))
 )
 def doc_summary(spark, folder):
     docs = spread(table(spark, folder, "documents"))
-    words = F.filter(scan.tokens_native(F.col("text")), lambda t: t.rlike(r"^[\p{IsAlphabetic}\p{M}_]"))
+    words = F.filter(scan.words_native(F.col("text")), lambda t: ~scan.is_number(t))
     return docs.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
@@ -51,12 +58,12 @@ def scan_kind_bytes(spark, folder):
 
 @register(f"SELECT token AS word, count(*) AS n FROM ({_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') GROUP BY 1")
 def scan_word_counts(spark, folder):
-    return _tokens(spark, folder).where(F.col("kind") == L.WORD).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
+    return _words(spark, folder).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
 
 
 @register(f"SELECT token AS number, count(*) AS n FROM ({_TOKENS}) WHERE regexp_matches(token, '^\\p{{N}}') GROUP BY 1")
 def scan_number_counts(spark, folder):
-    return _tokens(spark, folder).where(F.col("kind") == L.NUMBER).groupBy(F.col("token").alias("number")).agg(F.count("*").alias("n"))
+    return _words(spark, folder, True).groupBy(F.col("token").alias("number")).agg(F.count("*").alias("n"))
 
 
 @register(f"SELECT CAST(length(token) AS INTEGER) AS width, count(*) AS n FROM ({_TOKENS}) WHERE regexp_matches(token, '^[ \\t\\x0b\\f\\x{{a0}}]') GROUP BY 1")
@@ -70,8 +77,8 @@ def whitespace_runs(spark, folder):
 )
 def scalar_signs(spark, folder):
     """Punctuation and symbols as single characters, as units have them."""
-    rows = _tokens(spark, folder).where(F.col("kind").isin(L.PUNCTUATION, L.SYMBOL))
-    return rows.select(F.explode(F.split("token", "")).alias("sign")).where("sign <> ''").groupBy("sign").agg(F.count("*").alias("n"))
+    docs = spread(table(spark, folder, "documents"))
+    return docs.select(F.explode(scan.signs_native(F.col("text"))).alias("sign")).groupBy("sign").agg(F.count("*").alias("n"))
 
 
 @register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_different FROM documents")
@@ -237,7 +244,7 @@ _WORDS = f"SELECT DISTINCT token FROM ({_TOKENS}) WHERE regexp_matches(token, '^
     f"""SELECT token AS word, replace(replace(token, 'I', 'ı'), 'İ', 'i') AS folded, lower(replace(replace(token, 'I', 'ı'), 'İ', 'i')) AS lowered FROM ({_WORDS})"""
 )
 def turkish_lower(spark, folder):
-    words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select(F.col("token").alias("word")).distinct()
+    words = _words(spark, folder).select(F.col("token").alias("word")).distinct()
     return words.select("word", F.translate("word", "Iİ", "ıi").alias("folded"), T.turkish_lower_column(F.col("word")).alias("lowered"))
 
 
@@ -257,7 +264,7 @@ def circumflex_fold(spark, folder):
         CASE WHEN vowel = '' THEN '' WHEN contains('oöuüû', vowel) THEN 'rounded' ELSE 'unrounded' END AS shape, count(*) AS n FROM v GROUP BY 1, 2, 3"""
 )
 def vowel_harmony(spark, folder):
-    words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select("token").distinct()
+    words = _words(spark, folder).select("token").distinct()
     vowel = F.col("vowel")
     return (
         words.select(T.last_vowel_column(F.col("token")).alias("vowel"))
@@ -282,7 +289,7 @@ _CLASSES = T._NUMERAL
 )
 def numeral_classes(spark, folder):
     """Classes of the numbers in documents, of made-up decimals and of dates."""
-    numbers = _tokens(spark, folder).where(F.col("kind") == L.NUMBER).select(F.col("token").alias("number"))
+    numbers = _words(spark, folder, True).select(F.col("token").alias("number"))
     items = table(spark, folder, "lineitem").select(F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("number"))
     dates = table(spark, folder, "orders").select(F.date_format("o_orderdate", "dd.MM.yyyy").alias("number"))
     every = numbers.unionByName(items).unionByName(dates)
@@ -291,7 +298,7 @@ def numeral_classes(spark, folder):
 
 @register(f"SELECT token AS numeral, count(*) AS n FROM ({_TOKENS}) WHERE regexp_full_match(token, 'M{{0,3}}(?:CM|CD|D?C{{0,3}})(?:XC|XL|L?X{{0,3}})(?:IX|IV|V?I{{0,3}})') AND token <> '' GROUP BY 1")
 def roman_numerals(spark, folder):
-    rows = _tokens(spark, folder).where((F.col("kind") == L.WORD) & F.col("token").rlike("^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"))
+    rows = _words(spark, folder).where(F.col("token").rlike("^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"))
     return rows.groupBy(F.col("token").alias("numeral")).agg(F.count("*").alias("n"))
 
 
@@ -302,7 +309,7 @@ def roman_numerals(spark, folder):
 def digit_atoms(spark, folder):
     from loomspan.operators.encode import digit_atoms_column
 
-    numbers = _tokens(spark, folder).where(F.col("token").rlike("^[0-9]+$")).select(F.col("token").alias("number")).distinct()
+    numbers = _words(spark, folder, True).where(F.col("token").rlike("^[0-9]+$")).select(F.col("token").alias("number")).distinct()
     padded = F.concat(F.lpad(F.element_at("a", 1), 3, " "), F.when(F.size("a") > 1, F.concat(F.lit("|"), F.array_join(F.slice("a", 2, 1_000_000), "|"))).otherwise(F.lit("")))
     return numbers.withColumn("a", digit_atoms_column(F.col("number"))).select("number", padded.alias("atoms"))
 
@@ -310,7 +317,7 @@ def digit_atoms(spark, folder):
 @register(f"SELECT word, part, CAST(count(*) AS BIGINT) AS n FROM (SELECT token AS word, unnest(regexp_extract_all(token, '[_]|[0-9]+|[^_0-9]+')) AS part FROM ({_WORDS}) WHERE regexp_matches(token, '[_0-9]') AND regexp_full_match(token, '[a-z0-9_]+')) GROUP BY 1, 2")
 def identifier_pieces(spark, folder):
     """Parts of lower-case identifiers, where digits and underscores meet letters."""
-    words = _tokens(spark, folder).where(F.col("kind") == L.WORD).select(F.col("token").alias("word")).distinct()
+    words = _words(spark, folder).select(F.col("token").alias("word")).distinct()
     words = words.where(F.col("word").rlike("[_0-9]") & F.col("word").rlike("^[a-z0-9_]+$"))
     parts = code.identifier_parts(words.select(F.col("word").alias("doc_id"), F.encode("word", "UTF-8").alias("raw")))
     return parts.groupBy(F.col("doc_id").alias("word"), F.decode("surface", "UTF-8").alias("part")).agg(F.count("*").alias("n"))
@@ -322,13 +329,13 @@ def identifier_pieces(spark, folder):
 )
 def deasciify_variants(spark, folder):
     """How many variants with Turkish letters of a plain word are tried; more than 63 aren't."""
-    words = _tokens(spark, folder).where((F.col("kind") == L.WORD) & F.col("token").rlike("^[a-z]*[cgiosu][a-z]*$")).select(F.col("token").alias("word")).distinct()
+    words = _words(spark, folder).where(F.col("token").rlike("^[a-z]*[cgiosu][a-z]*$")).select(F.col("token").alias("word")).distinct()
     return quality.shadow_variants(words).select("word", F.size("variants").cast("long").alias("n_variants"))
 
 
 @register(f"SELECT count(*) AS n_words, count(DISTINCT token) AS n_distinct FROM ({_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]')")
 def distinct_surface_ratio(spark, folder):
-    rows = _tokens(spark, folder).where(F.col("kind") == L.WORD).groupBy("token").agg(F.count("*").alias("n"))
+    rows = _words(spark, folder).groupBy("token").agg(F.count("*").alias("n"))
     return rows.agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
 
 

@@ -10,7 +10,9 @@ columns; ``column_writer`` and ``column_reader`` run a codec over one.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from loomspan.functions.lexical import CONTROL, OPAQUE
 from loomspan.operators import vocab as V
 from loomspan.operators.lattice import Choice
+from loomspan.operators.morphology import TABLES, Bundle
 from loomspan.operators.quality import Analysis, Morpheme
 from loomspan.operators.units import BYTES, CODE, CODED, MORPHOLOGICAL, OPAQUE_STATUS, STRUCTURAL, TURKISH, UNKNOWN, Unit
 from loomspan.session import shipped
@@ -27,6 +30,7 @@ from loomspan.session import shipped
 VERSION = 1
 DOCUMENT, TOKENIZED, LATTICE, SIDECAR = b"LSPANDOC", b"LSPANTOK", b"LSPANLAT", b"LSPANSID"
 CHARS, SURFACES, GENERATION = b"LSPANCHR", b"LSPANSRF", b"LSPANGEN"
+ROOTS, BUNDLE = b"LSPANRTS", b"LSPANBDL"
 _STATUSES = {TURKISH: {STRUCTURAL, MORPHOLOGICAL, UNKNOWN}, CODE: {CODED}, BYTES: {OPAQUE_STATUS}}
 
 
@@ -368,6 +372,57 @@ def read_generation(blob: bytes) -> V.GenerationVocabulary:
     return _made(V.GenerationVocabulary, tuple(entries))
 
 
+def write_roots(vocabulary: V.RootVocabulary) -> bytes:
+    return seal(ROOTS, varint(len(vocabulary)) + b"".join(_text(e.encode()) for e in vocabulary.entries))
+
+
+def read_roots(blob: bytes) -> V.RootVocabulary:
+    reader = unseal(ROOTS, blob)
+    entries = tuple(reader.string() for _ in range(reader.count(1)))
+    reader.end()
+    return _made(V.RootVocabulary, entries)
+
+
+def write_bundle(bundle: Bundle) -> bytes:
+    """A morphology bundle as one checked, packed file."""
+    wrong = bundle.problems()
+    if wrong:
+        raise CodecError("; ".join(wrong[:5]))
+    tables = {name: list(getattr(bundle, name)) for name in TABLES}
+    return seal(BUNDLE, zlib.compress(json.dumps(tables, ensure_ascii=False, sort_keys=True).encode(), 9))
+
+
+def read_bundle(blob: bytes) -> Bundle:
+    reader = unseal(BUNDLE, blob)
+    try:
+        tables = json.loads(zlib.decompress(reader.data))
+        made = Bundle(**{name: tuple(tables.pop(name)) for name in TABLES})
+    except (zlib.error, ValueError, KeyError, AttributeError) as error:
+        raise CodecError("unreadable bundle") from error
+    wrong = made.problems() + [f"unknown table {name}" for name in tables]
+    if wrong:
+        raise CodecError("; ".join(wrong[:5]))
+    return made
+
+
+def bundle_fingerprint(bundle: Bundle) -> str:
+    return hashlib.sha256(write_bundle(bundle)).hexdigest()
+
+
+def assets(bundle: Bundle | None = None, model: bytes | None = None) -> dict:
+    """Versions of what this package reads and writes, and digests of the lexicon and the model in use."""
+    return {
+        "schema_version": VERSION,
+        "morphology_sha256": None if bundle is None else bundle_fingerprint(bundle),
+        "model_sha256": None if model is None else hashlib.sha256(model).hexdigest(),
+        "runtime": "spark",
+        "kernels": "arrow",
+        "compiled_analysis_table": True,
+        "lattices": True,
+        "sidecars": True,
+    }
+
+
 def _made(kind, values):
     try:
         return kind(values)

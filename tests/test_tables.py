@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import api, plans, sources, streaming
+from loomspan.functions import lexical as L
 from loomspan.operators import encode, lattice, scan, units
 from loomspan.operators import vocab as V
 from loomspan.sources import codecs
@@ -43,6 +44,13 @@ def test_native_scan_is_the_kernel(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in scan.lex_native(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s")).collect():
         assert [tuple(x) for x in r["s"]] == scan.scan_spans(texts[r["doc_id"]].encode()), texts[r["doc_id"]]
+    only = docs.select("doc_id", scan.words_native(F.col("text")).alias("w"), scan.signs_native(F.col("text")).alias("s"))
+    only = only.withColumn("n", F.transform("w", scan.is_number))
+    for r in only.collect():
+        raw = texts[r["doc_id"]].encode()
+        spans = [(raw[b:e].decode(), k) for b, e, k in scan.scan_spans(raw)]
+        assert list(zip(r["w"], r["n"])) == [(t, k == L.NUMBER) for t, k in spans if k in (L.WORD, L.NUMBER)]
+        assert r["s"] == [c for t, k in spans if k in (L.PUNCTUATION, L.SYMBOL) for c in t]
 
 
 def test_units_do_not_depend_on_partitions(docs):
