@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.llm.common import _powers, identified, keyed, mix, named, restored, slices, text_bytes, word_hashes
+from loomspan.llm.common import _powers, identified, keyed, mix, named, restored, slices, text_bytes, word_hashes, word_pattern
 from loomspan.llm.minmax import _apart
 
 LEAST = 50
@@ -426,5 +426,5 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     more = [(f"c{i}", f.dataType.simpleString()) for i, f in enumerate(docs.schema.fields) if f.name != "text"]
     joined = inner.join(spans, ["_id", "_key"], "left").select(F.col(text).alias("text"), "_spans", *[c for c, _ in more])
     left = joined.withColumn("_had", F.col("_spans").isNotNull()).mapInArrow(_cut_kernel, "text string" + "".join(f", {c} {k}" for c, k in more) + ", _had boolean")
-    left = left.where(~F.col("_had") | F.col("text").rlike(r"[0-9A-Za-z\u0080-\x{10FFFF}]"))
+    left = left.where(~F.col("_had") | F.col("text").rlike(word_pattern(upper=True)))
     return named(left.withColumnRenamed("text", text), docs.columns)

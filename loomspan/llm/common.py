@@ -10,6 +10,7 @@ so that none of them can clash with an inner one, and ``restored`` gives ids bac
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,40 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Scripts that put no space between words: each of their characters is a word.
+_SCRIPTS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF))
+_APART, _JOINED, _ALONE = range(3)
+
+
+def _kinds() -> np.ndarray:
+    """Of the characters below 2^16 that aren't ASCII: separators (punctuation and spaces), parts of words, words."""
+    kinds = np.full(1 << 16, _JOINED, dtype=np.uint8)
+    for low, high in _SCRIPTS:
+        kinds[low : high + 1] = _ALONE
+    for point in range(128, 1 << 16):
+        category = unicodedata.category(chr(point))
+        if category[0] in "PZ" or category == "Cc":
+            kinds[point] = _APART
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def _ranges(kind: int) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(_KINDS[128:] == kind, prepend=False, append=False)) + 128
+    return [(int(a), int(b) - 1) for a, b in zip(edge[0::2], edge[1::2])]
+
+
+def word_pattern(escape: str = r"\x{%x}", upper: bool = False) -> str:
+    """A regular expression for the words of lower-case text (or with ``upper`` of any), for other engines."""
+    inside = lambda ranges: "".join(f"{escape % a}-{escape % b}" for a, b in ranges)
+    alone = _ranges(_ALONE) + [(0x20000, 0x3FFFF)]
+    joined = _ranges(_JOINED) + [(0x10000, 0x1FFFF), (0x40000, 0x10FFFF)]
+    letters = "0-9a-z" + ("A-Z" if upper else "")
+    return f"[{inside(alone)}]|[{letters}{inside(joined)}]+"
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -52,11 +87,39 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
+def _words_of(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in some bytes."""
+    inside = _CLASS[part]
+    cut = None
+    size = len(part)
+    for lead, mask, width in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        at = np.flatnonzero((part & mask) == lead)
+        at = at[at + width <= size]
+        if not len(at):
+            continue
+        point = (part[at] & (0xFF >> (width + 1))).astype(np.int64)
+        for k in range(1, width):
+            point = (point << 6) | (part[at + k] & 63)
+        kind = _KINDS[point] if width < 4 else np.where((point >= 0x20000) & (point < 0x40000), _ALONE, _JOINED)
+        for k in range(width):
+            inside[at[kind == _APART] + k] = False
+        alone = at[kind == _ALONE]
+        if len(alone):
+            cut = np.zeros(size + 1, dtype=bool) if cut is None else cut
+            cut[alone] = cut[alone + width] = True
+    if cut is None:
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        return edge[0::2], edge[1::2]
+    before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
+    return np.flatnonzero(after & (~before | cut)), np.flatnonzero(before & (~after | cut))
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word in a buffer of UTF-8 bytes.
 
-    A word is a maximal run of ASCII letters, digits and bytes above 127; ASCII
-    letters count as lower case. Works through the buffer in segments that end
+    A word is a maximal run of ASCII letters, digits and characters beyond ASCII
+    that are neither punctuation nor spaces, ASCII letters counting as lower case;
+    in scripts without spaces between words each character is one. Works through the buffer in segments that end
     between words, so that memory follows the segment, not the buffer.
     """
     hashes, starts, ends = [], [], []
@@ -70,9 +133,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 break
             stop = min(size, stop + SEGMENT)
         part = data[at:stop]
-        inside = _CLASS[part]
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        first, last = edge[0::2], edge[1::2]
+        first, last = _words_of(part)
         if len(first):
             base, inverse = _powers(max(len(part), SEGMENT) + 1)
             total = np.empty(len(part) + 1, dtype=np.uint64)

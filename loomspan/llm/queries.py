@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, bwt, bytecnn, fertility, lengths, lines, minmax, packing, rotated, warc
+from loomspan.llm.common import word_pattern
 from loomspan.session import table
 
 
@@ -77,11 +78,11 @@ ORACLES: dict[str, str] = {
                CASE WHEN first(stays ORDER BY island) THEN '' ELSE '0,' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY island) AS keep
         FROM runs GROUP BY doc_id
     """,
-    "op9_bwt": r"""
+    "op9_bwt": rf"""
         WITH worded AS (
             SELECT doc_id,
                    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+                                      '{word_pattern()}') AS words
             FROM documents WHERE text IS NOT NULL
         ), long AS (
             SELECT doc_id, words FROM worded WHERE len(words) >= 50
