@@ -12,17 +12,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the least node that it is linked with.
 
     Each round connects every node's larger neighbours, then its smaller ones,
     to the least node it sees; distances halve, so that rounds grow with the
-    logarithm of the longest path. Raises if it hasn't ended after
-    ``most_rounds``. Every round is cut from the one before.
+    logarithm of the longest path, and ends when a round changes nothing. Every
+    round is cut from the one before.
     """
     current = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         around = _both(current)
         least = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
         large = around.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
@@ -34,7 +34,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(seen) == before:
             break
         before = tuple(seen)
-    else:
-        raise RuntimeError("components: no end after the allowed rounds")
     roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
