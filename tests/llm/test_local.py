@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -14,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.llm import bpe, bwt, bytecnn, common, fertility, lines, minmax, packing, rotated, vocabularies, warc
+from tests.llm import brute
 
 texts = st.text(alphabet="ab c'sltre  \n\té日　.1🙂", max_size=80)
 
@@ -86,21 +88,13 @@ def test_segments_put_together_are_the_text():
     assert [t for s in vocabularies.segments(text, 7) for t in encode(s)] == encode(text)
 
 
-def _measured(text):
-    encode, pieces = vocabularies.byte_bpe(fertility.BYTE_VOCABULARY), vocabularies.pieces(fertility.PIECE_VOCABULARY)
-    one, two = encode.encode_ordinary(text), pieces.encode(text)
-    entropy = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) / math.log2(len(s)) if len(s) > 1 else 1.0
-    bare = sum(not _decodes(encode.decode_single_token_bytes(t)) for t in one)
-    return len(one), (len(text) / len(one), bare / len(one), entropy(one), len(text) / len(two), sum(map(pieces.is_byte, two)) / len(two), entropy(two))
-
-
 def _check_measures(made):
     tokens, values = fertility.measure_texts(made)
     for text, n, row in zip(made, tokens, values):
         if not text:
             assert n == 0 and np.isnan(row).all()
             continue
-        wanted = _measured(text)
+        wanted = brute.measured(text)
         assert n == wanted[0] and row == pytest.approx(wanted[1])
 
 
@@ -115,14 +109,6 @@ def test_fertility_measures_of_any_text(made):
     _check_measures(made)
 
 
-def _decodes(data: bytes) -> bool:
-    try:
-        data.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 @given(st.lists(st.integers(1, 30), max_size=60), st.integers(30, 40))
 @settings(max_examples=200, deadline=None)
 def test_plan_fills_bins_as_best_fit_decreasing(lengths, capacity):
@@ -386,3 +372,17 @@ def test_a_group_of_twenty_thousand_windows_after_a_full_block():
     found = block.spans()
     wanted = [k for k in range(len(block.windows)) if k % 9000 == 5]
     assert sorted(found) == [(k, 0, k != wanted[0], 8, 68) for k in wanted]
+
+
+@given(st.lists(st.sampled_from(list("aZ9 é'’。日本กั\u3000«\u00a0ª—🙂𠀀中ー\n")), max_size=40).map("".join), st.sampled_from([1, 3, 1 << 20]))
+@settings(max_examples=300, deadline=None)
+def test_words_of_any_script(text, segment):
+    usual, common.SEGMENT = common.SEGMENT, segment
+    try:
+        _, starts, ends = common.word_hashes(np.frombuffer(text.encode(), np.uint8))
+    finally:
+        common.SEGMENT = usual
+    found = [text.encode()[b:e].decode() for b, e in zip(starts, ends)]
+    assert found == [text[b:e] for _, b, e in brute.words(text)]
+    pattern = common.word_pattern("\\U%08x", upper=True)
+    assert found == re.findall(pattern, text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomspan.llm import bpe, bwt, bytecnn, components, fertility, lengths, lines, minmax, packing, queries, rotated, vocabularies, warc
+from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, c0 int, keep boolean, _key long"
 SMALL = "/root/testdata/sf0.001"
@@ -55,7 +56,7 @@ def documents(spark):
 
 
 def words_of(text):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return [w for w, _, _ in brute.words(text)]
 
 
 def test_all_operators_take_empty_tables(spark, empty):
@@ -123,29 +124,8 @@ def test_bands_and_verdicts_are_brute_force(spark, monkeypatch):
     names = ["doc_id", "band_key", "n_tokens", *fertility.MEASURES]
     schema = "doc_id long, band_key string, n_tokens long, " + ", ".join(f"{m} double" for m in fertility.MEASURES)
     found = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(made, schema)).collect()}
-    rows = [dict(zip(names, r)) for r in made]
-    enough = [r for r in rows if r["n_tokens"] >= fertility.ENOUGH]
-
-    def at(values, share):
-        return sorted(values)[max(0, int(np.ceil(share * len(values))) - 1)]
-
-    for r in rows:
-        group = [x for x in enough if x["band_key"] == r["band_key"]]
-        group = group if len(group) >= 12 else enough
-        off = {}
-        for m in fertility.MEASURES:
-            if r[m] is not None:
-                low, mid, high = (at([x[m] for x in group], q) for q in (0.25, 0.5, 0.75))
-                off[m] = (r[m] - mid) / (max((high - low) / 1.349, fertility.LEAST[m]) * np.sqrt(1 + fertility.SHORT / r["n_tokens"]))
-        wanted = []
-        for m, x in off.items():
-            lower, upper = fertility.WIDTH[m]
-            if m == "byte_chars" and off["byte_fallback"] > fertility.FOREIGN:
-                lower = fertility.FOREIGN_CHARS
-            if x < -lower or x > upper:
-                wanted.append(m)
-        wanted = wanted if r["n_tokens"] >= fertility.ENOUGH else []
-        assert (found[r["doc_id"]]["reasons"], found[r["doc_id"]]["keep"]) == (wanted, not wanted)
+    for row, reasons in zip(made, brute.verdicts([dict(zip(names, r)) for r in made])):
+        assert (found[row[0]]["reasons"], found[row[0]]["keep"]) == (reasons, not reasons)
     assert 0 < sum(not r["keep"] for r in found.values()) < 300
 
 
@@ -470,6 +450,18 @@ def test_passage_stage_takes_out_later_occurrences(spark):
     assert {4, 5, 6} <= set(found) and found[2]["n_chars"] == len(found[2]["text"])
 
 
+def test_passages_of_scripts_without_spaces(spark):
+    rng = np.random.default_rng(14)
+    word = lambda n: "".join(rng.choice(list("日本語文字東京大学中国人民的是不了在上下"), n))
+    passage = word(60)
+    texts = [f"{word(40)}。{passage}、{word(30)}", f"{passage}「{word(50)}」", "กขค" * 40, "ab—cd… " * 30]
+    table = spark.createDataFrame(rows(*texts), SCHEMA)
+    found = collections.Counter(map(tuple, bwt.repeated_passages(table).collect()))
+    assert found == brute_passages(table) and found[2, "repeat", 0, 60] == 1 and found[1, "first", 40, 100] == 1
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.passage_dedup(spark, table, "").collect()}
+    assert left[1] == texts[0] and left[2] == texts[1][60:]
+
+
 def test_classifier_holds_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
@@ -497,12 +489,29 @@ def test_quality_stage_keeps_the_columns(spark, odd):
     assert found.dtypes == odd.dtypes and found.count() <= odd.count()
 
 
-def test_pipeline_runs(spark):
-    packed = corpus_pipeline.run(spark, SMALL).collect()
-    fill = collections.Counter()
-    for r in packed:
-        fill[r["bin_id"]] += r["n_tokens"]
-    assert packed and max(fill.values()) <= packing.CAPACITY
+def test_pipeline_is_brute_force(spark, documents, tmp_path, monkeypatch):
+    """All stages' results, and that those of ``run`` are the last one's."""
+    monkeypatch.setattr(fertility, "FEWEST", 10)
+    bad = [(5_000_000 + k, t, "en", "s", len(t)) for k, t in enumerate(("\x01\x02 §¶† " * 400, "zq" * 3000, "a " * 900))]
+    parts = documents.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(bad, "doc_id long, text string, lang string, source string, n_chars long"))
+    parts.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    expected = sorted((r["doc_id"], r["text"], r["lang"]) for r in docs.collect())
+    assert len({d for d, _, _ in expected}) == len(expected)
+    steps = (brute.quality, brute.lines, brute.near, lambda d: brute.passages(d, bwt.LEAST))
+    for (name, stage), step in zip(corpus_pipeline.STAGES, steps):
+        before, expected = len(expected), sorted(step(expected))
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted((r["doc_id"], r["text"], r["lang"]) for r in docs.collect()) == expected, name
+        assert all(r["n_chars"] == len(r["text"]) for r in docs.collect()) or name != "line dedup"
+        assert len(expected) < before or name == "suffix-array dedup"
+    wanted = brute.bins(expected, packing.CAPACITY)
+    for packed in (corpus_pipeline.best_fit(spark, docs, ""), corpus_pipeline.run(spark, str(tmp_path))):
+        fill = collections.Counter()
+        for r in packed.collect():
+            fill[r["bin_id"]] += r["n_tokens"]
+        assert sorted(fill.values()) == wanted
 
 
 def test_queries_are_registered():
