@@ -43,6 +43,10 @@ class Tokenizer:
         """``doc_id``, ``blob``: tokenised documents in binary form."""
         return codecs.column_writer(docs, lambda raw: codecs.write_tokenized(raw, self._units(raw)))
 
+    def lossless(self, docs: DataFrame) -> DataFrame:
+        """``doc_id``, ``blob``: spans and cuts alone, with the text."""
+        return codecs.column_writer(docs, lambda raw: codecs.write_document(raw, [(u.start, u.end, u.cuts) for u in self._units(raw)]))
+
     def decode(self, blobs: DataFrame, strict: bool = True) -> DataFrame:
         return codecs.column_reader(blobs, lambda blob: codecs.read_tokenized(blob)[0], strict)
 

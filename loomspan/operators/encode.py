@@ -433,6 +433,13 @@ def surface_decoding(encoded: DataFrame, vocabulary: V.SurfaceVocabulary) -> Dat
     return shipped(encoded).select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")
 
 
+def unaccounted(encoded: DataFrame, raw: DataFrame, newline: bool = False) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_accounted`` of encodings whose byte lengths don't add up to their documents."""
+    made = encoded.select("doc_id", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_accounted"))
+    sizes = raw.select("doc_id", (F.octet_length("raw") + int(newline)).cast("long").alias("n_bytes"))
+    return sizes.join(made, "doc_id", "left").where(~F.col("n_bytes").eqNullSafe(F.col("n_accounted")))
+
+
 def document_offsets(sizes: DataFrame, key: str = "doc_id", size: str = "n_ids", parts: int | None = None) -> DataFrame:
     """Where each document begins in the concatenation of all, in key order.
 

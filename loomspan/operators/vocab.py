@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -324,3 +324,15 @@ def assemble_generation(chars: list[str], morphemes: list[tuple[str, bytes]], ro
 
 def is_unknown(analysis: quality.Analysis | None) -> bool:
     return analysis is not None and analysis.unknown
+
+
+def surface_table(spark: SparkSession, vocabulary: SurfaceVocabulary) -> DataFrame:
+    """``id``, ``piece`` of the learned entries and the bytes; at most 65,536 rows."""
+    rows = [(SURFACE_BYTES + b, bytes((b,))) for b in range(256)] + [(k, p) for p, k in vocabulary.ids.items()]
+    return spark.createDataFrame(rows, "id int, piece binary")
+
+
+def with_ids(pieces: DataFrame, vocabulary: SurfaceVocabulary) -> DataFrame:
+    """The id of each row's ``piece``, null for one that is no entry; a learned entry goes before a byte."""
+    table = surface_table(pieces.sparkSession, vocabulary).groupBy("piece").agg(F.max("id").alias("id"))
+    return pieces.join(F.broadcast(table), "piece", "left")

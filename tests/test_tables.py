@@ -211,3 +211,17 @@ def test_queries(spark, oracle, name):
         assert _rows(found.columns, rows) == _rows(names, wanted)
     else:
         assert rows
+
+
+def test_lookups_and_accounts(spark, docs):
+    vocabulary = V.SurfaceVocabulary((b"x", b"yz"))
+    found = V.with_ids(spark.createDataFrame([(b"x",), (b"yz",), (b"a",), (b"zz",), (None,)], "piece binary"), vocabulary).collect()
+    assert {None if r["piece"] is None else bytes(r["piece"]): r["id"] for r in found} == {b"x": 259, b"yz": 260, b"a": 3 + 97, b"zz": None, None: None}
+    made = encode.surface_encoding(docs, vocabulary, newline=True)
+    assert encode.unaccounted(made, docs, True).count() == 0 and encode.unaccounted(made, docs).count() == docs.where("raw IS NOT NULL").count()
+
+
+def test_lossless_documents(docs):
+    found = {r["doc_id"]: r["blob"] for r in api.Tokenizer().lossless(docs).collect()}
+    for doc, raw in raws(docs).items():
+        assert codecs.read_document(bytes(found[doc])) == (raw, [(u.start, u.end, u.cuts) for u in units.units_of(raw)])
