@@ -7,9 +7,9 @@ number. A document whose measure lies outside the band of its language (of its
 script, where the language is null) is rejected.
 
 Texts are measured whole, white space included, by exactly the tokens that
-encoding them gives. As no token crosses a pre-token of the first vocabulary, and
-none of the second goes on at a space after another character or holds a line
-feed, texts are cut there and each distinct part is encoded once a task.
+encoding them gives. As no token of either vocabulary goes on at a single space
+between other characters, texts are cut there and each distinct part is encoded
+once a task.
 
 Bands. For each key and measure the band is the median over *all* documents of
 that key that have ``ENOUGH`` tokens, minus and plus the two ``WIDTH`` of the
@@ -33,6 +33,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +61,42 @@ _MOST_CHARACTERS = 8 << 20
 _SCHEMA = "band_key string, n_tokens long, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
-class _Parts:
-    """Part of a text -> its tokens under one vocabulary, as flat arrays."""
+#: Before a space between characters that aren't spaces; the mark is the piece vocabulary's own space.
+_CUT = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
+#: Goes before the first part of a text, which has no space before it; no text has it.
+_FIRST = "\ud800"
 
-    def __init__(self, encode):
-        self.encode = encode
+
+def _parts(text: str, size: int = 1 << 20) -> Iterator[list[str]]:
+    """A text's parts, without the spaces between them, some at a time."""
+    at, first = 0, _FIRST
+    while at <= len(text):
+        found = _CUT.search(text, at + size) if at + size < len(text) else None
+        stop = found.start() if found else len(text)
+        parts = _CUT.split(text[at:stop])
+        parts[0] = first + parts[0]
+        yield parts
+        at, first = stop + 1, ""
+
+
+class _Measures:
+    """Part of a text -> its tokens under both vocabularies, as flat arrays."""
+
+    def __init__(self, folder: str):
+        self.bpe = vocabularies.byte_bpe(BYTE_VOCABULARY, folder)
+        self.pieces = vocabularies.pieces(PIECE_VOCABULARY, folder)
+        bare = np.zeros(self.bpe.n_vocab, dtype=bool)
+        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                bare[rank] = True
+        self.bare = (bare, np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())]))
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.tokens, self.offsets, self.held = array("i"), array("q", [0]), 0
+        self.tokens, self.offsets, self.held = (array("i"), array("i")), (array("q", [0]), array("q", [0])), 0
 
     def look_up(self, parts: list[str]) -> np.ndarray:
         get = self.index.get
@@ -77,75 +104,35 @@ class _Parts:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [parts[i] for i in missing]
-            fresh = list(dict.fromkeys(new))
-            self._add(fresh)
+            self._add(list(dict.fromkeys(new)))
             found[missing] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
         return found
 
     def _add(self, parts: list[str]) -> None:
-        ids, sizes = self.encode(parts)
-        self.offsets.frombytes((np.cumsum(sizes, dtype=np.int64) + len(self.tokens)).tobytes())
-        self.tokens.frombytes(np.asarray(ids, dtype=np.int32).tobytes())
+        # the piece vocabulary puts a space before a text by itself
+        made = (
+            [self.bpe.encode_ordinary(p[1:] if p.startswith(_FIRST) else " " + p) for p in parts],
+            self.pieces.encode([p.removeprefix(_FIRST) for p in parts], num_threads=1),
+        )
+        for which, lists in enumerate(made):
+            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            self.offsets[which].frombytes((np.cumsum(sizes) + len(self.tokens[which])).tobytes())
+            self.tokens[which].frombytes(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum())).tobytes())
         self.held += sum(map(len, parts))
         for part in parts:
             self.index[part] = len(self.index)
 
-
-#: Cut before a space that another character precedes, and around line feeds; the mark is the vocabulary's own space.
-_UNITS = re.compile("\n|[ \u2581]*[^ \u2581\n]+|[ \u2581]+")
-
-
-class _Measures:
-    """Both vocabularies with their parts."""
-
-    def __init__(self, folder: str):
-        self.bpe = vocabularies.byte_bpe(BYTE_VOCABULARY, folder)
-        self.pieces = vocabularies.pieces(PIECE_VOCABULARY, folder)
-        self.bare = np.zeros(self.bpe.n_vocab, dtype=bool)
-        for token, rank in vocabularies.ranks(BYTE_VOCABULARY, folder).items():
-            try:
-                token.decode()
-            except UnicodeDecodeError:
-                self.bare[rank] = True
-        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.feed = self.pieces.piece_to_id("<0x0A>")
-        self.parts = (_Parts(self._pretokens), _Parts(self._units))
-
-    def _pretokens(self, parts: list[str]) -> tuple[np.ndarray, list[int]]:
-        made = list(map(self.bpe.encode_ordinary, parts))
-        return np.array([t for some in made for t in some], dtype=np.int32), list(map(len, made))
-
-    def _units(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All parts as lines of one text; a line's tokens stand between two line feeds."""
-        lines = [p for p in parts if p != "\n"]
-        ids = np.asarray(self.pieces.encode("\n" + "\n".join(lines) + "\n", num_threads=1), dtype=np.int32) if lines else np.array([0, self.feed])
-        feeds = np.flatnonzero(ids == self.feed)
-        ids = ids[feeds[0] :]  # the first line begins with a mark of its own
-        feeds -= feeds[0]
-        sizes = np.diff(feeds) - 1
-        if len(lines) < len(parts):  # a line feed is one token
-            sizes = np.insert(sizes, parts.index("\n"), 1)
-            made, at = [], 0
-            for size, part in zip(sizes, parts):
-                made.append(np.array([self.feed]) if part == "\n" else ids[at + 1 : at + 1 + size])
-                at += 0 if part == "\n" else size + 1
-            return np.concatenate(made), sizes
-        return np.delete(ids, feeds), sizes
-
-    def cut(self, which: int, text: str) -> list[str]:
-        return _UNITS.findall(text) if which else vocabularies.split(text)
-
-
-def _gather(table: _Parts, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts' tokens in order, and each part's number of them."""
-    offsets = np.frombuffer(table.offsets, dtype=np.int64)
-    flat = np.frombuffer(table.tokens, dtype=np.int32) if len(table.tokens) else np.empty(0, np.int32)
-    begin = offsets[parts]
-    count = offsets[parts + 1] - begin
-    total = int(count.sum())
-    ends = np.cumsum(count)
-    place = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
-    return flat[place], count
+    def gather(self, which: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' tokens in order, and each part's number of them."""
+        offsets, flat = self.offsets[which], self.tokens[which]
+        offsets = np.frombuffer(offsets, dtype=np.int64)
+        flat = np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32)
+        begin = offsets[parts]
+        count = offsets[parts + 1] - begin
+        total = int(count.sum())
+        ends = np.cumsum(count)
+        place = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
+        return flat[place], count
 
 
 def _entropy(documents: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,30 +165,27 @@ def measure_texts(texts: list[str | None], folder: str = vocabularies.FOLDER) ->
     if folder not in _TABLES:
         _TABLES[folder] = _Measures(folder)
     made = _TABLES[folder]
+    if len(made.index) > _MOST_PARTS or made.held > _MOST_CHARACTERS:
+        made.reset()
     out = np.full((len(texts), len(MEASURES)), np.nan)
     tokens = np.zeros(len(texts), dtype=np.int64)
     characters = np.array([len(t or "") for t in texts], dtype=float)
-    for which, bare in ((0, made.bare), (1, made.fallback)):
-        table = made.parts[which]
-        if len(table.index) > _MOST_PARTS or table.held > _MOST_CHARACTERS:
-            table.reset()
-        flat: list[str] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        found: list[np.ndarray] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            # the piece vocabulary puts a space before a text
-            for part in vocabularies.segments(" " + text if which else text):
-                cut = made.cut(which, part)
-                flat += cut
-                sizes[i] += len(cut)
-                if len(flat) > 400_000:
-                    found.append(table.look_up(flat))
-                    flat = []
-        found.append(table.look_up(flat))
-        ids, count = _gather(table, np.concatenate(found))
-        of = np.repeat(np.repeat(np.arange(len(texts)), sizes), count)
+    flat: list[str] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    found: list[np.ndarray] = []
+    for i, text in enumerate(texts):
+        for parts in _parts(text) if text else ():
+            flat += parts
+            sizes[i] += len(parts)
+            if len(flat) > 400_000:
+                found.append(made.look_up(flat))
+                flat = []
+    found.append(made.look_up(flat))
+    every = np.concatenate(found)
+    documents = np.repeat(np.arange(len(texts)), sizes)
+    for which, bare in enumerate(made.bare):
+        ids, count = made.gather(which, every)
+        of = np.repeat(documents, count)
         number = np.bincount(of, minlength=len(texts))
         some = number > 0
         divisor = np.maximum(number, 1)
