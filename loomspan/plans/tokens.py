@@ -128,10 +128,21 @@ def surface_piece_weights(spark, folder):
     return weights.orderBy(F.col("weight").desc(), "piece").limit(500).select(F.decode("piece", "UTF-8").alias("piece"), "weight")
 
 
-@register()
+_NUMERIC = r"^\p{N}(?:\p{N}|[.,:/\-٫٬]\p{N})*"
+_SORTED = f"SELECT *, regexp_matches(token, '^\\p{{N}}') AS digits, NOT breaks AND NOT spaces AND regexp_matches(token, '^[\\p{{L}}\\p{{M}}_]') AS word FROM ({_MARKED})"
+_ALL_PIECES = f"""SELECT unnest(list_transform(range(n), lambda k: substr(token, 48 * k + 1, 48))) AS piece, 5 AS w FROM ({_SORTED}) WHERE word
+    UNION ALL SELECT token, 5 FROM ({_SORTED}) WHERE NOT word AND NOT (digits AND regexp_matches(token, '[.,:/\\-]'))
+    UNION ALL SELECT token, 1 FROM ({_SORTED}) WHERE digits AND regexp_matches(token, '[.,:/\\-]')
+    UNION ALL SELECT unnest(regexp_extract_all(token, '[.,:/\\-]|[^.,:/\\-]+')), 4 FROM ({_SORTED}) WHERE digits AND regexp_matches(token, '[.,:/\\-]')"""
+
+
+@register(
+    f"""WITH top AS (SELECT encode(piece) AS piece, sum(w) AS weight FROM ({_ALL_PIECES}) WHERE octet_length(encode(piece)) <= 96 GROUP BY 1 ORDER BY weight DESC, encode(piece) LIMIT {2048 - V.SURFACE_FIRST})
+        SELECT CAST(row_number() OVER (ORDER BY weight DESC, piece) + {V.SURFACE_FIRST - 1} AS INTEGER) AS id, hex(piece) AS piece, CAST(weight AS BIGINT) AS weight FROM top"""
+)
 def surface_vocab_topk(spark, folder):
     """A surface vocabulary of 2,048 entries as a table."""
-    weights = V.observed_weights(_raw(spark, folder))
+    weights = V.observed_weights(_raw(spark, folder), _TURKISH)
     ranked = weights.orderBy(F.col("weight").desc(), "piece").limit(2048 - V.SURFACE_FIRST)
     number = F.row_number().over(Window.orderBy(F.col("weight").desc(), "piece")) + V.SURFACE_FIRST - 1
     return ranked.select(number.alias("id"), F.hex("piece").alias("piece"), "weight")
@@ -155,10 +166,17 @@ def character_tokens(spark, folder):
     return made.select("doc_id", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"), F.size("ids").cast("long").alias("n_ids"))
 
 
-@register()
+@register(
+    f"""WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), top AS (SELECT ch FROM chars WHERE ch <> '' GROUP BY ch ORDER BY count(*) DESC, encode(ch) LIMIT 100),
+        spelled AS (SELECT doc_id, sum(CASE WHEN top.ch IS NOT NULL THEN 1 ELSE octet_length(encode(chars.ch)) END) AS n FROM chars LEFT JOIN top USING (ch) WHERE chars.ch <> '' GROUP BY doc_id),
+        marks AS (SELECT doc_id, sum(CASE WHEN word OR digits THEN n ELSE 1 END) AS u, sum(CASE WHEN digits AND n = 1 THEN 2 * len(regexp_extract_all(regexp_extract(token, '{_NUMERIC}'), '[.,:/\\-]')) ELSE 0 END) AS c FROM ({_SORTED}) GROUP BY doc_id)
+        SELECT doc_id, CAST(2 + s.n + m.u + m.c AS INTEGER) AS n_ids, CAST(m.u AS INTEGER) AS n_units, CAST(m.c AS INTEGER) AS n_cuts, CAST(0 AS INTEGER) AS n_code
+        FROM documents JOIN spelled s USING (doc_id) JOIN marks m USING (doc_id)"""
+)
 def training_tokens(spark, folder):
+    """Characters with marks for units and cuts; those beyond the hundred most frequent are spelled in bytes."""
     docs = spread(table(spark, folder, "documents"))
-    made = encode.training_encoding(scan.as_raw(docs), V.train_chars(docs, 100))
+    made = encode.training_encoding(scan.as_raw(docs), V.train_chars(docs, 100), _TURKISH)
     kinds = F.transform("ids", lambda i: F.least(i, F.lit(V.CHAR_BYTES)))
     mark = lambda m: F.size(F.filter(kinds, lambda k: k == m)).alias
     return made.select("doc_id", F.size("ids").alias("n_ids"), mark(V.UNIT)("n_units"), mark(V.MORPH)("n_cuts"), mark(V.CODE_START)("n_code"))
@@ -176,3 +194,20 @@ def page_code_spans(spark, folder):
 def page_hints(spark, folder):
     pages = spread(table(spark, folder, "pages")).select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("raw"))
     return scan.hints(pages).withColumnRenamed("doc_id", "page_id")
+
+
+_GREEDY = "the ing and ent tion est con th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se de la le e a o s n".split() + [" ", ". "]
+_LONGEST_FIRST = "|".join(sorted((g.replace(".", r"\.") for g in _GREEDY), key=lambda g: (-len(g), g)))
+
+
+@register(
+    f"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all(token, '{_LONGEST_FIRST}|(?s:.)')) AS m FROM ({_ALL_PIECES.replace('SELECT unnest(list', 'SELECT doc_id, unnest(list').replace('SELECT token, 5', 'SELECT doc_id, token, 5').replace('SELECT token, 1 FROM', 'SELECT doc_id, token, 1 FROM').replace('SELECT unnest(regexp', 'SELECT doc_id, unnest(regexp').replace('AS piece, 5 AS w', 'AS token, 5 AS w')}) WHERE w >= 4),
+        counted AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(m, '{_LONGEST_FIRST}') THEN 1 ELSE octet_length(encode(m)) END) AS n, count(CASE WHEN regexp_full_match(m, '{_LONGEST_FIRST}') THEN 1 END) AS k FROM found GROUP BY doc_id)
+        SELECT doc_id, CAST(2 + n AS INTEGER) AS n_ids, CAST(k AS BIGINT) AS n_learned FROM counted"""
+)
+def surface_greedy(spark, folder):
+    """Longest matches of a small vocabulary; as an alternation tries its longest entries first, it finds the same."""
+    vocabulary = V.SurfaceVocabulary(tuple(g.encode() for g in _GREEDY))
+    made = encode.surface_encoding(_raw(spark, folder), vocabulary, _TURKISH)
+    learned = F.filter("ids", lambda i: i >= V.SURFACE_FIRST)
+    return made.select("doc_id", F.size("ids").alias("n_ids"), F.size(learned).cast("long").alias("n_learned"))
