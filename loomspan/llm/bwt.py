@@ -353,17 +353,16 @@ def _spans(out: list[tuple]) -> pa.RecordBatch:
 
 def _spans_of(docs: DataFrame) -> DataFrame:
     """``_id``, ``_key``, ``_repeat``, ``_start``, ``_end`` (words), merged."""
-    rows = identified(docs)
+    # each document once, whatever the number of equal rows; one shuffle of the texts serves all that follows
+    rows = identified(docs).groupBy("_id", "_key").agg(F.max("text").alias("text"))
     anchors = rows.mapInArrow(_minimizer_kernel, "_anchor long, _id long, _key long, _place int")
-    # counted with a part on the map side, as a third of all may be one minimizer; rows that are equal aren't several
-    where = F.struct("_id", "_key", "_place")
-    counts = anchors.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min(where).alias("_low"), F.max(where).alias("_high"))
-    counts = counts.where("_low <> _high").select("_anchor", (F.col("_n") > HOT).alias("_hot"))
+    # counted with a part on the map side, as a third of all may be one minimizer
+    counts = anchors.groupBy("_anchor").agg(F.count("*").alias("_n")).where("_n > 1")
+    counts = counts.select("_anchor", (F.col("_n") > HOT).alias("_hot"))
     listed = F.struct("_place", "_anchor")
     of = lambda hot: F.array_sort(F.collect_set(F.when(F.col("_hot") == hot, listed)))
     shared = anchors.join(counts, "_anchor").groupBy("_id", "_key").agg(of(False).alias("_cold"), of(True).alias("_warm"))
-    once = rows.groupBy("_id", "_key").agg(F.first("text").alias("text"))
-    held = once.join(shared, ["_id", "_key"])
+    held = rows.join(shared, ["_id", "_key"])
     windows = held.where(F.size("_cold") > 0).select("_id", "_key", "text", "_cold")
     windows = windows.mapInArrow(_window_kernel, "_anchor long, _id long, _key long, _start int, _whole long, _words binary")
     sorted_windows = windows.repartition("_anchor").sortWithinPartitions("_anchor", "_whole", "_id", "_key", "_start")
