@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from loomspan.functions.lexical import LINE_BREAK, NUMBER, PUNCTUATION, SYMBOL, WHITESPACE
 from loomspan.operators import programs
 from loomspan.operators import vocab as V
+from loomspan.operators.scan import point_widths
 from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, few_collections, units_of
 from loomspan.session import cut, shipped
 
@@ -61,6 +62,23 @@ def encode_characters(vocabulary: V.CharVocabulary, raw: bytes, newline: bool =
     return [V.BOS, *(i for i, _ in made), V.EOS], [0, *(n for _, n in made), 0]
 
 
+def spell_unit(vocabulary: V.CharVocabulary, data: bytes, cuts: list[int], marks: Boundaries = Boundaries()) -> Encoding:
+    """A unit's characters with the marks of itself and its cuts."""
+    ids, lengths = ([V.UNIT], [0]) if marks.units else ([], [])
+    if data.isascii() and not cuts:
+        known = list(map(vocabulary.ids.get, data.decode()))
+        if None not in known:
+            return ids + known, lengths + [1] * len(data)
+    inside = frozenset(cuts) if marks.morphemes else ()
+    for at, number, size in _characters(vocabulary, data):
+        if at in inside:
+            ids.append(V.MORPH)
+            lengths.append(0)
+        ids.append(number)
+        lengths.append(size)
+    return ids, lengths
+
+
 def encode_units(vocabulary: V.CharVocabulary, raw: bytes, units: list[Unit], newline: bool = False, marks: Boundaries = Boundaries()) -> Encoding:
     """Characters with marks where units, morphemes and code regions begin or end."""
     ids, lengths, inside = [V.BOS], [0], False
@@ -69,14 +87,9 @@ def encode_units(vocabulary: V.CharVocabulary, raw: bytes, units: list[Unit], ne
         if marks.code and (unit.mode == CODE) != inside:
             inside = not inside
             mark(V.CODE_START if inside else V.CODE_END)
-        if marks.units:
-            mark(V.UNIT)
-        cuts = {c - unit.start for c in unit.cuts} if marks.morphemes else ()
-        for at, number, size in _characters(vocabulary, raw[unit.start : unit.end]):
-            if at in cuts:
-                mark(V.MORPH)
-            ids.append(number)
-            lengths.append(size)
+        found = spell_unit(vocabulary, raw[unit.start : unit.end], [c - unit.start for c in unit.cuts], marks)
+        ids += found[0]
+        lengths += found[1]
     if inside:
         mark(V.CODE_END)
     if newline:
@@ -99,7 +112,7 @@ def encode_surface(vocabulary: V.SurfaceVocabulary, raw: bytes, units: list[Unit
             found = known.get(piece)
             if found is None:
                 found = vocabulary.greedy(piece)
-                if len(known) < 500_000:
+                if len(known) < programs.MOST_KNOWN:
                     known[piece] = found
             ids += found[0]
             lengths += found[1]
@@ -307,92 +320,133 @@ def decode_generation(vocabulary: V.GenerationVocabulary, ids) -> bytes:
     return b"".join(out)
 
 
-def _encoded(raw: DataFrame, make) -> DataFrame:
-    """``doc_id``, ``ids``, ``lengths`` by a function of a document's bytes."""
+def _encoded(raw: DataFrame, make: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]], newline: bool) -> DataFrame:
+    """``doc_id``, ``ids``, ``lengths`` by a function that gives those of several documents, one after another, and their numbers of ids."""
     kind = raw.schema["doc_id"].dataType.simpleString()
+    kernel = lambda batches: encoded_batches(batches, make(), newline)
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few_collections()
-        run = make()
-        for batch in batches:
-            made = [run(v.as_py()) if v.is_valid else (None, None) for v in batch.column(1)]
-            columns = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "ids", "lengths"])
 
-    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
+def encoded_batches(batches: Iterator[pa.RecordBatch], run: Callable, newline: bool = False) -> Iterator[pa.RecordBatch]:
+    """Encodings of bounded runs of rows, in numpy."""
+    for batch in programs.batches_by_size(batches, 1):
+        values = batch.column(1).to_pylist()
+        there = [k for k, v in enumerate(values) if v is not None]
+        parts = [([k], [pa.array([None], pa.list_(pa.int32()))] * 2) for k, v in enumerate(values) if v is None]
+        if there:
+            ids, lengths, counts = run([values[k] for k in there])
+            parts.append((there, list(_framed(ids, lengths, np.concatenate(([0], np.cumsum(counts))), V.CHAR_BYTES + 10 if newline else None))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", "ids", "lengths"])
+
+
+def many_bytes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bodies of ``encode_bytes``."""
+    data = np.frombuffer(b"".join(values), np.uint8)
+    return data.astype(np.int32) + V.CHAR_BYTES, np.ones(len(data), np.int32), np.array([len(v) for v in values])
+
+
+def many_characters(vocabulary: V.CharVocabulary) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The bodies of ``encode_characters``."""
+    table = np.full(0x110000, -1, np.int32)
+    for char, number in vocabulary.ids.items():
+        table[ord(char)] = number
+    table[0xD800:0xE000] = -1
+
+    def run(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [v.decode("utf-8", "surrogateescape") for v in values]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = point_widths(points)
+        found = table[points]
+        spelled = found < 0  # in bytes
+        many = np.where(spelled, width, 1)
+        ids, lengths = np.repeat(found, many), np.repeat(np.where(spelled, 1, width), many).astype(np.int32)
+        data = np.frombuffer(b"".join(values), np.uint8)
+        ids[np.repeat(spelled, many)] = data[np.repeat(spelled, width)].astype(np.int32) + V.CHAR_BYTES
+        total = np.concatenate(([0], np.cumsum(many)))
+        return ids, lengths, np.diff(total[np.concatenate(([0], np.cumsum([len(t) for t in texts])))])
+
+    return run
 
 
 def byte_encoding(raw: DataFrame, newline: bool = False) -> DataFrame:
-    return _encoded(raw, lambda: lambda data: encode_bytes(data, newline))
+    return _encoded(raw, lambda: many_bytes, newline)
 
 
 def character_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bool = False) -> DataFrame:
-    return _encoded(raw, lambda: lambda data: encode_characters(vocabulary, data, newline))
+    return _encoded(raw, lambda: many_characters(vocabulary), newline)
 
 
 def training_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, config: Config = Config(), newline: bool = False, marks: Boundaries = Boundaries(), provider: Provider | None = None, choose=None) -> DataFrame:
-    return _encoded(raw, lambda: lambda data: encode_units(vocabulary, data, units_of(data, config, provider, choose), newline, marks))
+    """``doc_id``, ``ids``, ``lengths``: characters with marks; distinct surfaces are spelled once, as in ``surface_encoding``."""
+    spell = lambda data, cuts: spell_unit(vocabulary, data, cuts, marks)
+    by_one = lambda: lambda data, units: encode_units(vocabulary, data, units, newline, marks)
+    return _by_surfaces(raw, config, provider, choose, spell, by_one, V.CHAR_BYTES + 10 if newline else None)
+
+
+def _framed(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray, newline: int | None) -> tuple[pa.Array, pa.Array]:
+    """Both lists of documents that lie between ``ends``, with what stands for their begin and their end."""
+    last = ([] if newline is None else [(newline, 1)]) + [(V.EOS, 0)]
+    tail = len(last)
+    offsets = ends + np.arange(len(ends)) * (1 + tail)
+    inside = np.ones(int(offsets[-1]), bool)
+    inside[offsets[:-1]] = False
+    for k in range(tail):
+        inside[offsets[1:] - tail + k] = False
+    out = []
+    for flat, which in ((ids, 0), (lengths, 1)):
+        values = np.empty(len(inside), np.int32)
+        values[offsets[:-1]] = (V.BOS, 0)[which]
+        for k, pair in enumerate(last):
+            values[offsets[1:] - tail + k] = pair[which]
+        values[inside] = flat
+        out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
+    return out[0], out[1]
 
 
 class _Surfaces:
-    """Ids and byte lengths of each distinct surface, as flat arrays."""
+    """Ids and byte lengths of each distinct surface, as flat arrays; ``spell`` gives those of a unit with its cuts."""
 
-    def __init__(self, table: programs.Programs, vocabulary: V.SurfaceVocabulary, morphology: bool):
-        self.table, self.vocabulary, self.morphology = table, vocabulary, morphology
+    def __init__(self, table: programs.Programs, spell: Callable[[bytes, list[int]], Encoding]):
+        self.table, self.spell = table, spell
         self._reset()
 
     def _reset(self) -> None:
         self.held, self.first, self.ids, self.lengths = self.table.surfaces, array("q", [0]), array("i"), array("i")
 
-    def encoded(self, numbers: np.ndarray, counts: np.ndarray, newline: bool) -> tuple[pa.Array, pa.Array]:
+    def encoded(self, numbers: np.ndarray, counts: np.ndarray, newline: int | None) -> tuple[pa.Array, pa.Array]:
         """Both lists of documents with so many surfaces each."""
-        table, greedy = self.table, self.vocabulary.greedy
+        table = self.table
         if self.held is not table.surfaces:  # they start again when there are too many
             self._reset()
         for number in range(len(self.first) - 1, len(table.surfaces)):
             data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
             for u in range(table.first[number], table.first[number + 1]):
-                edges = [0, *table.cuts[table.cut_first[u] : table.cut_first[u + 1]], table.size[u]] if self.morphology else [0, table.size[u]]
-                for begin, end in zip(edges, edges[1:]):
-                    ids, lengths = greedy(data[at + begin : at + end])
-                    self.ids.extend(ids)
-                    self.lengths.extend(lengths)
+                ids, lengths = self.spell(data[at : at + table.size[u]], list(table.cuts[table.cut_first[u] : table.cut_first[u + 1]]))
+                self.ids.extend(ids)
+                self.lengths.extend(lengths)
                 at += table.size[u]
             self.first.append(len(self.ids))
         first = np.frombuffer(self.first, np.int64)
         place, many = programs._ranges(first[numbers], first[numbers + 1] - first[numbers])
         ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(counts)))]
-        tail = 2 if newline else 1
-        offsets = ends + np.arange(len(ends)) * (1 + tail)
-        out = []
-        for flat, first_one, last in ((self.ids, V.BOS, [V.SURFACE_BYTES + 10] * newline + [V.EOS]), (self.lengths, 0, [1] * newline + [0])):
-            values = np.empty(int(offsets[-1]), np.int32)
-            inside = np.ones(len(values), bool)
-            values[offsets[:-1]] = first_one
-            inside[offsets[:-1]] = False
-            for k, value in enumerate(last):
-                values[offsets[1:] - tail + k] = value
-                inside[offsets[1:] - tail + k] = False
-            values[inside] = (np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))[place]
-            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
-        return out[0], out[1]
+        ids, lengths = ((np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32))[place] for flat in (self.ids, self.lengths))
+        return _framed(ids, lengths, ends, newline)
 
 
-def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Config = Config(), newline: bool = False, morphology: bool = True, provider: Provider | None = None, choose=None) -> DataFrame:
-    """``doc_id``, ``ids``, ``lengths``: longest matches inside each piece.
+def _by_surfaces(raw: DataFrame, config: Config, provider: Provider | None, choose, spell: Callable[[bytes, list[int]], Encoding], by_one: Callable, newline: int | None) -> DataFrame:
+    """Encodings put together from those of distinct surfaces.
 
-    Distinct surfaces are encoded once; documents with code regions, and all where
-    ``choose`` picks analyses by context, unit by unit.
+    Documents with code regions, and all where ``choose`` picks analyses by
+    context, go unit by unit through what ``by_one`` makes.
     """
     kind = raw.schema["doc_id"].dataType.simpleString()
     singly = choose is not None and config.contextual
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few_collections()
-        known: dict = {}
         analysed: dict = {}
         table = programs.Programs(config, provider)
-        held = _Surfaces(table, vocabulary, morphology)
+        held, single = _Surfaces(table, spell), by_one()
         for batch in programs.batches_by_size(batches, 1):
             values = batch.column(1).to_pylist()
             tokens = [None if v is None or singly else table.tokens(v) for v in values]
@@ -403,19 +457,39 @@ def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Co
                 some = [tokens[k] for k in fast]
                 made = held.encoded(table.of(some), np.array([len(t) for t in some]), newline)
                 total = pc.sum(made[1].flatten()).as_py()
-                if total != sum(len(values[k]) + newline for k in fast):
+                if total != sum(len(values[k]) + (newline is not None) for k in fast):
                     raise ValueError("an encoding's byte lengths don't add up to its documents")
                 parts.append((fast, list(made)))
             if slow:
-                if len(analysed) > 200_000:
-                    analysed.clear()
-                rows = [(None, None) if values[k] is None else encode_surface(vocabulary, values[k], units_of(values[k], config, provider, choose, analysed), newline, morphology, known) for k in slow]
+                programs.bounded(analysed)
+                rows = [(None, None) if values[k] is None else single(values[k], units_of(values[k], config, provider, choose, analysed)) for k in slow]
                 parts.append((slow, [pa.array(list(c), pa.list_(pa.int32())) for c in zip(*rows)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *programs.in_order(parts)], names=["doc_id", "ids", "lengths"])
 
     return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
 
 
+def surface_encoding(raw: DataFrame, vocabulary: V.SurfaceVocabulary, config: Config = Config(), newline: bool = False, morphology: bool = True, provider: Provider | None = None, choose=None) -> DataFrame:
+    """``doc_id``, ``ids``, ``lengths``: longest matches inside each piece.
+
+    Distinct surfaces are encoded once; documents with code regions, and all where
+    ``choose`` picks analyses by context, unit by unit.
+    """
+
+    def spell(data: bytes, cuts: list[int]) -> Encoding:
+        if not morphology or not cuts:
+            return vocabulary.greedy(data)
+        edges = [0, *cuts, len(data)]
+        made = [vocabulary.greedy(data[b:e]) for b, e in zip(edges, edges[1:])]
+        return [i for ids, _ in made for i in ids], [n for _, lengths in made for n in lengths]
+
+    def by_one():
+        known: dict = {}
+        return lambda data, units: encode_surface(vocabulary, data, units, newline, morphology, known)
+
+    return _by_surfaces(raw, config, provider, choose, spell, by_one, V.SURFACE_BYTES + 10 if newline else None)
+
+
 def content_ids(ids: Column) -> Column:
     """Ids without the first and the last, which stand for the document's ends."""
     return F.slice(ids, 2, F.greatest(F.size(ids) - 2, F.lit(0)))
@@ -426,7 +500,7 @@ def surface_decoding(encoded: DataFrame, vocabulary: V.SurfaceVocabulary) -> Dat
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in programs.batches_by_size(batches, 1):
             out = [vocabulary.decode(v.as_py()) if v.is_valid else None for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "raw"])
 

@@ -26,8 +26,17 @@ from loomspan.operators import code, quality, units
 from loomspan.operators.hints import LEADING_WORDS
 from loomspan.operators.scan import scan_with_hints
 
-MOST_SURFACES = 300_000
-BATCH_BYTES = 2 << 20
+#: What a worker holds at a time: distinct surfaces, entries of other maps, bytes of documents.
+MOST_SURFACES = 200_000
+MOST_KNOWN = 50_000
+BATCH_BYTES = 1 << 19
+
+
+def bounded(known: dict) -> dict:
+    """The map, emptied if it has grown too large."""
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    return known
 
 
 @lru_cache(maxsize=1)
@@ -43,11 +52,13 @@ def loud() -> re.Pattern:
 
 
 def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows with about ``most`` bytes in a column."""
+    """Batches cut into runs of rows with about ``most`` bytes, or elements of lists, in a column."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = np.cumsum(np.nan_to_num(length(values).to_numpy(zero_copy_only=False).astype(float)))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
@@ -101,7 +112,13 @@ class Programs:
         raw = surface.encode("utf-8", "surrogateescape")
         if self.provider is None and surface[0].isalpha() and 1 < len(surface) <= self.config.max_fallback_chars and quality._MARKED.isdisjoint(surface):
             # a word that no fallback knows
-            self._put([units.Unit(0, len(raw), WORD, units.TURKISH, units.UNKNOWN)], raw)
+            self.kind.append(WORD)
+            self.mode.append(units.TURKISH)
+            self.status.append(units.UNKNOWN)
+            self.clitic.append(len(raw) <= 4 and surface.lower() in units.CLITICS)
+            self.size.append(len(raw))
+            self.cut_first.append(len(self.cuts))
+            self.first.append(len(self.kind))
             return
         kind = GROUP_KINDS[lexical.grammar().match(surface).lastindex]
         made = units.split_units(raw, [(0, len(raw), kind)], [], self.requested)

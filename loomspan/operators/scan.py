@@ -20,11 +20,17 @@ from loomspan.operators.hints import HintTracker
 from loomspan.session import shipped
 
 
+def point_widths(points: np.ndarray) -> np.ndarray:
+    """Bytes of each code point; escaped bytes count one."""
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    return width
+
+
 def byte_offsets(text: str) -> np.ndarray:
     """Byte offset of each character and of the end; escaped bytes count one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    width = point_widths(points)
     out = np.zeros(len(points) + 1, dtype=np.int64)
     np.cumsum(width, out=out[1:])
     return out

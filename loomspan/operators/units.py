@@ -279,8 +279,7 @@ def unit_arrays(raw: DataFrame, config: Config = Config(), provider: Provider |
         table = programs.Programs(config, provider)
         for batch in programs.batches_by_size(batches, 1):
             values = batch.column(1).to_pylist()
-            if len(known) > 200_000:
-                known.clear()
+            programs.bounded(known)
             tokens = [None if v is None or singly else table.tokens(v) for v in values]
             fast = [k for k, t in enumerate(tokens) if t is not None]
             slow = [k for k, t in enumerate(tokens) if t is None]

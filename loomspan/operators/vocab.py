@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,8 +175,19 @@ def train_roots(units: DataFrame, most: int) -> RootVocabulary:
 
 
 def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``ch``, ``n``: how often each character occurs."""
-    return docs.select(F.explode(F.split(F.col(column), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    """``ch``, ``n``: how often each character occurs. Each task adds up its own first."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0x110000, np.int64)
+        for batch in programs.batches_by_size(batches, 0):
+            text = "".join(v for v in batch.column(0).to_pylist() if v)
+            seen = np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            counts[: len(seen)] += seen
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found.tolist()], pa.string()), pa.array(counts[found])], names=["ch", "n"])
+
+    made = shipped(docs).select(F.col(column).cast("string")).mapInArrow(kernel, "ch string, n long")
+    return made.groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def ranked_chars(counts: DataFrame, most: int) -> DataFrame:
@@ -251,13 +263,11 @@ def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provid
                 if tokens is not None:
                     seen.update(tokens)
                     continue
-                if len(known) > 200_000:
-                    known.clear()
-                for unit in units_of(data, config, provider, choose, known):
+                for unit in units_of(data, config, provider, choose, programs.bounded(known)):
                     add(counts, data, unit.kind, unit.start, unit.end, unit.cuts, 1)
-            if len(seen) > 200_000:
+            if len(seen) > programs.MOST_KNOWN:
                 settle()
-            if len(counts) > 300_000:
+            if len(counts) > programs.MOST_SURFACES:
                 yield _weights(counts)
                 counts.clear()
         settle()
