@@ -18,18 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from loomspan.functions import lexical
 from loomspan.functions.lexical import CONTROL, GROUP_KINDS, LINE_BREAK, OPAQUE, WHITESPACE, WORD
 from loomspan.operators import code, quality, units
 from loomspan.operators.hints import LEADING_WORDS
-from loomspan.operators.scan import scan_with_hints
+from loomspan.operators.scan import batches_by_size, scan_with_hints
 
-#: What a worker holds at a time: distinct surfaces, entries of other maps, bytes of documents.
+#: What a worker holds at a time: distinct surfaces, entries of other maps.
 MOST_SURFACES = 200_000
 MOST_KNOWN = 50_000
-BATCH_BYTES = 1 << 19
 
 
 def bounded(known: dict) -> dict:
@@ -51,22 +49,6 @@ def loud() -> re.Pattern:
     )
 
 
-def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows with about ``most`` bytes, or elements of lists, in a column."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(column)
-        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
-        sizes = np.cumsum(np.nan_to_num(length(values).to_numpy(zero_copy_only=False).astype(float)))
-        at = 0
-        while at < batch.num_rows:
-            before = sizes[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
-            yield batch.slice(at, stop - at)
-            at = stop
-
-
 @dataclass
 class Flat:
     """Units of several documents one after another."""
@@ -178,6 +160,65 @@ class Programs:
         return Flat(offsets, sizes, start, kind, mode, status, _groups(offsets, kind, mode, clitic.astype(bool)), cut_offsets, view(self.cuts, np.int64)[where] + np.repeat(start, cuts))
 
 
+def flat_of(found: list[list[units.Unit]]) -> Flat:
+    """Units of several documents, made one by one, in this form."""
+    every = [u for some in found for u in some]
+    column = lambda name, kind: np.array([getattr(u, name) for u in every], kind)
+    starts = lambda counts: np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    start = column("start", np.int64)
+    group = np.array([-1 if u.group is None else u.group for u in every], np.int64)
+    cuts = np.array([c for u in every for c in u.cuts], np.int64)
+    kinds = (column(name, np.int8) for name in ("kind", "mode", "status"))
+    return Flat(starts([len(some) for some in found]), column("end", np.int64) - start, start, *kinds, group, starts([len(u.cuts) for u in every]), cuts)
+
+
+@dataclass
+class Batch:
+    """Units of several documents, with the documents' ids and their bytes one after another."""
+
+    keys: pa.Array
+    flat: Flat
+    data: bytes
+    lengths: np.ndarray  # of documents, in bytes
+
+    @property
+    def of(self) -> np.ndarray:
+        """The document of each unit."""
+        return np.repeat(np.arange(len(self.lengths)), np.diff(self.flat.offsets))
+
+    @property
+    def place(self) -> np.ndarray:
+        """Where each unit begins in the bytes of all."""
+        return self.flat.start + np.concatenate(([0], np.cumsum(self.lengths)))[self.of]
+
+    def per_document(self, what: np.ndarray) -> np.ndarray:
+        """Sums over each document's units."""
+        return np.diff(np.concatenate(([0], np.cumsum(what)))[self.flat.offsets]).astype(np.int64)
+
+    def text(self, which: np.ndarray) -> list[bytes]:
+        """Bytes of units."""
+        place, end = self.place[which], (self.place + self.flat.sizes)[which]
+        return [self.data[b:e] for b, e in zip(place.tolist(), end.tolist())]
+
+
+def unit_batches(batches: Iterator[pa.RecordBatch], config: units.Config = units.Config(), provider: units.Provider | None = None) -> Iterator[Batch]:
+    """The units of documents that aren't null, in bounded runs of them."""
+    known: dict = {}
+    table = Programs(config, provider)
+    for batch in batches_by_size(batches, 1):
+        values = batch.column(1).to_pylist()
+        there = [k for k, v in enumerate(values) if v is not None]
+        tokens = {k: table.tokens(values[k]) for k in there}
+        for some in ([k for k in there if tokens[k] is not None], [k for k in there if tokens[k] is None]):
+            if not some:
+                continue
+            if tokens[some[0]] is not None:
+                flat = table.flat(table.of([tokens[k] for k in some]), np.array([len(tokens[k]) for k in some]))
+            else:
+                flat = flat_of([units.units_of(values[k], config, provider, None, bounded(known)) for k in some])
+            yield Batch(batch.column(0).take(pa.array(some, pa.int64())), flat, b"".join(values[k] for k in some), np.array([len(values[k]) for k in some]))
+
+
 def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of runs of ``count`` from ``begin``, and the counts."""
     ends = np.cumsum(count)

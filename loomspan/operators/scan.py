@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +62,35 @@ def scan_with_hints(raw: bytes) -> tuple[list[tuple[int, int, int]], tuple[bool,
     return spans, tracker.finish()
 
 
+def early_hints(raw: bytes) -> tuple[bool, bool, bool]:
+    """The same hints as far as ``code_spans`` tells them apart: no more is scanned once unmarked code is possible, which lets it look for artifacts too."""
+    text, tracker = raw.decode("utf-8", "surrogateescape"), HintTracker()
+    for found in lexical.grammar().finditer(text):
+        tracker.observe(lexical.GROUP_KINDS[found.lastindex], found[0].encode("utf-8", "surrogateescape"))
+        if tracker.code:
+            return True, True, b"`" in raw
+    return tracker.finish()
+
+
+BATCH_BYTES = 1 << 19
+
+
+def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about ``most`` bytes, or elements of lists, in a column."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = np.cumsum(np.nan_to_num(length(values).to_numpy(zero_copy_only=False).astype(float)))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def raw_of(docs: DataFrame, column: str = "text") -> Column:
     """The column's bytes, whether it holds text or bytes already."""
     if docs.schema[column].dataType.simpleString() == "binary":
@@ -78,16 +108,10 @@ def lex_arrays(raw: DataFrame) -> DataFrame:
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends, kinds = [], []
-            for value in batch.column(1):
-                data = value.as_py()
-                found = (None, None) if data is None else scan_bytes(data)
-                ends.append(found[0])
-                kinds.append(found[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))], names=["doc_id", "ends", "kinds"]
-            )
+        for batch in batches_by_size(batches, 1):
+            found = [(None, None) if data is None else scan_bytes(data) for data in batch.column(1).to_pylist()]
+            ends, kinds = pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ends, kinds], names=["doc_id", "ends", "kinds"])
 
     return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ends array<bigint>, kinds array<int>")
 
@@ -164,7 +188,7 @@ def hints(raw: DataFrame) -> DataFrame:
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_by_size(batches, 1):
             found = [None if not v.is_valid else scan_with_hints(v.as_py())[1] for v in batch.column(1)]
             columns = [pa.array([None if f is None else f[k] for f in found], pa.bool_()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "unmarked_code", "inline_artifact", "backtick"])
@@ -181,6 +205,41 @@ def coverage_violations(spans: DataFrame, raw: DataFrame) -> DataFrame:
     return sizes.join(summed, "doc_id", "left").where((F.coalesce("gaps", F.lit(0)) > 0) | (F.coalesce("reached", F.lit(0)) != F.col("size"))).select("doc_id")
 
 
+def document_coverage(raw: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_bytes`` in spans, ``wrong`` (null for null documents): whether spans leave something of a document out or overlap.
+
+    Each document's own list of ends is enough, as a span begins where the one before ends.
+    """
+    kind = raw.schema["doc_id"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_size(batches, 1):
+            values = batch.column(1).to_pylist()
+            ends = [None if v is None else [0, *scan_bytes(v)[0]] for v in values]
+            wrong = [None if v is None else e[-1] != len(v) or not all(a < b for a, b in zip(e, e[1:])) for v, e in zip(values, ends)]
+            sizes = pa.array([None if e is None else e[-1] for e in ends], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(wrong, pa.bool_())], names=["doc_id", "n_bytes", "wrong"])
+
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, n_bytes long, wrong boolean")
+
+
+def differing(docs: DataFrame) -> DataFrame:
+    """``n_docs``, ``n_bytes``, ``n_different`` of runs of rows with ``raw`` and ``sizes``, the bytes of another scan's spans."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_size(batches, 0):
+            counts = [batch.num_rows, 0, 0]
+            sizes = batch.column(1)
+            for k, data in enumerate(batch.column(0).to_pylist()):
+                if data is not None:
+                    ends = np.array(scan_bytes(data)[0], np.int64)
+                    counts[1] += int(ends[-1]) if len(ends) else 0
+                    counts[2] += not np.array_equal(np.diff(ends, prepend=0), sizes[k].values.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in counts], names=["n_docs", "n_bytes", "n_different"])
+
+    return shipped(docs).select("raw", "sizes").mapInArrow(kernel, "n_docs long, n_bytes long, n_different long")
+
+
 def unit_bytes(raw: Column, start: Column, end: Column) -> Column:
     """Bytes of a span."""
     return F.substring(raw, start.cast("int") + 1, (end - start).cast("int"))

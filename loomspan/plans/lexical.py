@@ -84,25 +84,17 @@ def scalar_signs(spark, folder):
 @register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_different FROM documents")
 def scan_parity(spark, folder):
     """Documents in which the kernel and the native scan disagree on any span, of so many with so many bytes in spans."""
-    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
-    native = docs.select("doc_id", scan.tokens_native(F.col("text")).alias("tokens"))
-    native = native.select("doc_id", F.transform("tokens", F.octet_length).alias("sizes"))
-    kernel = scan.lex_arrays(scan.as_raw(docs))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
-    widths = F.when(F.size("ends") == 0, F.array().cast("array<int>")).otherwise(F.zip_with("ends", before, lambda e, b: (e - b).cast("int")))
-    both = native.join(kernel.select("doc_id", widths.alias("widths")), "doc_id")
-    total = F.aggregate("widths", F.lit(0).cast("long"), lambda a, x: a + x)
-    return both.agg(F.count("*").alias("n_docs"), F.sum(total).alias("n_bytes"), F.count_if(F.col("sizes") != F.col("widths")).alias("n_different"))
+    docs = spread(table(spark, folder, "documents"))
+    native = docs.select(scan.raw_of(docs).alias("raw"), F.transform(scan.tokens_native(F.col("text")), F.octet_length).alias("sizes"))
+    made = scan.differing(native)
+    return made.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.sum("n_bytes").alias("n_bytes"), F.coalesce(F.sum("n_different"), F.lit(0)).alias("n_different"))
 
 
 @register("SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_wrong FROM documents")
 def coverage_violations(spark, folder):
     """Documents whose spans have gaps or overlaps, of so many with so many bytes in spans."""
-    raw = scan.as_raw(spread(table(spark, folder, "documents")))
-    spans = scan.lex(raw)
-    wrong = scan.coverage_violations(spans, raw).groupBy().agg(F.count("*").alias("n_wrong"))
-    seen = spans.agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
-    return seen.withColumn("_k", F.lit(1)).join(wrong.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    made = scan.document_coverage(scan.as_raw(spread(table(spark, folder, "documents"))))
+    return made.agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"), F.count_if("wrong").alias("n_wrong"))
 
 
 @register(

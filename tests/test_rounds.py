@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import duckdb
-import pyarrow as pa
 import pytest
 
 from loomspan import plans
@@ -47,3 +46,12 @@ def test_training_encoding_spells_surfaces_once(spark, monkeypatch):
     ids, lengths = held.encoded(table.of([tokens]), encode.np.array([len(tokens)]), None)
     assert len(spelled) == len(set(spelled)) == 4
     assert (ids[0].as_py(), lengths[0].as_py()) == encode.encode_units(chars, raw, units.units_of(raw, units.Config(mode="turkish")))
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coverage_of_odd_texts(spark, odd):
+    _same(spark, odd, "coverage_violations")
+    assert not any(n in _plan(plans.QUERIES["coverage_violations"](spark, odd)) for n in ("Generate", "Window", "Join"))
