@@ -9,8 +9,11 @@ morphological, everything else that can be analysed is unknown.
 from __future__ import annotations
 
 import gc
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.functions import lexical
 from loomspan.functions.lexical import CONTROL, LINE_BREAK, NUMBER, OPAQUE, PUNCTUATION, SYMBOL, WHITESPACE, WORD
 from loomspan.operators import code, quality
-from loomspan.operators.scan import scan_with_hints
+from loomspan.operators.scan import early_hints, scan_with_hints
 from loomspan.session import shipped
 
 TURKISH, CODE, BYTES = 1, 2, 3
@@ -307,6 +311,152 @@ def tokenize(raw: DataFrame, config: Config = Config(), provider: Provider | Non
     return made.select("doc_id", F.posexplode(F.arrays_zip(*names)).alias("unit_idx", "u")).select("doc_id", "unit_idx", "u.*")
 
 
+def reduced(raw: DataFrame, make: Callable, schema: str, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """What ``make`` gives of the units of bounded runs of documents, as columns of ``schema``; null documents have none.
+
+    Units are added up where they are made, instead of a row of the table for each.
+    """
+    from loomspan.operators import programs
+
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
+        for batch in programs.unit_batches(batches, config, provider):
+            yield pa.RecordBatch.from_arrays(make(batch), names=names)
+
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, schema)
+
+
+def _key(raw: DataFrame) -> str:
+    return f"doc_id {raw.schema['doc_id'].dataType.simpleString()}"
+
+
+def status_counts(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``doc_id``, ``n_unknown_words``, ``n_letters`` (words with an analysis), ``n_numbers``: units of each document."""
+
+    def make(b) -> list[pa.Array]:
+        word, status = b.flat.kind == WORD, b.flat.status
+        return [b.keys, *(pa.array(b.per_document(x)) for x in (word & (status == UNKNOWN), word & (status == MORPHOLOGICAL), b.flat.kind == NUMBER))]
+
+    return reduced(raw, make, f"{_key(raw)}, n_unknown_words long, n_letters long, n_numbers long", config, provider)
+
+
+def joined_clitics(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``clitic``, ``n``: units that joined the group of their host, in lower case."""
+
+    def make(b) -> list[pa.Array]:
+        flat, of = b.flat, b.of
+        member = np.flatnonzero((flat.group >= 0) & (flat.kind != WHITESPACE))
+        same = (flat.group[member][1:] == flat.group[member][:-1]) & (of[member][1:] == of[member][:-1])
+        found = Counter(s.decode("utf-8", "replace").lower() for s in b.text(member[1:][same]))
+        return [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+
+    made = reduced(raw, make, "clitic string, n long", config, provider)
+    return made.groupBy("clitic").agg(F.sum("n").alias("n"))
+
+
+def group_sizes(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``doc_id``, ``n_units``, ``n_groups``: how many groups of a document have so many units."""
+
+    def make(b) -> list[pa.Array]:
+        inside = np.flatnonzero(b.flat.group >= 0)
+        pairs, many = np.unique(np.stack((b.of[inside], b.flat.group[inside])), axis=1, return_counts=True) if len(inside) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
+        (of, size), n = np.unique(np.stack((pairs[0], many)), axis=1, return_counts=True) if len(many) else ((np.empty(0, np.int64),) * 2, np.empty(0, np.int64))
+        return [b.keys.take(pa.array(of, pa.int64())), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
+
+    return reduced(raw, make, f"{_key(raw)}, n_units long, n_groups long", config, provider)
+
+
+def segment_sizes(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``doc_id``, ``seg_id``, ``n_units``: the content units of each segment, numbered as by ``segment_ids``."""
+
+    def make(b) -> list[pa.Array]:
+        flat, of = b.flat, b.of
+        first = np.frombuffer(b.data, np.uint8)[b.place] if len(of) else np.empty(0, np.uint8)
+        closes = (flat.kind == PUNCTUATION) & (flat.sizes == 1) & np.isin(first, list(b".!?"))
+        breaks = (flat.mode != TURKISH) | np.isin(flat.kind, (LINE_BREAK, CONTROL, OPAQUE))
+        total = np.concatenate(([0], np.cumsum(breaks | closes)))
+        step = total[:-1] - total[flat.offsets[:-1]][of]
+        content = ~breaks & (flat.kind != WHITESPACE)
+        # units lie in order, so that those of a segment follow each other
+        of, step = of[content], step[content]
+        opens = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (step[1:] != step[:-1])))[: len(of)])
+        many = np.diff(np.concatenate((opens, [len(of)])))
+        return [b.keys.take(pa.array(of[opens], pa.int64())), pa.array(step[opens], pa.int64()), pa.array(many[: len(opens)], pa.int64())]
+
+    return reduced(raw, make, f"{_key(raw)}, seg_id long, n_units long", config, provider)
+
+
+def unknown_widths(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``width``, ``n``: unknown words by their number of characters."""
+
+    def make(b) -> list[pa.Array]:
+        unknown = (b.flat.kind == WORD) & (b.flat.status == UNKNOWN)
+        begins = np.concatenate(([0], np.cumsum((np.frombuffer(b.data, np.uint8) & 0xC0) != 0x80)))
+        place = b.place[unknown]
+        width, n = np.unique(begins[place + b.flat.sizes[unknown]] - begins[place], return_counts=True)
+        return [pa.array(width, pa.int32()), pa.array(n, pa.int64())]
+
+    made = reduced(raw, make, "width int, n long", config, provider)
+    return made.groupBy("width").agg(F.sum("n").alias("n"))
+
+
+def document_violations(raw: DataFrame, config: Config = Config(), provider: Provider | None = None) -> DataFrame:
+    """``doc_id``, ``n_bytes`` in units, ``n_wrong``: what ``violations`` finds, counted in each document."""
+
+    def make(b) -> list[pa.Array]:
+        wrong = flaws(b.flat, b.lengths)
+        return [b.keys, pa.array(b.per_document(b.flat.sizes)), pa.array(wrong, pa.int64())]
+
+    return reduced(raw, make, f"{_key(raw)}, n_bytes long, n_wrong long", config, provider)
+
+
+@lru_cache(maxsize=1)
+def _bytes_mode() -> re.Pattern:
+    return re.compile(rf"[{lexical._class(CONTROL)}\ud800-\udfff]+")
+
+
+def code_units(raw: bytes) -> list[tuple[int, int]]:
+    """Spans that units in code mode cover together: code regions without controls and broken bytes."""
+    out = []
+    for begin, end in code.code_spans(raw, *early_hints(raw)):
+        text, at, last = raw[begin:end].decode("utf-8", "surrogateescape"), begin, 0
+        for found in _bytes_mode().finditer(text):
+            stop = at + len(text[last : found.start()].encode("utf-8", "surrogateescape"))
+            if stop > at:
+                out.append((at, stop))
+            at = stop + len(found[0].encode("utf-8", "surrogateescape"))
+            last = found.end()
+        if end > at:
+            out.append((at, end))
+    return out
+
+
+def code_regions(raw: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end`` of ``code_units``, without making the units."""
+    return code._rows(raw, code_units, "start long, end long", [pa.int64(), pa.int64()])
+
+
+def flaws(flat, lengths: np.ndarray) -> np.ndarray:
+    """The number of each document's units that break an invariant, and one more if they don't reach its end."""
+    of = np.repeat(np.arange(len(lengths)), np.diff(flat.offsets))
+    end, some = flat.start + flat.sizes, np.diff(flat.offsets) > 0
+    before = np.concatenate(([0], end[:-1]))[: len(end)]
+    before[flat.offsets[:-1][some]] = 0
+    opaque = np.isin(flat.kind, (CONTROL, OPAQUE))
+    bad = (before != flat.start) | (flat.sizes <= 0) | (opaque != (flat.mode == BYTES))
+    bad |= ((flat.mode == CODE) != (flat.status == CODED)) | ((flat.mode == BYTES) != (flat.status == OPAQUE_STATUS))
+    unit = np.repeat(np.arange(len(of)), np.diff(flat.cut_offsets))
+    outside = (flat.cuts <= flat.start[unit]) | (flat.cuts >= end[unit])
+    outside[1:] |= (unit[1:] == unit[:-1]) & (flat.cuts[1:] <= flat.cuts[:-1])
+    bad[unit[outside]] = True
+    # the furthest end, as in the table
+    reached = np.zeros(len(lengths), np.int64)
+    np.maximum.at(reached, of, end)
+    return np.bincount(of, weights=bad, minlength=len(lengths)).astype(np.int64) + (reached != lengths)
+
+
 def preserved(raw: DataFrame) -> DataFrame:
     """Documents that aren't analysed, in the form of ``unit_arrays``: no units, the bytes beside them."""
     types = dict(f.rsplit(" ", 1) for f in SCHEMA.split(", "))

@@ -55,3 +55,7 @@ def _plan(frame):
 def test_coverage_of_odd_texts(spark, odd):
     _same(spark, odd, "coverage_violations")
     assert not any(n in _plan(plans.QUERIES["coverage_violations"](spark, odd)) for n in ("Generate", "Window", "Join"))
+
+
+def test_unit_summary_of_odd_texts(spark, odd):
+    _same(spark, odd, "unit_summary")
