@@ -59,3 +59,7 @@ def test_coverage_of_odd_texts(spark, odd):
 
 def test_unit_summary_of_odd_texts(spark, odd):
     _same(spark, odd, "unit_summary")
+
+
+def test_surface_greedy_of_odd_texts(spark, odd):
+    _same(spark, odd, "surface_greedy")
