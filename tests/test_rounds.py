@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 from loomspan import plans
-from loomspan.operators import encode, units
+from loomspan.operators import encode, programs, units
 from loomspan.operators import vocab as V
 
 TEXTS = ["Oyun 3.14 mi? a.b\r\nx_y  de", "", None, "!!!", "\n\n", "é" * 60 + " çok\tgüzel. Ev mi, ev de!", "the 1/2-3 und . ! ?", " "]
@@ -63,3 +64,28 @@ def test_unit_summary_of_odd_texts(spark, odd):
 
 def test_surface_greedy_of_odd_texts(spark, odd):
     _same(spark, odd, "surface_greedy")
+
+
+#: With code regions, controls and broken bytes.
+MIXED = [*(None if t is None else t.encode() for t in TEXTS), b"a `code x` b\r\nfoo_bar += 42\nde da", b"Ev mi\x00 de\xff mi", b"<p>x(1);</p> ev\tde", b""]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return spark.createDataFrame([(k, None if d is None else bytearray(d)) for k, d in enumerate(MIXED)], "doc_id long, raw binary")
+
+
+def test_unit_violations_of_odd_texts(spark, odd, mixed):
+    _same(spark, odd, "unit_violations")
+    found = {r["doc_id"]: (r["n_bytes"], r["n_wrong"]) for r in units.document_violations(mixed).collect()}
+    assert found == {k: (len(d), 0) for k, d in enumerate(MIXED) if d is not None}
+
+
+def test_flaws_are_found():
+    made = [[units.Unit(0, 2, 3, 1, 3, cuts=[1]), units.Unit(2, 4, 3, 1, 3)], [], [units.Unit(0, 3, 3, 1, 3)]]
+    flat = programs.flat_of(made)
+    assert units.flaws(flat, np.array([4, 0, 3])).tolist() == [0, 0, 0]
+    assert units.flaws(flat, np.array([5, 1, 3])).tolist() == [1, 1, 0]
+    flat.start[1], flat.mode[2] = 3, units.CODE
+    flat.cuts[0] = 2
+    assert units.flaws(flat, np.array([5, 0, 3])).tolist() == [2, 0, 1]
