@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
 
 from loomspan import plans
-from loomspan.operators import encode, programs, units
+from loomspan.operators import code, encode, programs, units
 from loomspan.operators import vocab as V
 
+SMALL = "/root/testdata/sf0.001"
 TEXTS = ["Oyun 3.14 mi? a.b\r\nx_y  de", "", None, "!!!", "\n\n", "é" * 60 + " çok\tgüzel. Ev mi, ev de!", "the 1/2-3 und . ! ?", " "]
 
 
@@ -89,3 +92,18 @@ def test_flaws_are_found():
     flat.start[1], flat.mode[2] = 3, units.CODE
     flat.cuts[0] = 2
     assert units.flaws(flat, np.array([5, 0, 3])).tolist() == [2, 0, 1]
+
+
+def test_code_regions_are_the_units_in_code_mode(spark, mixed):
+    for data in MIXED:
+        if data is not None:
+            wanted = code.merged([(u.start, u.end) for u in units.units_of(data) if u.mode == units.CODE])
+            assert units.code_units(data) == wanted
+    assert "Generate" not in _plan(plans.QUERIES["page_code_spans"](spark, SMALL))
+
+
+def test_fences_without_an_end_take_linear_time():
+    many = b" ".join(b"`" * n for n in range(3000, 3, -1))  # no run has another as long after it
+    began = time.process_time()
+    code.fenced_spans(many)
+    assert time.process_time() - began < 2
