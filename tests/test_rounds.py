@@ -6,6 +6,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan import plans
@@ -107,3 +108,18 @@ def test_fences_without_an_end_take_linear_time():
     began = time.process_time()
     code.fenced_spans(many)
     assert time.process_time() - began < 2
+
+
+def _batches(texts):
+    return iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "raw"])])
+
+
+def test_character_kernel_is_bounded_and_the_same():
+    texts = [*MIXED, "é€x🙂ü".encode(), b"\xf0\x9f", b"\x98\x80a", *[b"abc def " * 20_000] * 8]
+    chars = V.CharVocabulary(tuple(sorted("abcé🙂 ")))
+    for newline in (False, True):
+        made = list(encode.encoded_batches(_batches(texts), encode.many_characters(chars), newline))
+        assert len(made) > 1  # one batch of any size before
+        table = pa.Table.from_batches(made)
+        for k, ids, lengths in zip(*(table[c].to_pylist() for c in ("doc_id", "ids", "lengths"))):
+            assert (ids, lengths) == ((None, None) if texts[k] is None else encode.encode_characters(chars, texts[k], newline))
