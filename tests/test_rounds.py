@@ -123,3 +123,13 @@ def test_character_kernel_is_bounded_and_the_same():
         table = pa.Table.from_batches(made)
         for k, ids, lengths in zip(*(table[c].to_pylist() for c in ("doc_id", "ids", "lengths"))):
             assert (ids, lengths) == ((None, None) if texts[k] is None else encode.encode_characters(chars, texts[k], newline))
+
+
+def test_byte_kernel_is_bounded_and_the_same():
+    texts = [*MIXED, *[b"abc def " * 20_000] * 8]
+    for newline in (False, True):
+        made = list(encode.encoded_batches(_batches(texts), encode.many_bytes, newline))
+        assert len(made) > 1
+        table = pa.Table.from_batches(made)
+        for k, ids, lengths in zip(*(table[c].to_pylist() for c in ("doc_id", "ids", "lengths"))):
+            assert (ids, lengths) == ((None, None) if texts[k] is None else encode.encode_bytes(texts[k], newline))
