@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan import plans
 from loomspan.operators import code, encode, programs, units
@@ -133,3 +134,13 @@ def test_byte_kernel_is_bounded_and_the_same():
         table = pa.Table.from_batches(made)
         for k, ids, lengths in zip(*(table[c].to_pylist() for c in ("doc_id", "ids", "lengths"))):
             assert (ids, lengths) == ((None, None) if texts[k] is None else encode.encode_bytes(texts[k], newline))
+
+
+def test_clitics_are_counted_where_they_are_made(spark, mixed, odd):
+    made = units.tokenize(mixed, surfaces=True).where(F.col("group_id").isNotNull() & (F.col("kind") != 1))
+    first = made.groupBy("doc_id", "group_id").agg(F.min("unit_idx").alias("h"))
+    rows = made.join(first, ["doc_id", "group_id"]).where("unit_idx > h").groupBy(F.lower(F.decode("surface", "UTF-8")).alias("clitic")).count()
+    wanted = sorted(map(tuple, rows.collect()))
+    assert wanted and sorted(map(tuple, units.joined_clitics(mixed).collect())) == wanted
+    assert not any(n in _plan(plans.QUERIES["clitic_tokens"](spark, odd)) for n in ("Generate", "Join"))
+    _same(spark, odd, "clitic_tokens")
