@@ -144,3 +144,10 @@ def test_clitics_are_counted_where_they_are_made(spark, mixed, odd):
     assert wanted and sorted(map(tuple, units.joined_clitics(mixed).collect())) == wanted
     assert not any(n in _plan(plans.QUERIES["clitic_tokens"](spark, odd)) for n in ("Generate", "Join"))
     _same(spark, odd, "clitic_tokens")
+
+
+def test_group_sizes_are_counted_where_they_are_made(spark, mixed, odd):
+    rows = units.tokenize(mixed).where("group_id IS NOT NULL").groupBy("doc_id", "group_id").agg(F.count("*").alias("n_units")).groupBy("doc_id", "n_units").count()
+    assert sorted(map(tuple, units.group_sizes(mixed).collect())) == sorted(map(tuple, rows.collect()))
+    assert not any(n in _plan(plans.QUERIES["clitic_groups"](spark, odd)) for n in ("Generate", "Aggregate"))
+    _same(spark, odd, "clitic_groups")
