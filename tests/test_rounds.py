@@ -151,3 +151,10 @@ def test_group_sizes_are_counted_where_they_are_made(spark, mixed, odd):
     assert sorted(map(tuple, units.group_sizes(mixed).collect())) == sorted(map(tuple, rows.collect()))
     assert not any(n in _plan(plans.QUERIES["clitic_groups"](spark, odd)) for n in ("Generate", "Aggregate"))
     _same(spark, odd, "clitic_groups")
+
+
+def test_segments_are_counted_where_they_are_made(spark, mixed, odd):
+    rows = units.segment_ids(units.tokenize(mixed, surfaces=True)).groupBy("doc_id", "seg_id").count()
+    assert sorted(map(tuple, units.segment_sizes(mixed).collect())) == sorted(map(tuple, rows.collect()))
+    assert not any(n in _plan(plans.QUERIES["sentence_segments"](spark, odd)) for n in ("Generate", "Window"))
+    _same(spark, odd, "sentence_segments")
