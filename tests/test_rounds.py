@@ -158,3 +158,12 @@ def test_segments_are_counted_where_they_are_made(spark, mixed, odd):
     assert sorted(map(tuple, units.segment_sizes(mixed).collect())) == sorted(map(tuple, rows.collect()))
     assert not any(n in _plan(plans.QUERIES["sentence_segments"](spark, odd)) for n in ("Generate", "Window"))
     _same(spark, odd, "sentence_segments")
+
+
+def test_widths_are_counted_where_they_are_made(spark, mixed, odd):
+    config = units.Config(max_fallback_chars=8)
+    rows = units.tokenize(mixed, config, surfaces=True).where((F.col("kind") == 3) & (F.col("status") == units.UNKNOWN))
+    rows = rows.groupBy(F.length(F.decode("surface", "UTF-8")).alias("width")).count()
+    assert sorted(map(tuple, units.unknown_widths(mixed, config).collect())) == sorted(map(tuple, rows.collect()))
+    assert "Generate" not in _plan(plans.QUERIES["fallback_chunks"](spark, odd))
+    _same(spark, odd, "fallback_chunks")
