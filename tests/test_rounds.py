@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import plans
-from loomspan.operators import code, encode, programs, units
+from loomspan.operators import code, encode, programs, scan, units
 from loomspan.operators import vocab as V
 
 SMALL = "/root/testdata/sf0.001"
@@ -167,3 +167,10 @@ def test_widths_are_counted_where_they_are_made(spark, mixed, odd):
     assert sorted(map(tuple, units.unknown_widths(mixed, config).collect())) == sorted(map(tuple, rows.collect()))
     assert "Generate" not in _plan(plans.QUERIES["fallback_chunks"](spark, odd))
     _same(spark, odd, "fallback_chunks")
+
+
+def test_scans_are_compared_without_a_join(spark, odd):
+    assert "Join" not in _plan(plans.QUERIES["scan_parity"](spark, odd))
+    _same(spark, odd, "scan_parity")
+    rows = spark.createDataFrame([(bytearray(b"ab c"), [2, 1, 1]), (bytearray(b"ab c"), [2, 2]), (bytearray(b"ab"), [1, 1]), (None, None)], "raw binary, sizes array<int>")
+    assert [sum(c) for c in zip(*scan.differing(rows).collect())] == [4, 10, 2]
