@@ -174,3 +174,10 @@ def test_scans_are_compared_without_a_join(spark, odd):
     _same(spark, odd, "scan_parity")
     rows = spark.createDataFrame([(bytearray(b"ab c"), [2, 1, 1]), (bytearray(b"ab c"), [2, 2]), (bytearray(b"ab"), [1, 1]), (None, None)], "raw binary, sizes array<int>")
     assert [sum(c) for c in zip(*scan.differing(rows).collect())] == [4, 10, 2]
+
+
+def test_pieces_without_signs_are_not_tried(monkeypatch):
+    tried = []
+    monkeypatch.setattr(code, "_ARTIFACTS", (("any", lambda piece: tried.append(piece)),))
+    code.named_artifacts(b"plain (words) wow. ww.x; a_b x=1 www.a.b c@d 7 e:f `id=5`")
+    assert tried == [b"a_b", b"x=1", b"www.a.b", b"c@d", b"7", b"e:f", b"id=5"]
