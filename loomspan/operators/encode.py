@@ -501,7 +501,7 @@ def surface_decoding(encoded: DataFrame, vocabulary: V.SurfaceVocabulary) -> Dat
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in programs.batches_by_size(batches, 1):
-            out = [vocabulary.decode(v.as_py()) if v.is_valid else None for v in batch.column(1)]
+            out = [vocabulary.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "raw"])
 
     return shipped(encoded).select("doc_id", "ids").mapInArrow(kernel, f"doc_id {kind}, raw binary")

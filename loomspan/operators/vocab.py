@@ -58,6 +58,7 @@ class SurfaceVocabulary:
             raise ValueError("too many pieces")
         object.__setattr__(self, "ids", {p: SURFACE_FIRST + k for k, p in enumerate(self.pieces)})
         object.__setattr__(self, "longest", max(map(len, self.pieces), default=0))
+        object.__setattr__(self, "table", [b""] * SURFACE_BYTES + [bytes((b,)) for b in range(256)] + list(self.pieces))
 
     def __len__(self) -> int:
         return SURFACE_FIRST + len(self.pieces)
@@ -78,15 +79,10 @@ class SurfaceVocabulary:
         return ids, lengths
 
     def decode(self, ids) -> bytes:
-        out = []
-        for number in ids:
-            if number >= len(self) or number < 0:
-                raise ValueError(f"id {number} is outside the vocabulary")
-            if number >= SURFACE_FIRST:
-                out.append(self.pieces[number - SURFACE_FIRST])
-            elif number >= SURFACE_BYTES:
-                out.append(bytes((number - SURFACE_BYTES,)))
-        return b"".join(out)
+        ids = list(ids)
+        if ids and not 0 <= min(ids) <= max(ids) < len(self):
+            raise ValueError("an id is outside the vocabulary")
+        return b"".join(map(self.table.__getitem__, ids))
 
 
 CONTROLS = tuple(
@@ -216,13 +212,8 @@ def piece_weights(units: DataFrame, morphology: bool = True) -> DataFrame:
     return wholes.where((F.octet_length("piece") >= 1) & (F.octet_length("piece") <= LONGEST_PIECE)).groupBy("piece").agg(F.sum("w").alias("weight"))
 
 
-def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None, choose=None) -> DataFrame:
-    """``piece_weights`` straight from documents: each batch adds up its own pieces first.
-
-    ``kinds`` leaves only units of those lexical kinds. Distinct surfaces are
-    counted and then cut, each once; documents with code regions, and all where
-    ``choose`` picks analyses by context, are cut unit by unit.
-    """
+def weigh(batches: Iterator[pa.RecordBatch], config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None, choose=None) -> Iterator[pa.RecordBatch]:
+    """Weights of the pieces of documents; a piece comes again after as many as a worker holds."""
     singly = choose is not None and config.contextual
 
     def add(counts: Counter, data: bytes, kind: int, start: int, end: int, cuts, times: int) -> None:
@@ -237,42 +228,50 @@ def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provid
         for b, e in zip(edges, edges[1:]):
             counts[data[b:e]] += 4 * times
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few_collections()
-        known: dict = {}
-        table = programs.Programs(config, provider)
-        counts: Counter[bytes] = Counter()
-        seen: Counter[str] = Counter()
-
-        def settle() -> None:
-            """Counts of surfaces as counts of pieces."""
-            numbers = table.of([list(seen)])
-            for number, times in zip(numbers.tolist(), seen.values()):
-                data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
-                for u in range(table.first[number], table.first[number + 1]):
-                    cuts = [at + c for c in table.cuts[table.cut_first[u] : table.cut_first[u + 1]]]
-                    add(counts, data, table.kind[u], at, at + table.size[u], cuts, times)
-                    at += table.size[u]
-            seen.clear()
+    few_collections()
+    known: dict = {}
+    table = programs.Programs(config, provider)
+    counts: Counter[bytes] = Counter()
+    seen: Counter[str] = Counter()
+
+    def settle() -> None:
+        """Counts of surfaces as counts of pieces."""
+        numbers = table.of([list(seen)])
+        for number, times in zip(numbers.tolist(), seen.values()):
+            data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
+            for u in range(table.first[number], table.first[number + 1]):
+                cuts = [at + c for c in table.cuts[table.cut_first[u] : table.cut_first[u + 1]]]
+                add(counts, data, table.kind[u], at, at + table.size[u], cuts, times)
+                at += table.size[u]
+        seen.clear()
+
+    for batch in programs.batches_by_size(batches, 0):
+        for data in batch.column(0).to_pylist():
+            if data is None:
+                continue
+            tokens = None if singly else table.tokens(data)
+            if tokens is not None:
+                seen.update(tokens)
+                continue
+            for unit in units_of(data, config, provider, choose, programs.bounded(known)):
+                add(counts, data, unit.kind, unit.start, unit.end, unit.cuts, 1)
+        if len(seen) > programs.MOST_KNOWN:
+            settle()
+        if len(counts) > programs.MOST_SURFACES:
+            yield _weights(counts)
+            counts.clear()
+    settle()
+    yield _weights(counts)
 
-        for batch in programs.batches_by_size(batches, 0):
-            for data in batch.column(0).to_pylist():
-                if data is None:
-                    continue
-                tokens = None if singly else table.tokens(data)
-                if tokens is not None:
-                    seen.update(tokens)
-                    continue
-                for unit in units_of(data, config, provider, choose, programs.bounded(known)):
-                    add(counts, data, unit.kind, unit.start, unit.end, unit.cuts, 1)
-            if len(seen) > programs.MOST_KNOWN:
-                settle()
-            if len(counts) > programs.MOST_SURFACES:
-                yield _weights(counts)
-                counts.clear()
-        settle()
-        yield _weights(counts)
 
+def observed_weights(raw: DataFrame, config: Config = Config(), provider: Provider | None = None, morphology: bool = True, kinds: frozenset[int] | None = None, choose=None) -> DataFrame:
+    """``piece_weights`` straight from documents: each batch adds up its own pieces first.
+
+    ``kinds`` leaves only units of those lexical kinds. Distinct surfaces are
+    counted and then cut, each once; documents with code regions, and all where
+    ``choose`` picks analyses by context, are cut unit by unit.
+    """
+    kernel = lambda batches: weigh(batches, config, provider, morphology, kinds, choose)
     made = shipped(raw).select("raw").mapInArrow(kernel, "piece binary, weight long")
     return made.groupBy("piece").agg(F.sum("weight").alias("weight"))
 

@@ -181,3 +181,15 @@ def test_pieces_without_signs_are_not_tried(monkeypatch):
     monkeypatch.setattr(code, "_ARTIFACTS", (("any", lambda piece: tried.append(piece)),))
     code.named_artifacts(b"plain (words) wow. ww.x; a_b x=1 www.a.b c@d 7 e:f `id=5`")
     assert tried == [b"a_b", b"x=1", b"www.a.b", b"c@d", b"7", b"e:f", b"id=5"]
+
+
+def test_runs_of_ids_are_bounded():
+    ids = pa.array([[3 + k % 256 for k in range(100_000)]] * 20 + [None, []], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22)), ids], names=["doc_id", "ids"])
+    runs = list(scan.batches_by_size(iter([batch]), 1))
+    assert len(runs) > 2 and pa.Table.from_batches(runs).equals(pa.Table.from_batches([batch]))
+    vocabulary = V.SurfaceVocabulary((b"x", b"yz"))
+    assert vocabulary.decode(encode.np.array([1, 3 + 97, 260, 2], "int32")) == b"ayz"
+    for wrong in ([-1], [261]):
+        with pytest.raises(ValueError):
+            vocabulary.decode(wrong)
