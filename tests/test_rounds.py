@@ -193,3 +193,10 @@ def test_runs_of_ids_are_bounded():
     for wrong in ([-1], [261]):
         with pytest.raises(ValueError):
             vocabulary.decode(wrong)
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(programs, "MOST_KNOWN", 10)
+    raw, known = b" ".join(b"w%dx" % k for k in range(100)), {}
+    encode.encode_surface(V.SurfaceVocabulary((b"w",)), raw, units.units_of(raw), known=known)
+    assert len(known) == 10 and programs.bounded({k: k for k in range(11)}) == {}
