@@ -200,3 +200,14 @@ def test_known_pieces_are_bounded(monkeypatch):
     raw, known = b" ".join(b"w%dx" % k for k in range(100)), {}
     encode.encode_surface(V.SurfaceVocabulary((b"w",)), raw, units.units_of(raw), known=known)
     assert len(known) == 10 and programs.bounded({k: k for k in range(11)}) == {}
+
+
+def test_pieces_are_handed_on_before_they_are_many(monkeypatch):
+    texts = [b"w%dx 1.%d y" % (k, k) for k in range(60)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([t], pa.binary())], names=["raw"]) for t in texts])
+    total = lambda made: pa.Table.from_batches(made).group_by("piece").aggregate([("weight", "sum")]).sort_by("piece").to_pylist()
+    whole = list(V.weigh(batches()))
+    monkeypatch.setattr(programs, "MOST_KNOWN", 10)
+    monkeypatch.setattr(programs, "MOST_SURFACES", 20)
+    parts = list(V.weigh(batches()))
+    assert len(whole) == 1 and len(parts) > 3 and max(b.num_rows for b in parts) < 60 and total(parts) == total(whole)
