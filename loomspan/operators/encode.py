@@ -320,7 +320,22 @@ def decode_generation(vocabulary: V.GenerationVocabulary, ids) -> bytes:
     return b"".join(out)
 
 
-def _encoded(raw: DataFrame, make: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]], newline: bool) -> DataFrame:
+def _encoded(raw: DataFrame, make) -> DataFrame:
+    """``doc_id``, ``ids``, ``lengths`` by a function of a document's bytes."""
+    kind = raw.schema["doc_id"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
+        run = make()
+        for batch in programs.batches_by_size(batches, 1):
+            made = [(None, None) if v is None else run(v) for v in batch.column(1).to_pylist()]
+            columns = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "ids", "lengths"])
+
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, ids array<int>, lengths array<int>")
+
+
+def _encoded_together(raw: DataFrame, make: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]], newline: bool) -> DataFrame:
     """``doc_id``, ``ids``, ``lengths`` by a function that gives those of several documents, one after another, and their numbers of ids."""
     kind = raw.schema["doc_id"].dataType.simpleString()
     kernel = lambda batches: encoded_batches(batches, make(), newline)
@@ -369,11 +384,11 @@ def many_characters(vocabulary: V.CharVocabulary) -> Callable[[list[bytes]], tup
 
 
 def byte_encoding(raw: DataFrame, newline: bool = False) -> DataFrame:
-    return _encoded(raw, lambda: many_bytes, newline)
+    return _encoded_together(raw, lambda: many_bytes, newline)
 
 
 def character_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bool = False) -> DataFrame:
-    return _encoded(raw, lambda: many_characters(vocabulary), newline)
+    return _encoded_together(raw, lambda: many_characters(vocabulary), newline)
 
 
 def training_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, config: Config = Config(), newline: bool = False, marks: Boundaries = Boundaries(), provider: Provider | None = None, choose=None) -> DataFrame:
