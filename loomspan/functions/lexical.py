@@ -93,13 +93,13 @@ def _alternatives() -> tuple[str, ...]:
     """One for each kind; every character matches."""
     word, number, symbol, mark = (_class(k) for k in (WORD, NUMBER, SYMBOL, PUNCTUATION))
     either = f"[{word}{number}]"
-    joined = rf"(?:{either}|['’\-‐‑](?={either}))*"
+    joined = rf"{either}*+(?:['’\-‐‑]{either}++)*+"  # runs at a time, not a choice for each character
     sign = f"(?:{OPERATORS}|[{symbol}])"
     return (
         f"[{_class(WHITESPACE)}]+",
         rf"(?:\r\n|[{_class(LINE_BREAK)}])+",
         f"[{word}]{joined}",
-        rf"[{number}](?:[{number}]|[.,:/\-٫٬](?=[{number}]))*(?:['’](?=[{word}]){joined})?",
+        rf"[{number}]++(?:[.,:/\-٫٬][{number}]++)*+(?:['’](?=[{word}]){joined})?",
         rf"{sign}(?:{sign}|‍{sign})*",
         f"(?:(?!{OPERATORS})[{mark}])+",
         f"[{_class(CONTROL)}]+",
@@ -115,8 +115,11 @@ def grammar() -> re.Pattern:
 
 @lru_cache(maxsize=1)
 def token_grammar() -> re.Pattern:
-    """The same without groups; plain words and blanks first."""
-    quick = r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,./:-@\[-^`{-\x7f]|\Z)| ++(?=[!-~])"
+    """The same without groups; plain words, blanks, single marks and line feeds first, where what follows can't lengthen them."""
+    quick = (
+        r"[A-Za-z_][A-Za-z0-9_]*+(?=[\x00-&(-,./:-@\[-^`{-\x7f]|\Z)| ++(?=[!-~\xa1-\u167f])"
+        r"|[.,;:!?'\"()\[\]{}<>\-/\\`](?=[A-Za-z0-9_ \n])|\n++(?=[ -~])"
+    )
     return re.compile("|".join((quick, *_alternatives())))
 
 
