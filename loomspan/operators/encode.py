@@ -433,14 +433,23 @@ class _Surfaces:
         table = self.table
         if self.held is not table.surfaces:  # they start again when there are too many
             self._reset()
+        begins, cut_first, ids, lengths, many = table.first, table.cut_first, [], [], len(self.ids)
         for number in range(len(self.first) - 1, len(table.surfaces)):
-            data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
-            for u in range(table.first[number], table.first[number + 1]):
-                ids, lengths = self.spell(data[at : at + table.size[u]], list(table.cuts[table.cut_first[u] : table.cut_first[u + 1]]))
-                self.ids.extend(ids)
-                self.lengths.extend(lengths)
-                at += table.size[u]
-            self.first.append(len(self.ids))
+            data, begin, end = table.surfaces[number].encode("utf-8", "surrogateescape"), begins[number], begins[number + 1]
+            if end == begin + 1 and cut_first[begin] == cut_first[end]:
+                made = self.spell(data, [])
+                ids += made[0]
+                lengths += made[1]
+            else:
+                at = 0
+                for u in range(begin, end):
+                    made = self.spell(data[at : at + table.size[u]], list(table.cuts[cut_first[u] : cut_first[u + 1]]))
+                    ids += made[0]
+                    lengths += made[1]
+                    at += table.size[u]
+            self.first.append(many + len(ids))
+        self.ids.extend(ids)
+        self.lengths.extend(lengths)
         first = np.frombuffer(self.first, np.int64)
         place, many = programs._ranges(first[numbers], first[numbers + 1] - first[numbers])
         ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(counts)))]

@@ -22,8 +22,8 @@ import pyarrow as pa
 from loomspan.functions import lexical
 from loomspan.functions.lexical import CONTROL, GROUP_KINDS, LINE_BREAK, OPAQUE, WHITESPACE, WORD
 from loomspan.operators import code, quality, units
-from loomspan.operators.hints import LEADING_WORDS
-from loomspan.operators.scan import batches_by_size, scan_with_hints
+from loomspan.operators.hints import LEADING_WORDS, HintTracker
+from loomspan.operators.scan import batches_by_size, token_kind
 
 #: What a worker holds at a time: distinct surfaces, entries of other maps.
 MOST_SURFACES = 200_000
@@ -37,16 +37,53 @@ def bounded(known: dict) -> dict:
     return known
 
 
+class _Loud:
+    """Finds every text for which a scan's hints could be anything but false, and some others.
+
+    One sign after another is looked for, which takes a tenth of the time of one pattern for all.
+    """
+
+    signs = (*"{}(@=`", "::", "??", "?.", "//", "/*", "->", "<<", ">>", "http", "www")
+
+    def __init__(self):
+        spaces, number = lexical._class(WHITESPACE), lexical._class(lexical.NUMBER)
+        opens = "|".join(["[&#\\[\"<]", *sorted(w.decode() for w in LEADING_WORDS)])
+        tail = r"(?:[eEfFiIuUtT][0-9_+\-]|[xXbBoO])"
+        self.finders = (
+            re.compile(r"&&(?!&)(?<!&&&)").search,  # longer runs are other tokens
+            re.compile(r"\|\|(?!\|)(?<!\|\|\|)").search,
+            re.compile(rf"[0-9]{tail}").search,
+            re.compile(rf"[^\x00-\x7f](?={tail})(?<=[{number}])").search,  # the class of all numbers is slow to search for
+            re.compile(rf"[{spaces}]*(?:{opens})").match,
+            re.compile(rf"[\r\n\x85\u2028\u2029][{spaces}]*(?:{opens})").search,
+        )
+
+    def search(self, text: str) -> bool:
+        return any(s in text for s in self.signs) or any(found(text) for found in self.finders)
+
+
 @lru_cache(maxsize=1)
-def loud() -> re.Pattern:
-    """Matches every text for which a scan's hints could be anything but false, and some others."""
-    spaces, number = lexical._class(WHITESPACE), lexical._class(lexical.NUMBER)
-    words = "|".join(sorted(w.decode() for w in LEADING_WORDS))
-    return re.compile(
-        r"[{}()<>&\"@=\[\]`|#]|::|\?[?.]|//|/\*|http|www"
-        rf"|[{number}](?:[eEfFiIuUtT][0-9_+\-]|[xXbBoO])"
-        rf"|(?:\A|[\r\n\x85\u2028\u2029])[{spaces}]*(?:{words})"
-    )
+def loud() -> _Loud:
+    return _Loud()
+
+
+_LINES = re.compile(r"[\r\n\x85\u2028\u2029]+")
+
+
+def hints(text: str) -> tuple[bool, bool, bool]:
+    """``scan.early_hints`` from the loud lines alone: each line begins anew."""
+    if not loud().search(text):
+        return False, False, False
+    tracker = HintTracker()
+    for line in _LINES.split(text):
+        if not loud().search(line):
+            continue
+        for token in lexical.token_grammar().findall(line):
+            tracker.observe(token_kind(token[:4]), token.encode("utf-8", "surrogateescape"))
+            if tracker.code:
+                return True, True, "`" in text
+        tracker.observe(LINE_BREAK, b"\n")
+    return tracker.finish()
 
 
 @dataclass
@@ -70,6 +107,7 @@ class Programs:
     def __init__(self, config: units.Config, provider: units.Provider | None = None):
         self.config, self.provider = config, provider
         self.requested = units.MODES[config.mode]
+        self.longest = config.max_fallback_chars if provider is None else 0  # of plain words
         self.reset()
 
     def reset(self) -> None:
@@ -90,18 +128,23 @@ class Programs:
             self.cut_first.append(len(self.cuts))
         self.first.append(len(self.kind))
 
+    def plain(self, surface: str) -> bool:
+        """Whether it is a word that no fallback knows: one unit without cuts."""
+        return surface[0].isalpha() and 1 < len(surface) <= self.longest and quality._MARKED.isdisjoint(surface)
+
+    def _add_plain(self, surfaces: list[str]) -> None:
+        many, units_before = len(surfaces), len(self.kind)
+        self.kind.frombytes(bytes([WORD]) * many)
+        self.mode.frombytes(bytes([units.TURKISH]) * many)
+        self.status.frombytes(bytes([units.UNKNOWN]) * many)
+        sizes = [len(s.encode("utf-8", "surrogateescape")) for s in surfaces]
+        self.clitic.extend([n <= 4 and s.lower() in units.CLITICS for s, n in zip(surfaces, sizes)])
+        self.size.extend(sizes)
+        self.cut_first.extend([len(self.cuts)] * many)
+        self.first.extend(range(units_before + 1, units_before + many + 1))
+
     def _add(self, surface: str) -> None:
         raw = surface.encode("utf-8", "surrogateescape")
-        if self.provider is None and surface[0].isalpha() and 1 < len(surface) <= self.config.max_fallback_chars and quality._MARKED.isdisjoint(surface):
-            # a word that no fallback knows
-            self.kind.append(WORD)
-            self.mode.append(units.TURKISH)
-            self.status.append(units.UNKNOWN)
-            self.clitic.append(len(raw) <= 4 and surface.lower() in units.CLITICS)
-            self.size.append(len(raw))
-            self.cut_first.append(len(self.cuts))
-            self.first.append(len(self.kind))
-            return
         kind = GROUP_KINDS[lexical.grammar().match(surface).lastindex]
         made = units.split_units(raw, [(0, len(raw), kind)], [], self.requested)
         for unit in made:
@@ -114,10 +157,15 @@ class Programs:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [tokens[k] for k in missing]
+            plain, others = [], []
             for surface in dict.fromkeys(new):
-                self.index[surface] = len(self.surfaces)
-                self.surfaces.append(surface)
+                (plain if self.plain(surface) else others).append(surface)
+            self._add_plain(plain)
+            for surface in others:
                 self._add(surface)
+            self.index.update(zip(plain + others, range(len(self.surfaces), len(self.surfaces) + len(plain) + len(others))))
+            self.surfaces += plain
+            self.surfaces += others
             found[missing] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
         return found
 
@@ -130,9 +178,9 @@ class Programs:
             if not self.config.detect_unmarked_code:
                 if b"`" in raw and code.fenced_spans(raw):
                     return None
-            elif loud().search(text):
-                hints = scan_with_hints(raw)[1]
-                if any(hints) and code.code_spans(raw, *hints):
+            else:
+                found = hints(text)
+                if any(found) and code.code_spans(raw, *found):
                     return None
         return lexical.token_grammar().findall(text)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.functions.lexical import LINE_BREAK, WHITESPACE
+from loomspan.functions.lexical import LINE_BREAK, WHITESPACE, WORD
 from loomspan.operators import programs, quality
 from loomspan.operators.units import CODE, Config, Provider, few_collections, units_of
 from loomspan.session import shipped
@@ -57,7 +57,11 @@ class SurfaceVocabulary:
         if SURFACE_FIRST + len(self.pieces) > MOST_ENTRIES:
             raise ValueError("too many pieces")
         object.__setattr__(self, "ids", {p: SURFACE_FIRST + k for k, p in enumerate(self.pieces)})
-        object.__setattr__(self, "longest", max(map(len, self.pieces), default=0))
+        sizes: dict[bytes, set[int]] = {}
+        for piece in self.pieces:
+            if len(piece) > 1:
+                sizes.setdefault(piece[:2], set()).add(len(piece))
+        object.__setattr__(self, "sizes", {begin: tuple(sorted(some, reverse=True)) for begin, some in sizes.items()})
         object.__setattr__(self, "table", [b""] * SURFACE_BYTES + [bytes((b,)) for b in range(256)] + list(self.pieces))
 
     def __len__(self) -> int:
@@ -65,14 +69,16 @@ class SurfaceVocabulary:
 
     def greedy(self, data: bytes) -> tuple[list[int], list[int]]:
         """Ids and byte lengths of the longest matches, bytes where none matches."""
-        ids, lengths, at, get = [], [], 0, self.ids.get
-        while at < len(data):
-            for size in range(min(self.longest, len(data) - at), 0, -1):
+        ids, lengths, at, end = [], [], 0, len(data)
+        get, sizes = self.ids.get, self.sizes.get
+        while at < end:
+            for size in sizes(data[at : at + 2], ()):  # of the pieces that begin so
                 found = get(data[at : at + size])
                 if found is not None:
+                    size = min(size, end - at)
                     break
             else:
-                found, size = SURFACE_BYTES + data[at], 1
+                found, size = get(data[at : at + 1], SURFACE_BYTES + data[at]), 1
             ids.append(found)
             lengths.append(size)
             at += size
@@ -235,13 +241,20 @@ def weigh(batches: Iterator[pa.RecordBatch], config: Config = Config(), provider
     seen: Counter[str] = Counter()
 
     def settle() -> None:
-        """Counts of surfaces as counts of pieces."""
-        numbers = table.of([list(seen)])
-        for number, times in zip(numbers.tolist(), seen.values()):
-            data, at = table.surfaces[number].encode("utf-8", "surrogateescape"), 0
+        """Counts of surfaces as counts of pieces; a word that no fallback knows is its own."""
+        weight, cut = 0 if kinds is not None and WORD not in kinds else 5 if morphology else 1, []
+        for surface, times in seen.items():
+            if not table.plain(surface):
+                cut.append(surface)
+            elif weight:
+                piece = surface.encode("utf-8", "surrogateescape")
+                counts[piece] = counts.get(piece, 0) + weight * times
+        numbers = table.of([cut])
+        for number, surface in zip(numbers.tolist(), cut):
+            data, at = surface.encode("utf-8", "surrogateescape"), 0
             for u in range(table.first[number], table.first[number + 1]):
                 cuts = [at + c for c in table.cuts[table.cut_first[u] : table.cut_first[u + 1]]]
-                add(counts, data, table.kind[u], at, at + table.size[u], cuts, times)
+                add(counts, data, table.kind[u], at, at + table.size[u], cuts, seen[surface])
                 at += table.size[u]
         seen.clear()
 
