@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from loomspan.functions.lexical import LINE_BREAK, NUMBER, PUNCTUATION, SYMBOL, WHITESPACE
 from loomspan.operators import programs
 from loomspan.operators import vocab as V
-from loomspan.operators.scan import point_widths
+from loomspan.operators.scan import BATCH_BYTES, point_widths
 from loomspan.operators.units import CODE, MORPHOLOGICAL, Config, Provider, Unit, few_collections, units_of
 from loomspan.session import cut, shipped
 
@@ -360,6 +360,29 @@ def many_bytes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return data.astype(np.int32) + V.CHAR_BYTES, np.ones(len(data), np.int32), np.array([len(v) for v in values])
 
 
+def counted_batches(batches: Iterator[pa.RecordBatch], run: Callable, newline: bool = False) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``n_ids``, ``n_bytes`` of encodings, without their lists; a long document is encoded in slices."""
+    for batch in programs.batches_by_size(batches, 1):
+        values = [v.as_buffer() for v in batch.column(1)]
+        there = [k for k, v in enumerate(values) if v is not None]
+        counts: list[tuple[int | None, int | None]] = [(None, None)] * len(values)
+        parts = [p for k in there for p in _slices(values[k], k)]
+        for some in [parts] if len(there) > 1 else [[p] for p in parts]:
+            _, lengths, made = run([p for _, p in some])
+            ends = np.concatenate(([0], np.cumsum(made)))
+            sizes = np.diff(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[ends])
+            for (k, _), n, size in zip(some, made.tolist(), sizes.tolist()):
+                before = counts[k] if counts[k][0] is not None else (2 + newline, int(newline))
+                counts[k] = before[0] + n, before[1] + size
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], names=["doc_id", "n_ids", "n_bytes"])
+
+
+def _slices(value: pa.Buffer, of: int) -> list[tuple[int, memoryview]]:
+    """Parts of at most ``BATCH_BYTES`` bytes, at least one, each with the number of its document."""
+    view = memoryview(value)
+    return [(of, view[at : at + BATCH_BYTES]) for at in range(0, max(1, len(view)), BATCH_BYTES)]
+
+
 def many_characters(vocabulary: V.CharVocabulary) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The bodies of ``encode_characters``."""
     table = np.full(0x110000, -1, np.int32)
@@ -387,6 +410,13 @@ def byte_encoding(raw: DataFrame, newline: bool = False) -> DataFrame:
     return _encoded_together(raw, lambda: many_bytes, newline)
 
 
+def byte_counts(raw: DataFrame, newline: bool = False) -> DataFrame:
+    """``doc_id``, ``n_ids``, ``n_bytes`` of byte encodings, counted where they are made: eight bytes of lists for each byte of text don't leave the kernel."""
+    kind = raw.schema["doc_id"].dataType.simpleString()
+    kernel = lambda batches: counted_batches(batches, many_bytes, newline)
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, n_ids long, n_bytes long")
+
+
 def character_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bool = False) -> DataFrame:
     return _encoded_together(raw, lambda: many_characters(vocabulary), newline)
 

@@ -110,8 +110,7 @@ def byte_histogram(spark, folder):
 def byte_token_counts(spark, folder):
     from loomspan.operators import encode
 
-    made = encode.byte_encoding(scan.as_raw(spread(table(spark, folder, "documents"))))
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_bytes"))
+    return encode.byte_counts(scan.as_raw(spread(table(spark, folder, "documents"))))
 
 
 @register(
