@@ -145,8 +145,7 @@ _TEXT_PIECES = _PIECES.replace("page_id", "doc_id").replace("html", "text").repl
 
 
 def _artifacts(raw, kind, name):
-    found = code.artifacts(raw).where(F.col("kind") == kind)
-    return found.select("doc_id", F.decode("surface", "UTF-8").alias(name))
+    return code.artifacts(raw, kind).select("doc_id", F.decode("surface", "UTF-8").alias(name))
 
 
 @register(f"SELECT piece AS url, count(*) AS n FROM ({_PIECES}) WHERE regexp_matches(piece, '^(?:https?://|ftp://|www\\.)') AND octet_length(encode(piece)) > 8 GROUP BY 1")
