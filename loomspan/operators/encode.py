@@ -360,6 +360,13 @@ def many_bytes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return data.astype(np.int32) + V.CHAR_BYTES, np.ones(len(data), np.int32), np.array([len(v) for v in values])
 
 
+def _counted_together(raw: DataFrame, make: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]], newline: bool) -> DataFrame:
+    """``doc_id``, ``n_ids``, ``n_bytes`` of the same encodings, counted where they are made: eight bytes of lists for each id don't leave the kernel."""
+    kind = raw.schema["doc_id"].dataType.simpleString()
+    kernel = lambda batches: counted_batches(batches, make(), newline)
+    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, n_ids long, n_bytes long")
+
+
 def counted_batches(batches: Iterator[pa.RecordBatch], run: Callable, newline: bool = False) -> Iterator[pa.RecordBatch]:
     """``doc_id``, ``n_ids``, ``n_bytes`` of encodings, without their lists; a long document is encoded in slices."""
     for batch in programs.batches_by_size(batches, 1):
@@ -377,10 +384,17 @@ def counted_batches(batches: Iterator[pa.RecordBatch], run: Callable, newline: b
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], names=["doc_id", "n_ids", "n_bytes"])
 
 
-def _slices(value: pa.Buffer, of: int) -> list[tuple[int, memoryview]]:
-    """Parts of at most ``BATCH_BYTES`` bytes, at least one, each with the number of its document."""
-    view = memoryview(value)
-    return [(of, view[at : at + BATCH_BYTES]) for at in range(0, max(1, len(view)), BATCH_BYTES)]
+def _slices(value: pa.Buffer, of: int) -> Iterator[tuple[int, bytes]]:
+    """Parts of at most ``BATCH_BYTES`` bytes that cut no character, at least one, each with the number of its document."""
+    view, at = memoryview(value), 0
+    while at < len(view) or not at:
+        end = min(at + BATCH_BYTES, len(view))
+        if end < len(view):
+            end -= next((k for k in range(4) if view[end - k] & 0xC0 != 0x80), 0)
+        yield of, bytes(view[at:end])
+        if end == len(view):
+            return
+        at = end
 
 
 def many_characters(vocabulary: V.CharVocabulary) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -411,10 +425,11 @@ def byte_encoding(raw: DataFrame, newline: bool = False) -> DataFrame:
 
 
 def byte_counts(raw: DataFrame, newline: bool = False) -> DataFrame:
-    """``doc_id``, ``n_ids``, ``n_bytes`` of byte encodings, counted where they are made: eight bytes of lists for each byte of text don't leave the kernel."""
-    kind = raw.schema["doc_id"].dataType.simpleString()
-    kernel = lambda batches: counted_batches(batches, many_bytes, newline)
-    return shipped(raw).select("doc_id", "raw").mapInArrow(kernel, f"doc_id {kind}, n_ids long, n_bytes long")
+    return _counted_together(raw, lambda: many_bytes, newline)
+
+
+def character_counts(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bool = False) -> DataFrame:
+    return _counted_together(raw, lambda: many_characters(vocabulary), newline)
 
 
 def character_encoding(raw: DataFrame, vocabulary: V.CharVocabulary, newline: bool = False) -> DataFrame:
